@@ -175,10 +175,10 @@ def decode(encoded: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "d
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, decoded binary")
 
 
-def round_trip(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256: both directions in one pass over the texts.
 
-    Only the ids go from the encoder to the decoder.
+    Only the ids go from the encoder to the decoder. With ``keep_ids`` they are returned as a column ids.
     """
 
     def run(batches):
@@ -187,15 +187,16 @@ def round_trip(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "
                 both = codec(ranks_file, pattern)
                 ids = both.encode(_texts(part.column("text")))
                 decoded = both.decode(ids)
-                yield pa.record_batch(
-                    [
-                        part.column("doc_id"),
-                        pa.array([len(x) for x in ids], pa.int64()),
-                        pa.array([hashlib.sha256(",".join(map(str, x.tolist())).encode()).hexdigest() for x in ids], pa.string()),
-                        pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string()),
-                    ],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+                columns = {
+                    "doc_id": part.column("doc_id"),
+                    "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
+                    "ids_sha256": pa.array([hashlib.sha256(",".join(map(str, x.tolist())).encode()).hexdigest() for x in ids], pa.string()),
+                    "decoded_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string()),
+                }
+                if keep_ids:
+                    columns["ids"] = pa.array([x.tolist() for x in ids], pa.list_(pa.int32()))
+                yield pa.record_batch(list(columns.values()), names=list(columns))
 
     rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm import bpe, quality, secrets, sharding, simhash
+from tempora.llm import bpe, decontamination, language, line_dedup, pii, quality, secrets, sharding, simhash, substring_dedup
 from tempora.llm._common import table
 
 REGIONS, RACKS, SHARDS = 2, 2, 4
@@ -17,6 +17,15 @@ def op1_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "text", "n_removed_chunks")
+
+
 def _spans(listed) -> F.Column:
     return F.array_join(F.transform(listed, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -32,6 +41,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -44,9 +57,20 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs)
+    return language.identified(docs.select("doc_id", "text", language.held_out("doc_id").alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
+    return pii.find_pii(table(spark, sf_dir, "documents")).select("doc_id", *[_of(k).alias(f"n_{k}") for k in pii.BASE], F.sha2(_spans(base), 256).alias("base_sha256"), _spans(F.col("spans")).alias("spans"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hash_tree, op4_secrets, op6_bpe, op7_simhash, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_hash_tree, op2_substring, op3_lines, op4_secrets, op5_templates, op6_bpe, op7_simhash, op8_language, op9_pii, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}

@@ -1,0 +1,425 @@
+"""The corpus operators against brute force on small tables with awkward rows."""
+
+import base64
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tempora.llm._common import materialize
+from tempora.llm import bpe, decontamination, language, line_dedup, pii, quality, secrets, sharding, simhash, substring_dedup
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, label string"
+
+
+def prose(seed, n, words=200):
+    r = random.Random(seed)
+    return " ".join(f"w{r.randrange(words)}" + ("\n" if r.random() < 0.1 else "") for _ in range(n))
+
+
+PASSAGE = prose(99, 60, 5000)
+TEXTS = [
+    (0, prose(1, 80)), (1, prose(1, 80)), (2, prose(1, 79)), (3, f"{prose(2, 50)} {PASSAGE} {prose(3, 20)}"), (4, f"{prose(4, 10)} {PASSAGE} {prose(5, 70)}"),
+    (5, ""), (6, None), (7, " \t\n\x0b "), (8, "one"), (9, "one two"), (None, prose(6, 60)), (None, prose(6, 60)), (None, None), (10, prose(7, 90)), (10, prose(7, 90)), (10, prose(8, 90)),
+    (11, "é ü \U0001f600 naïve " * 30), (12, prose(9, 6000)), (13, (prose(10, 40) + " ") * 3), (14, "a " * 100),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", f"s{(i or 0) % 2}", len(t or ""), "x", "y") for i, t in TEXTS]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.filter("false")
+
+
+def rows(df):
+    return df.collect()
+
+
+# 1: sharding
+
+
+def test_shards_are_gapless_and_grow_only_into_the_new_one(docs):
+    tree = sharding.uniform_tree()
+    out = rows(sharding.assign_shards(docs, tree, sharding.grown(tree, 16)))
+    assert len(out) == len(TEXTS)
+    for shard in range(16):
+        slots = sorted(r["slot"] for r in out if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
+    assert all(r["grown_shard"] in (r["shard"], 16) for r in out)
+    assert len({r["shard"] for r in out if r["doc_id"] is None}) == 1
+    want = collections.Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in TEXTS)
+    assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in out) == want
+
+
+def test_shares_follow_weights_and_moves_stay_in_the_changed_subtree(spark):
+    keys = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    tree = sharding.uniform_tree()
+    region0, region1 = tree.children
+    rack = region0.children[0]
+    heavy = sharding.Node(rack.children[0].name, 3.0, rack.children[0].shard)
+    changed = sharding.Node("root", children=(sharding.Node(region0.name, children=(sharding.Node(rack.name, children=(heavy, *rack.children[1:])), region0.children[1])), region1))
+    got = rows(keys.select(sharding.descend(F.col("doc_id").cast("string"), tree).alias("a"), sharding.descend(F.col("doc_id").cast("string"), changed).alias("b"), sharding.descend(F.col("doc_id").cast("string"), sharding.grown(tree, 16)).alias("c")))
+    counts = collections.Counter(r["a"] for r in got)
+    assert max(counts.values()) < 1.2 * min(counts.values())
+    moved = [r for r in got if r["a"] != r["b"]]
+    # Region 1 only loses, to region 0; the second rack of region 0 only loses to the first, or gains from region 1.
+    assert moved and all(r["b"] < 8 for r in moved)
+    assert all(r["c"] in (r["a"], 16) for r in got) and 0.8 / 17 < np.mean([r["c"] == 16 for r in got]) < 1.2 / 17
+
+
+def test_sharding_nothing(empty):
+    tree = sharding.uniform_tree()
+    assert rows(sharding.assign_shards(empty, tree, sharding.grown(tree, 16))) == []
+
+
+# 2: substrings
+
+
+def brute_repeats(texts, window):
+    seqs = [WORD.findall(t or "") for t in texts]
+    count = collections.Counter(tuple(w[k : k + window]) for w in seqs for k in range(len(w) - window + 1))
+    out = []
+    for w in seqs:
+        gone = set()
+        for k in range(len(w) - window + 1):
+            if count[tuple(w[k : k + window])] > 1:
+                gone.update(range(k, k + window))
+        kept = [x for i, x in enumerate(w) if i not in gone]
+        out.append((len(w), len(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize(("window", "minimiser", "hot"), [(35, 8, 2000), (35, 8, 1), (5, 3, 4), (3, 1, 2)])
+def test_substrings(docs, window, minimiser, hot):
+    out = rows(substring_dedup.remove_repeats(docs, window=window, minimiser=minimiser, hot_bucket=hot))
+    want = collections.Counter((i, *b) for (i, _), b in zip(TEXTS, brute_repeats([t for _, t in TEXTS], window), strict=True))
+    assert collections.Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in out) == want
+
+
+def test_substrings_of_nothing(empty):
+    assert rows(substring_dedup.remove_repeats(empty)) == []
+
+
+# 3: lines
+
+
+def brute_chunks(text, roll=2, divisor=2):
+    from pyspark.sql import functions as F  # noqa: F401
+    import xxhash
+
+    lines = text.split("\n")
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in lines]
+    out, now = [], []
+    for i, line in enumerate(lines):
+        now.append(line)
+        r = h[i]
+        for k in range(1, roll):
+            if i >= k:
+                r ^= ((h[i - k] << k) | (h[i - k] >> (64 - k))) & (2**64 - 1)
+        if signed(r) % divisor == 0 or i == len(lines) - 1:
+            out.append(now)
+            now = []
+    return out
+
+
+def brute_lines(given):
+    long = lambda c: sum(bool(WORD.search(x)) for x in c) >= 2
+    found = [[("\n".join(c), long(c)) for c in brute_chunks(t)] if t is not None else None for _, t in given]
+    places, owner = collections.Counter(), {}
+    for (i, _), cs in zip(given, found, strict=True):
+        for c, ok in cs or []:
+            if ok:
+                places[c] += 1
+                if i is not None:
+                    owner[c] = min(i, owner.get(c, i))
+    out = []
+    for (i, t), cs in zip(given, found, strict=True):
+        if cs is None:
+            out.append((i, None))
+            continue
+        seen, kept = set(), []
+        for c, ok in cs:
+            if ok and places[c] > 1 and (owner.get(c) != i or c in seen):
+                continue
+            seen.add(c)
+            kept.append(c)
+        out.append((i, "\n".join(kept)))
+    return out
+
+
+LINES = [
+    (3, "a b\nc d\ne f\ng h\ni j\nk l"), (1, "x\na b\nc d\ne f\ng h\ni j\nk l\ny"), (2, "a b\nc d\ne f\ng h\ni j\nk l\na b\nc d\ne f\ng h\ni j\nk l"), (None, "a b\nc d\ne f\ng h\ni j\nk l"),
+    (4, "only\nnulls"), (5, None), (6, ""), (7, "\n\n\n"), (8, "one line"), (9, "one line"), (None, "p q\nr s\nt u\nv w"), (None, "p q\nr s\nt u\nv w"), (10, "m n\no p\nq r\ns t"), (10, "m n\no p\nq r\ns t"),
+]
+
+
+def test_lines(spark):
+    given = LINES + [(i, t) for i, t in TEXTS]
+    df = spark.createDataFrame([(i, t, "n", 1, "r") for i, t in given], "doc_id long, text string, row string, rk int, hits string")
+    out = rows(line_dedup.dedup_lines(df))
+    assert collections.Counter((r["doc_id"], r["text"]) for r in out) == collections.Counter(brute_lines(given))
+    assert {(r["row"], r["rk"], r["hits"]) for r in out} == {("n", 1, "r")}
+    assert any(r["n_removed_chunks"] for r in out)
+    assert rows(line_dedup.dedup_lines(df.filter("false"))) == []
+
+
+def test_line_plan_has_no_python(docs):
+    plan = line_dedup.repeated_chunks(docs)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow|ScalaUDF", plan)
+
+
+# 4: secrets
+
+SECRET = [
+    'PassWord = "abcdef1" token:abc token=abcdefg', "AKIA" + "A1" * 8 + " AKIA" + "B" * 15, "é " + "0123456789abcdef" * 2 + " fff", "api_key='x.y/z=-_9' apikey: 1234567",
+    "secretsecret=aaaaaa tokenToken = 'bbbbbb'", "ghp_" + "a" * 30 + secrets.checksum("a" * 30), "ghp_" + "a" * 36, "npm_" + "Zz9" * 10 + secrets.checksum("Zz9" * 10), "", None, "İſ paſſword=abcdefgh toKen=abcdefgh",
+]
+
+
+def brute_secrets(t):
+    t = t or ""
+    spans = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 6]
+    spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    return [(a, b, secrets.KINDS[k]) for a, k, b in sorted(spans)]
+
+
+def test_secrets(spark):
+    given = SECRET + [t for _, t in TEXTS]
+    out = rows(secrets.find_secrets(spark.createDataFrame(list(enumerate(given)), "doc_id int, text string")))
+    for r in out:
+        spans = [(s["start"], s["end"], s["kind"]) for s in r["spans"]]
+        assert [s for s in spans if s[2] in ("assign", "access", "hex")] == brute_secrets(given[r["doc_id"]])
+    found = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in out}
+    assert "github" in found[5] and "github" not in found[6] and found[7] == ["npm"]
+    assert secrets.redact("a password=abcdef b", [(2, 17, "assign")]) == "a [assign] b"
+    assert rows(secrets.find_secrets(spark.createDataFrame([], "doc_id int, text string"))) == []
+
+
+# 5: benchmark templates
+
+ITEMS = [(0, "Alice has 3 apples and gives 2 of them to Bob who then walks 5 km home to eat them all."), (1, "Short question here"), (2, ""), (3, None), (4, "What is the sum of 17 and 25 if you add 17 to it once more and then halve the result?")]
+CASES = [
+    (0, "noise before. Alice has 3 apples and gives 2 of them to Bob who then walks 5 km home to eat them all. after"), (1, "Carol has 8 apples and gives 6 of them to Dave who then walks 9 miles home to eat them all."),
+    (2, "what is the sum of 4 and 9 if you add 4 to it once more and then halve the result"), (3, "what is the sum of 4 and 9 if you add 6 to it once more and then halve the result"),
+    (4, "and this is a short question here, it seems"), (5, "has 3 apples and gives 2 of them"), (6, None), (7, ""), (None, "What is the sum of 17 and 25 if you add 17 to it once more and then halve the result?"),
+]
+
+
+@pytest.mark.parametrize("prefilter", [1_000_000, 0])
+def test_templates(spark, prefilter):
+    docs = spark.createDataFrame([(i, t, "z", 7) for i, t in CASES], "doc_id long, text string, key string, h int")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    out = {(r["doc_id"], r["item_id"]): r["kind"] for r in rows(decontamination.leaks(docs, items, prefilter_hashes=prefilter))}
+    assert out == {(0, 0): "verbatim", (1, 0): "reparameterised", (2, 4): "reparameterised", (4, 1): "verbatim", (None, 4): "verbatim"}
+    kept = rows(decontamination.drop_contaminated(docs, items, prefilter_hashes=prefilter))
+    assert sorted(r["doc_id"] for r in kept) == [3, 5, 6, 7] and kept[0]["key"] == "z"
+    assert rows(decontamination.leaks(docs.filter("false"), items)) == [] == rows(decontamination.leaks(docs, items.filter("false")))
+
+
+# 6: BPE
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    tokens = pytest.importorskip("public_tokenizers")
+    with open(tokens.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        return f.read(), tokens.PATTERN
+
+
+def test_bpe(docs, vocabulary):
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in vocabulary[0].splitlines())}
+    want = tiktoken.Encoding("own", pat_str=vocabulary[1], mergeable_ranks=ranks, special_tokens={})
+    given = [t for _, t in TEXTS] + ["x" * 700, "<|endoftext|>", "\x00\x01 \U0010ffff", "'s 're   !!", "".join(chr(97 + i * i % 26) for i in range(400))]
+    df = docs.sparkSession.createDataFrame([(i, t, 0) for i, t in enumerate(given)], "doc_id int, text string, ids int")
+    encoded = bpe.encode(df, *vocabulary)
+    for r in rows(encoded):
+        assert r["ids"] == want.encode_ordinary(given[r["doc_id"]] or "")
+    for r in rows(bpe.decode(encoded, *vocabulary)):
+        assert bytes(r["decoded"]) == (given[r["doc_id"]] or "").encode()
+    for r in rows(bpe.round_trip(df, *vocabulary, keep_ids=True)):
+        assert r["decoded_sha256"] == hashlib.sha256((given[r["doc_id"]] or "").encode()).hexdigest()
+        assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, r["ids"])).encode()).hexdigest() and r["n_tokens"] == len(r["ids"])
+    assert rows(bpe.round_trip(df.filter("false"), *vocabulary)) == []
+
+
+def test_bpe_hands_its_state_over(vocabulary, monkeypatch):
+    codec = bpe.Codec(*vocabulary)
+    whole = codec.encode_words([" international", "zzzzqqqq", "é"])
+    monkeypatch.setattr(bpe, "ROUND_ROWS", 1)
+    assert codec.encode_words([" international", "zzzzqqqq", "é"]) == whole
+
+
+# 7: SimHash
+
+
+def brute_print(text):
+    import xxhash
+
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not w:
+        return 0
+    hs = [xxhash.xxh64_intdigest(" ".join(w[k : k + 3]).encode(), 42) for k in range(max(1, len(w) - 2))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def brute_components(prints, ids):
+    par = list(range(len(prints)))
+
+    def find(x):
+        while par[x] != x:
+            x = par[x]
+        return x
+
+    for a in range(len(prints)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= 2:
+                par[find(a)] = find(b)
+    least = {}
+    for a, i in enumerate(ids):
+        if i is not None:
+            least[find(a)] = min(i, least.get(find(a), i))
+    return [least.get(find(a)) for a in range(len(prints))]
+
+
+@pytest.mark.parametrize("hot", [32, 1])
+def test_simhash(docs, hot):
+    out = rows(simhash.near_duplicates(docs, hot_bucket=hot).select("doc_id", simhash.hex_fingerprint("fp").alias("f"), "component_id"))
+    prints = [brute_print(t) for _, t in TEXTS]
+    want = collections.Counter((i, f"{p:016x}", c) for (i, _), p, c in zip(TEXTS, prints, brute_components(prints, [i for i, _ in TEXTS]), strict=True))
+    assert collections.Counter(map(tuple, out)) == want
+
+
+@pytest.mark.parametrize("hot", [1, 4, 1000])
+def test_links_reach_what_all_pairs_reach(spark, hot):
+    from tempora.operators.closure import connected_components
+
+    r = random.Random(hot)
+    prints = set()
+    for _ in range(12):
+        centre = r.getrandbits(64)
+        for _ in range(25):
+            prints.add(centre ^ sum({1 << r.randrange(64) for _ in range(r.randrange(4))}))
+    prints = sorted(prints)
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    df = spark.createDataFrame([(p,) for p in signed], "fp long").repartition(4)
+    links = materialize(simhash.links(df, hot_bucket=hot), "links")
+    assert all((r["a"] ^ r["b"]).bit_count() <= 2 or ((r["a"] ^ r["b"]) & (2**64 - 1)).bit_count() <= 2 for r in links.collect())
+    labels = {x["node"]: x["label"] for x in connected_components(links, "a", "b", lambda d: materialize(d, "labels")).collect()}
+    want = brute_components(prints, signed)
+    got = [labels.get(p, p) for p in signed]
+    assert len(set(zip(got, want, strict=True))) == len(set(want)) == len(set(got))
+
+
+def test_keep_one(docs, empty):
+    kept = rows(simhash.keep_one(docs))
+    comps = brute_components([brute_print(t) for _, t in TEXTS], [i for i, _ in TEXTS])
+    # Three texts share id 10, of which two are equal: two components with that id.
+    assert len(kept) == len(set(comps)) + 1 and {r["doc_id"] for r in kept} == set(comps)
+    assert kept[0].asDict().keys() == dict.fromkeys(docs.columns).keys()
+    assert rows(simhash.keep_one(empty)) == [] == rows(simhash.near_duplicates(empty))
+
+
+# 8: language
+
+
+def test_language(spark):
+    r = random.Random(5)
+    sounds = {"aa": "bakodu mila".split(), "bb": "strengt huwix zorb".split(), "cc": "él ñaqué oui".split()}
+    given = [(i, " ".join(r.choice(sounds[lang]) + r.choice(sounds[lang]) for _ in range(r.randrange(5, 40))), lang) for i, lang in enumerate(r.choice(list(sounds)) for _ in range(300))]
+    given += [(1000, None, "aa"), (1001, "", "bb"), (1002, "123 !?", None), (None, given[0][1], "aa"), (1003, given[1][1], None)]
+    df = spark.createDataFrame([(*g, "s") for g in given], "doc_id long, text string, lang string, row string")
+    model = language.train(df)
+    out = rows(language.identified(df, model))
+    held = [x for x in out if x["doc_id"] is not None and zlib.crc32(str(x["doc_id"]).encode()) % 5 == 0 and x["lang"] and x["lang_pred"] != "und"]
+    assert len(held) > 30 and np.mean([x["lang"] == x["lang_pred"] for x in held]) > 0.95
+    assert all(0 <= x["score"] <= 1 for x in out) and {x["lang_pred"] for x in out if x["doc_id"] in (1000, 1001, 1002)} == {"und"}
+    assert (model.weights == 0).mean() > 0.5 and model.temperature > 0
+    none = language.train(df.filter("false"))
+    assert {x["lang_pred"] for x in rows(language.identified(df, none))} == {"und"}
+    assert rows(language.identified(df.filter("false"), model)) == []
+
+
+# 9: personal data
+
+PERSONAL = [
+    "mail a.b@c.d_e@f.gh or x@y.z.w, é 4111 1111-1111 1111 ok", "ip 1.2.3.4.5.6.7.8 and 300.1.1.1 and 001.02.3.255", "+1 (743) 555-3824 or +123 or +4-9 30 1234567.", "1234567812345670 12345678901234567890123",
+    "a@b a@b. @c.d é@f.g.h", None, "", "call (212) 555-0147 now", "ssn: 123-45-6780 and 000-12-3456", "Dear Alice Johnson, mail jane [at] example [dot] com", "9" * 3000, "1 " * 3000, "a" * 3000 + "@" + "b.c" * 500, "+" + "1." * 2000,
+]
+
+
+def brute_pii(t):
+    t, out = t or "", []
+    for k, p in enumerate((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        for m in re.finditer(p, t):
+            d = re.sub("[^0-9]", "", m[0])
+            luhn = sum(sum(divmod(int(x) * 2, 10)) if i % 2 else int(x) for i, x in enumerate(d[::-1])) % 10 == 0
+            if (True, all(int(x) <= 255 for x in m[0].split(".")) if k == 1 else True, 12 <= len(d) <= 19 and luhn, 9 <= len(d) <= 15)[k]:
+                out.append((m.start(), k, m.end()))
+    return [(a, b, pii.KINDS[k]) for a, k, b in sorted(out)]
+
+
+def test_pii(spark):
+    given = PERSONAL + [t for _, t in TEXTS]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(given)], "doc_id int, text string, cands string")
+    out = {r["doc_id"]: [(s["start"], s["end"], s["kind"]) for s in r["spans"]] for r in rows(pii.find_pii(df))}
+    for i, t in enumerate(given):
+        assert [s for s in out[i] if s[2] in pii.BASE] == brute_pii(t), i
+    assert (5, 19, "national") in out[7] and (5, 16, "ssn") in out[8] and "name" in {s[2] for s in out[9]}
+    assert rows(pii.find_pii(df.filter("false"))) == []
+
+
+def test_pii_plan_has_no_python(docs):
+    assert not re.search("Python|Pandas|Arrow|ScalaUDF", pii.candidates(docs)._jdf.queryExecution().toString())
+
+
+def test_reliabilities_are_found():
+    r = random.Random(1)
+    true, counts = [0.95, 0.8, 0.7], collections.Counter()
+    for _ in range(5000):
+        y = 1 if r.random() < 0.6 else -1
+        counts["email", tuple((y if r.random() < q else -y) if r.random() < 0.9 else 0 for q in true)] += 1
+    posterior, reliability = pii.expectation_maximisation(counts)
+    assert all(abs(reliability["email", i] - q) < 0.05 for i, q in enumerate(true))
+    assert posterior["email", (1, 1, 1)] > 0.9 > 0.1 > posterior["email", (-1, -1, -1)]
+
+
+# 10: quality
+
+
+def test_quality(docs, spark):
+    out = rows(quality.quality(docs))
+    want = collections.Counter()
+    for i, t in TEXTS:
+        w = WORD.findall(t or "")
+        grams = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        n = collections.Counter(grams)
+        cover = {j for k, g in enumerate(grams) if n[g] > 1 for j in (k, k + 1, k + 2)}
+        lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+        want[i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(cover), len(w) < 50 or 100 * len(cover) > 50 * len(w)] += 1
+    assert collections.Counter((r["doc_id"], *(r[c] for c in quality.STATS), r["base_failed"]) for r in out) == want
+    assert not any(r["kept"] for r in out if r["base_failed"])
+
+
+def test_boilerplate_is_counted_by_host(spark):
+    common = " ".join(f"c{k}" for k in range(90))
+    given = [(i, common + "\n" + prose(i, 60, 100000), "hot") for i in range(20)] + [(100 + i, common + "\n" + prose(i, 500, 100000), "hot") for i in range(5)] + [(200, common + "\n" + prose(200, 60, 100000), "other")]
+    given += [(i, prose(i, 60, 100000), "hot") for i in range(300, 400)]
+    out = {r["doc_id"]: r for r in rows(quality.quality(spark.createDataFrame(given, "doc_id long, text string, source string")))}
+    assert not any(out[i]["kept"] for i in range(20)) and all(out[i]["n_removed_words"] == 90 for i in range(20))
+    assert all(out[i]["kept"] for i in [*range(100, 105), 200, *range(300, 400)])
+    assert rows(quality.quality(spark.createDataFrame([], "doc_id long, text string, source string"))) == []
