@@ -1 +1,68 @@
-STAGES = []
+"""The corpus pipeline: language ID, line dedup, near-dedup, decontamination, tokenisation.
+
+Every stage takes what its predecessor kept. The first four return the columns
+of documents; the last returns the token ids of every remaining document and
+the digest of their decoding.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tempora.llm import bpe, decontamination, language, line_dedup, simhash
+from tempora.llm._common import materialize, table
+
+#: The least calibrated probability with which a language is accepted.
+LEAST_SCORE = 0.5
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop texts without a letter and texts of no language that the model knows well enough."""
+    told = language.identified(docs, language.train(docs), pred_col="__lang", score_col="__score")
+    return told.filter((F.col("__lang") != "und") & (F.col("__score") >= LEAST_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take repeated line chunks out of the texts; n_chars follows, and documents left without a word go."""
+    short = line_dedup.dedup_lines(docs, removed_col="__removed")
+    kept = short.filter((F.col("__removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    out = [F.when(F.col("__removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    return kept.select(*out)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group stays: the smallest id."""
+    return simhash.keep_one(docs)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents into which a benchmark item leaks."""
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, n_tokens, ids_sha256 and decoded_sha256."""
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = f.read()
+    return bpe.round_trip(docs, ranks, public_tokenizers.PATTERN, keep_ids=True)
+
+
+STAGES = [
+    ("language", language_stage),
+    ("lines", line_stage),
+    ("near duplicates", near_duplicate_stage),
+    ("benchmark", benchmark_stage),
+    ("tokens", token_stage),
+]
+
+#: The learned stages have no SQL form; tests hold run() against a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
