@@ -1,0 +1,2 @@
+from tempora.plans import impact_and_decisions, state_and_portfolio, time_and_identity  # noqa: F401
+from tempora.plans.registry import QUERIES, SQL  # noqa: F401

@@ -247,7 +247,7 @@ def source_learning(spark, d):
     return out.select("source", "items", *[r6(c).alias(c) for c in ("corroborated_rate", "led_rate", "noise_rate")])
 
 
-@query("""WITH v AS (SELECT event_id, value, CAST(props->>'$.k' AS INT) AS k FROM events) SELECT event_id, array_to_string(list_filter([CASE WHEN k IS NULL THEN 'provenance' END, CASE WHEN coalesce(NOT value BETWEEN 1 AND 90, true) THEN 'bounds' END, CASE WHEN coalesce(k >= 95, true) THEN 'permission' END], x -> x IS NOT NULL), ',') AS failed,
+@query("""WITH v AS (SELECT event_id, value, CAST(props->>'$.k' AS INT) AS k FROM events) SELECT event_id, concat_ws(',', CASE WHEN k IS NULL THEN 'provenance' END, CASE WHEN coalesce(NOT value BETWEEN 1 AND 90, true) THEN 'bounds' END, CASE WHEN coalesce(k >= 95, true) THEN 'permission' END) AS failed,
     coalesce(k IS NOT NULL AND value BETWEEN 1 AND 90 AND k < 95, false) AS accepted FROM v""")
 def proposal_validation(spark, d):
     e = Tables(spark, d).events.withColumn("p", F.from_json("props", "k int"))

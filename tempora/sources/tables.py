@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "array<string>": T.ArrayType(T.StringType())}
+
+
 def _schema(text: str, tiers: str = "") -> T.StructType:
     """``name type`` pairs, a ? for nullable; every field gets the tier of ``tiers`` or L1."""
     given = dict(p.split("=") for p in tiers.split())
@@ -19,8 +22,7 @@ def _schema(text: str, tiers: str = "") -> T.StructType:
     for part in text.split(","):
         name, kind = part.split()
         nullable = kind.endswith("?")
-        parsed = T.StructType.fromDDL(f"x {kind.rstrip('?')}")["x"].dataType
-        fields.append(T.StructField(name, parsed, nullable, {"tier": given.get(name, "L1")}))
+        fields.append(T.StructField(name, _TYPES[kind.rstrip("?")], nullable, {"tier": given.get(name, "L1")}))
     return T.StructType(fields)
 
 
@@ -42,3 +44,103 @@ SCHEMAS = {
     "outcome": _schema("id string, decision_id string, evaluated_at timestamp, outcome_type string, forecast_score double?"),
     "job_run": _schema("run_id string, stage string, status string, error string?"),
 }
+
+_scratch: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where none is set."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not _scratch:
+        _scratch.append(tempfile.mkdtemp(prefix="tempora-"))
+    return f"file://{_scratch[0]}"
+
+
+def save(df: DataFrame) -> DataFrame:
+    """Write to the shared folder and reread: cuts the lineage of an iterative plan."""
+    path = f"{shared_folder(df.sparkSession)}/rounds/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def conform(df: DataFrame, entity: str) -> DataFrame:
+    """The columns of an entity in their order and types; other columns go, a lacking one is an error."""
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name, metadata=f.metadata) for f in SCHEMAS[entity].fields])
+
+
+def create_all(spark: SparkSession, root: str) -> list[str]:
+    """Every table from nothing (S8): empty, with its schema."""
+    for name, schema in SCHEMAS.items():
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{root}/{name}/run_id=none")
+    return sorted(SCHEMAS)
+
+
+def append(df: DataFrame, root: str, entity: str, run_id: str) -> None:
+    """Append a run's rows (S6, S7). The run is a partition, so later reads can prune, and writing it twice is an error."""
+    conform(df, entity).write.mode("error").parquet(f"{root}/{entity}/run_id={run_id}")
+
+
+def read(spark: SparkSession, root: str, entity: str) -> DataFrame:
+    """All runs of an entity, with their run_id."""
+    schema = T.StructType([*SCHEMAS[entity].fields, T.StructField("run_id", T.StringType())])
+    return spark.read.schema(schema).parquet(f"{root}/{entity}")
+
+
+class SourceAdapter(Protocol):
+    """A source (S1, S3): what is special about it stays inside; rows come in the canonical schema."""
+
+    source_id: str
+
+    def fetch(self, spark: SparkSession, cursor: str | None) -> tuple[DataFrame, str]:
+        """Rows after the cursor, and the next cursor. Raises ProviderError."""
+
+
+class ProviderError(Exception):
+    """A provider failed; no value is put in its place."""
+
+
+class FileAdapter:
+    """Rows of a file or folder after a cursor in one of its columns (S2): parquet, json, csv or orc."""
+
+    def __init__(self, source_id: str, path: str, schema: T.StructType, cursor_col: str, kind: str = "parquet"):
+        self.source_id, self.path, self.schema, self.cursor_col, self.kind = source_id, path, schema, cursor_col, kind
+
+    def fetch(self, spark: SparkSession, cursor: str | None) -> tuple[DataFrame, str]:
+        try:
+            df = spark.read.schema(self.schema).format(self.kind).load(self.path)
+            if cursor is not None:
+                df = df.filter(F.col(self.cursor_col) > F.lit(cursor).cast(self.schema[self.cursor_col].dataType))
+            last = df.agg(F.max(self.cursor_col).cast("string")).first()[0]
+        except Exception as e:
+            raise ProviderError(f"{self.source_id}: {e}") from e
+        return df, last if last is not None else cursor
+
+
+def ingest(spark: SparkSession, adapters: Sequence[SourceAdapter], cursors: dict[str, str]) -> tuple[DataFrame | None, dict[str, str], list[tuple[str, str, str | None]]]:
+    """What the sources that answered have (S5), the new cursors, and a status of each source. A failure moves no cursor."""
+    out, moved, status = None, dict(cursors), []
+    for a in adapters:
+        try:
+            df, cursor = a.fetch(spark, cursors.get(a.source_id))
+        except ProviderError as e:
+            status.append((a.source_id, "failed", str(e)[:200]))
+            continue
+        df = df.withColumn("source_id", F.lit(a.source_id))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+        moved[a.source_id] = cursor
+        status.append((a.source_id, "ok", None))
+    return out, moved, status
+
+
+def confirmed_update(current: DataFrame, proposal: dict, key: str, check: Callable[[dict], str | None]) -> tuple[DataFrame, dict]:
+    """A human-confirmed change (S9): the row to append and its audit record. Refused without a confirmer or if the check objects."""
+    if not proposal.get("confirmed_by"):
+        raise PermissionError("an update needs someone who confirms it")
+    if problem := check(proposal):
+        raise ValueError(problem)
+    found = current.filter(F.col(key) == proposal[key]).orderBy(F.desc("valid_from")).select("value").first()
+    row = current.sparkSession.createDataFrame([(proposal[key], proposal["value"], proposal["valid_from"])], current.select(key, "value", "valid_from").schema)
+    audit = {"key": proposal[key], "proposed_by": proposal.get("proposed_by"), "confirmed_by": proposal["confirmed_by"], "previous_value": found[0] if found else None, "new_value": proposal["value"]}
+    return row, audit
