@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm import bpe, decontamination, language, line_dedup, pii, quality, secrets, sharding, simhash, substring_dedup
+from tempora.llm import bpe, decontamination, language, line_dedup, oracles, pii, quality, secrets, sharding, simhash, substring_dedup
 from tempora.llm._common import table
 
 REGIONS, RACKS, SHARDS = 2, 2, 4
@@ -73,4 +73,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_hash_tree, op2_substring, op3_lines, op4_secrets, op5_templates, op6_bpe, op7_simhash, op8_language, op9_pii, op10_quality)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracles.oracle_sql(REGIONS, RACKS, SHARDS)
