@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from tempora.operators.identity import cosine
 
@@ -126,3 +126,8 @@ def nearest(df: DataFrame, key: str, vector: str, query: Sequence[float], k: int
     """The k vectors of highest cosine with a query vector (M2); ties by key. Exact."""
     q = F.array(*[F.lit(float(x)) for x in query])
     return df.select(key, cosine(F.col(vector), q).alias("score")).orderBy(F.desc("score"), key).limit(k)
+
+
+def embedding_field(schema: StructType, text: str, name: str) -> StructField:
+    """The field of a text's embedding, which has the tier of the text."""
+    return StructField(name, ArrayType(FloatType()), True, {"tier": tier_of(schema, text)})

@@ -299,3 +299,21 @@ def test_clock_and_settings():
             conf.settings_from(env)
     with pytest.raises(AttributeError):
         conf.settings().base_currency = "TRY"
+
+
+def test_a_replay_is_the_same_call(spark):
+    from tempora.plans import cycle
+
+    now = "2024-01-15 00:00:00"
+    state, record = cycle.run(spark, "/root/testdata/sf0.001", now, "r1")
+    assert [r["status"] for r in record] == ["ok"] * 12
+    again, _ = cycle.run(spark, "/root/testdata/sf0.001", now, "r2")
+    for name in ("build_world_state", "update_scenarios", "derive_decision_candidates", "route_alerts"):
+        assert collected(state[name]) == collected(again[name])
+    later, _ = cycle.run(spark, "/root/testdata/sf0.001", "2024-01-20 00:00:00", "r3")
+    assert collected(later["build_world_state"]) != collected(state["build_world_state"])
+
+
+def test_an_embedding_has_the_tier_of_its_text():
+    schema = PT.StructType([PT.StructField("note", PT.StringType(), True, {"tier": "L2"})])
+    assert G.embedding_field(schema, "note", "vector").metadata == {"tier": "L2"}
