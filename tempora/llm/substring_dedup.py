@@ -143,9 +143,10 @@ def _unique_cold(packed: DataFrame, window: int) -> DataFrame:
 
 
 def _unique_hot(packed: DataFrame, window: int) -> DataFrame:
-    """Buckets of any size: windows are dealt out one by one and counted with partial sums."""
+    """Buckets of any size: equal strings become one with its number, then windows are dealt out one by one and counted with partial sums."""
+    alike = packed.groupBy("mini", "n", "words").agg(F.sum("copies").alias("copies"), F.max("uid").alias("uid"), F.max("start").alias("start"))
     words = F.split(F.col("words").cast("string"), " ")
-    each = packed.select("mini", "uid", "copies", "start", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda k: F.array_join(F.slice(words, k, window), " "))).alias("k", "w"))
+    each = alike.select("mini", "uid", "copies", "start", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda k: F.array_join(F.slice(words, k, window), " "))).alias("k", "w"))
     counted = each.groupBy("mini", "w").agg(F.sum("copies").alias("places"), F.max("uid").alias("uid"), F.max(F.col("start") + F.col("k")).alias("start"))
     return counted.filter("places = 1").select("uid", F.col("start").cast("int").alias("start"), F.lit(1).alias("n"))
 
@@ -190,7 +191,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Which super-k-mers can hold a repeated window?
     ends = F.concat(F.slice("starts", F.lit(2), F.greatest(F.size("starts") - 1, F.lit(0))), F.array((F.col("n_words") - (window - 1)).cast("int")))
     runs = different.select("uid", F.explode(F.arrays_zip(F.col("minis"), F.col("starts"), ends.alias("ends"))).alias("r")).select("uid", F.col("r.minis").alias("mini"), F.col("r.starts").alias("start"), (F.col("r.ends") - F.col("r.starts")).alias("n"))
-    often = runs.groupBy("mini").agg(F.count(F.lit(1)).alias("places")).filter("places > 1").select("mini", (F.col("places") > hot_bucket).alias("hot"))
+    # Written, so that the join below deals both sides out anew and Spark can split a hot minimiser's rows.
+    often = materialize(runs.groupBy("mini").agg(F.count(F.lit(1)).alias("places")).filter("places > 1").select("mini", (F.col("places") > hot_bucket).alias("hot")), "substring-minimisers")
     gathered = runs.join(often, "mini").groupBy("uid").agg(F.collect_list(F.struct("start", "n", "mini", "hot")).alias("runs"))
     candidates = materialize(gathered.join(different.select("uid", "key", "copies", "head"), "uid"), "substring-candidates")
     # Their texts, one for each, meet them once.
