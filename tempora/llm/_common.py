@@ -38,6 +38,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean_up(spark: SparkSession) -> None:
+    """Remove what this application's operators wrote to the shared folder. Their results must have been written or read before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tempora-{_RUN}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def col(name: str) -> Column:
     """A column by its exact name, dots and back quotes included."""
     return F.col("`" + name.replace("`", "``") + "`")

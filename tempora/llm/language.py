@@ -162,6 +162,18 @@ def _sparse(texts: DataFrame) -> DataFrame:
     return texts.select("place", "lang", "text").mapInArrow(run, "place long, lang string, feature array<int>, share array<float>")
 
 
+def _examples(sample: pa.Table) -> list[tuple[int, str, np.ndarray, np.ndarray]]:
+    """(place, lang, features, shares) of the documents that have a feature, in an order of their own."""
+    out = []
+    for batch in sample.to_batches():
+        feature, share = batch.column("feature"), batch.column("share")
+        f, s, ends = feature.flatten().to_numpy(), share.flatten().to_numpy(), np.cumsum(np.diff(feature.offsets.to_numpy()))
+        for place, lang, a, b in zip(batch.column("place").to_pylist(), batch.column("lang").to_pylist(), np.r_[0, ends[:-1]], ends, strict=True):
+            if b > a:
+                out.append((place, lang, f[a:b].copy(), s[a:b].copy()))
+    return sorted(out, key=lambda r: (r[0], r[1], len(r[2])))
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 4000, **options) -> Model:
     """Learn from the rows that are not held out. At most ``sample_docs`` of them reach the driver, as n-gram counts."""
     usable = docs.filter(~held_out(id_col) & col(text_col).isNotNull() & col(lang_col).isNotNull()).select(col(text_col).alias("text"), col(lang_col).cast("string").alias("lang"), F.xxhash64(col(id_col), col(text_col)).alias("place"))
@@ -172,14 +184,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return Model([], np.zeros((SIZE, 0)), np.zeros(0), 1.0)
     idf = np.zeros(SIZE)
     idf[list(counts)] = np.log((1 + total) / (1 + np.array(list(counts.values())))) + 1
-    # About sample_docs rows by hash, and no more than that whatever repeats.
-    drawn = usable if total <= sample_docs else usable.filter(F.col("place") < F.lit(int(-(2**63) + min(1.0, sample_docs / total) * 2**64)))
-    rows = sorted(map(tuple, _sparse(drawn.limit(sample_docs)).collect()), key=lambda r: (r[0], r[1], r[2]))
-    rows = [r for r in rows if r[2]]
+    # About nine tenths of sample_docs by hash, so that the limit, which is there for equal rows, cuts nothing else.
+    drawn = usable if total <= sample_docs else usable.filter(F.col("place") < F.lit(int(-(2**63) + 0.9 * sample_docs / total * 2**64)))
+    rows = _examples(_sparse(drawn.limit(sample_docs)).toArrow())
     languages = sorted({r[1] for r in rows})
     if not languages:
         return Model([], np.zeros((SIZE, 0)), np.zeros(0), 1.0)
-    examples = [(np.array(f), np.array(s) * idf[f] * GAIN, languages.index(lang)) for _, lang, f, s in rows]
+    examples = [(f, s * idf[f] * GAIN, languages.index(lang)) for _, lang, f, s in rows]
     fitted = [e for i, e in enumerate(examples) if i % 5] or examples
     rest = [e for i, e in enumerate(examples) if i % 5 == 0]
     w, bias = ftrl(fitted, len(languages), **options)
