@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempora.operators.temporal import asof_join
+
 
 def policy_result(metric: Column, operator: Column, threshold: Column, margin: Column) -> Column:
     """PASS, WARN, BREACH or UNKNOWN_DATA (Y1). Null is looked at first: a comparison with it would fall through."""
@@ -27,16 +29,18 @@ def candidates(attention: Column, policy: Column) -> Column:
     return F.when(policy == "BREACH", "REBALANCE").when(attention == "ACT_OR_REVIEW", "REVIEW").when(attention == "VERIFY", "RESEARCH").when(attention == "NOTE", "MONITOR").otherwise("NO_ACTION")
 
 
-def snapshot(decisions: DataFrame, facts: DataFrame, owner: str, decided: str, observed: str, fact: str, value: str) -> DataFrame:
-    """What was known of the owner at each decision (J2): latest value of each fact not after the decision, sorted.
+def snapshot(decisions: DataFrame, facts: DataFrame, names: Sequence[str], owner: str, decided: str, observed: str, fact: str, value: str) -> DataFrame:
+    """What was known of the owner at each decision (J2): the latest value of each named fact not after the decision, sorted.
 
-    Facts later than the decision never enter, so later data cannot change a snapshot.
+    An as-of join for each (decision, fact): linear in both tables, whatever the
+    length of an owner's history. Facts later than the decision never enter, so
+    later data cannot change a snapshot; a fact not seen before it is left out.
     """
-    f = facts.select(F.col(owner).alias("__o"), F.col(observed).alias("__t"), F.col(fact).alias("__f"), F.col(value).alias("__v"))
-    known = decisions.join(f, (F.col(owner) == F.col("__o")) & (F.col("__t") <= F.col(decided)), "left")
-    last = known.groupBy(*decisions.columns, "__f").agg(F.max_by("__v", F.struct("__t", "__v")).alias("v"))
-    packed = F.array_sort(F.collect_list(F.when(F.col("__f").isNotNull(), F.struct(F.col("__f").alias("fact"), F.col("v").alias("value")))))
-    return last.groupBy(*decisions.columns).agg(packed.alias("state"))
+    asked = decisions.withColumn("__fact", F.explode(F.array(*[F.lit(n) for n in names])))
+    given = facts.select(owner, F.col(fact).alias("__fact"), F.col(observed).alias("__seen"), F.col(value).alias("__value"))
+    met = asof_join(asked, given, [owner, "__fact"], decided, "__seen", ["__seen", "__value"], ["__value"])
+    known = F.when(F.col("__seen").isNotNull(), F.struct(F.col("__fact").alias("fact"), F.col("__value").alias("value")))
+    return met.groupBy(*decisions.columns).agg(F.array_sort(F.collect_list(known)).alias("state"))
 
 
 def with_outcomes(decisions: DataFrame, outcomes: DataFrame, key: str) -> DataFrame:

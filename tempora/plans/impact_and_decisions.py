@@ -300,7 +300,7 @@ def decision_candidates(spark, d):
 def decision_snapshot(spark, d):
     e = Tables(spark, d).events
     dec = e.filter("event_type = 'purchase'").select("event_id", "user_id", F.col("ts").alias("decided"))
-    out = J.snapshot(dec, e.select("user_id", "ts", "event_type", "value"), "user_id", "decided", "ts", "event_type", "value")
+    out = J.snapshot(dec, e.select("user_id", "ts", "event_type", "value"), ["click", "error", "purchase", "signup", "view"], "user_id", "decided", "ts", "event_type", "value")
     return out.select("event_id", F.array_join(F.transform("state", lambda s: F.concat(s["fact"], F.lit("="), F.format_string("%.2f", s["value"]))), ",").alias("state"))
 
 

@@ -219,8 +219,8 @@ def test_later_facts_leave_a_decision_alone(spark):
     dec = frame(spark, "id int, owner int, decided timestamp", [(1, 7, "2024-01-05 00:00:00"), (2, 8, "2024-01-05 00:00:00")])
     facts = [(7, "2024-01-01 00:00:00", "a", 1.0), (7, "2024-01-04 00:00:00", "a", 2.0)]
     schema = "owner int, seen timestamp, fact string, value double"
-    old = J.snapshot(dec, frame(spark, schema, facts), "owner", "decided", "seen", "fact", "value")
-    new = J.snapshot(dec, frame(spark, schema, facts + [(7, "2024-01-06 00:00:00", "a", 9.0)]), "owner", "decided", "seen", "fact", "value")
+    old = J.snapshot(dec, frame(spark, schema, facts), ["a", "b"], "owner", "decided", "seen", "fact", "value")
+    new = J.snapshot(dec, frame(spark, schema, facts + [(7, "2024-01-06 00:00:00", "a", 9.0)]), ["a", "b"], "owner", "decided", "seen", "fact", "value")
     assert collected(old) == collected(new) and {r["id"]: [tuple(s) for s in r["state"]] for r in old.collect()} == {1: [("a", 2.0)], 2: []}
 
 
@@ -317,3 +317,13 @@ def test_a_replay_is_the_same_call(spark):
 def test_an_embedding_has_the_tier_of_its_text():
     schema = PT.StructType([PT.StructField("note", PT.StringType(), True, {"tier": "L2"})])
     assert G.embedding_field(schema, "note", "vector").metadata == {"tier": "L2"}
+
+
+def test_hashed_pairs_find_what_all_pairs_find(spark):
+    r = random.Random(2)
+    centres = [[r.gauss(0, 1) for _ in range(32)] for _ in range(40)]
+    rows = [(i, [x + r.gauss(0, 0.25) for x in centres[i % 40]], 0) for i in range(160)]
+    df = spark.createDataFrame(rows, "id int, v array<double>, block int")
+    want = {(p["id_a"], p["id_b"]) for p in I.blocked_pairs(df, "id", "block", "v", 0.9).collect()}
+    got = {(p["id_a"], p["id_b"]) for p in I.hashed_pairs(df, "id", "v", 0.9, 32).collect()}
+    assert len(want) > 100 and got <= want and len(got) >= 0.9 * len(want)
