@@ -91,6 +91,20 @@ def interval_join(points: DataFrame, history: DataFrame, on: Sequence[str], poin
     return points.join(h, condition, how).select(*points.columns, *rest)
 
 
+def disjoint_interval_join(points: DataFrame, history: DataFrame, on: Sequence[str], point_time: str, tie_breakers: Sequence[str] = (), start: str = "valid_from", end: str = "valid_to", bucket: str = "day") -> DataFrame:
+    """The same (inner) where the intervals of a key don't overlap, as those of ``intervals``.
+
+    The last interval that has begun is the only one that can hold, so this is
+    an as-of join: linear, and even if one key has all rows.
+    """
+    h = history.select(*on, *[F.col(c).alias(f"__h_{c}") for c in history.columns if c not in on])
+    rest = [c for c in history.columns if c not in on and c not in points.columns]
+    values = list(dict.fromkeys(f"__h_{c}" for c in (start, end, *rest)))
+    met = asof_join(points, h, on, point_time, f"__h_{start}", values, [f"__h_{c}" for c in tie_breakers], bucket)
+    held = F.col(f"__h_{start}").isNotNull() & (F.col(f"__h_{end}").isNull() | (F.col(point_time) < F.col(f"__h_{end}")))
+    return met.filter(held).select(*points.columns, *[F.col(f"__h_{c}").alias(c) for c in rest])
+
+
 def freshness(sources: DataFrame, items: DataFrame, as_of: str, source: str = "source_id", seen: str = "ingested_at", expected: str = "expected_minutes") -> DataFrame:
     """Age of each source at ``as_of`` against its expected interval (T6); without data the status is unknown."""
     last = known_at(items, seen, as_of).groupBy(source).agg(F.max(seen).alias("last_seen"))

@@ -434,7 +434,7 @@ def artefact_version_as_of(spark, d):
     t = Tables(spark, d)
     active = t.rows("name string, version int, at timestamp, stage string", *ARTEFACTS).filter("stage = 'active'")
     h = T.intervals(active, ["name"], "at", ["version"], bucket="month")
-    out = T.interval_join(t.events.withColumn("name", F.lit("score")), h, ["name"], "ts")
+    out = T.disjoint_interval_join(t.events.withColumn("name", F.lit("score")), h, ["name"], "ts", ["version"])
     return out.groupBy("version").agg(F.count(F.lit(1)).alias("events"), r6(F.sum(F.col("value") * F.col("version")), 2).alias("scored"))
 
 

@@ -54,7 +54,7 @@ def interval_join_active(spark, d):
     o = Tables(spark, d).orders
     h = T.intervals(o.select("o_custkey", F.col("o_orderkey").alias("active_key"), "o_orderdate"), ["o_custkey"], "o_orderdate", ["active_key"], bucket="year")
     p = o.filter("o_orderpriority = '1-URGENT'").select("o_custkey", F.col("o_orderkey").alias("point_key"), (F.col("o_orderdate") + F.expr("INTERVAL 10 DAYS")).alias("at"))
-    return T.interval_join(p, h, ["o_custkey"], "at").select("point_key", "active_key")
+    return T.disjoint_interval_join(p, h, ["o_custkey"], "at", ["active_key"], bucket="year").select("point_key", "active_key")
 
 
 SOURCES = (("click", 60), ("view", 1), ("purchase", 600), ("signup", 5), ("error", 30), ("silent", 60))

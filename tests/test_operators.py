@@ -327,3 +327,12 @@ def test_hashed_pairs_find_what_all_pairs_find(spark):
     want = {(p["id_a"], p["id_b"]) for p in I.blocked_pairs(df, "id", "block", "v", 0.9).collect()}
     got = {(p["id_a"], p["id_b"]) for p in I.hashed_pairs(df, "id", "v", 0.9, 32).collect()}
     assert len(want) > 100 and got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_both_interval_joins_agree(spark):
+    r = random.Random(7)
+    stamp = lambda: f"2024-01-{r.randrange(1, 20):02d} 00:00:00"
+    h = T.intervals(frame(spark, "k string, since timestamp, n int", [(r.choice("ab"), stamp(), i) for i in range(30)]), ["k"], "since", ["n"])
+    points = frame(spark, "id int, k string, ts timestamp", [(i, r.choice("abc"), stamp()) for i in range(40)])
+    a, b = T.interval_join(points, h, ["k"], "ts"), T.disjoint_interval_join(points, h, ["k"], "ts", ["n"])
+    assert collected(a.select("id", "n")) == collected(b.select("id", "n")) and a.count() > 20
