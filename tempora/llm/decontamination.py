@@ -6,7 +6,8 @@ template. Windows of template words are hash-joined with the benchmark's
 windows and compared as strings. On each alignment of a document with an item
 (the distance of their positions) the slots must be consistent: one value of
 the item stands for one value of the document. An item leaks into a document if
-consistent alignments cover ``least_cover`` of the item's windows or more.
+consistent alignments cover ``least_cover`` of the item's windows or more, or
+``least_run`` of them: a long passage of a longer item is a leak too.
 
 A number is a word that starts with a digit after its punctuation; a unit is a
 listed word right after a number; a name is a listed given name, or a word with
@@ -113,15 +114,15 @@ def _windows(rows: DataFrame, sizes: list[int] | None, window: int, only: np.nda
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, {_COLUMNS}")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 8, least_cover: float = 0.5, least_words: int = 3, prefilter_hashes: int = 1_000_000) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 8, least_cover: float = 0.5, least_run: int = 20, least_words: int = 3, prefilter_hashes: int = 1_000_000) -> DataFrame:
     """(doc_id, item_id, n_windows, n_matched, coverage, kind) for every item that leaks into a document."""
     rows = docs.select(F.struct(col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("rk")).alias("key"), col(text_col).alias("text"))
-    found = _leaks(rows, benchmark.select(col(item_col).alias("key"), col(item_text).alias("text")), window, least_cover, least_words, prefilter_hashes)
+    found = _leaks(rows, benchmark.select(col(item_col).alias("key"), col(item_text).alias("text")), window, least_cover, least_run, least_words, prefilter_hashes)
     most = found.groupBy(F.col("key.doc_id").alias("doc_id"), "item_id").agg(F.max(F.struct("coverage", "n_matched", "n_windows", "kind")).alias("m"))
     return most.select("doc_id", "item_id", "m.n_windows", "m.n_matched", "m.coverage", "m.kind")
 
 
-def _leaks(rows: DataFrame, items: DataFrame, window: int, least_cover: float, least_words: int, prefilter_hashes: int) -> DataFrame:
+def _leaks(rows: DataFrame, items: DataFrame, window: int, least_cover: float, least_run: int, least_words: int, prefilter_hashes: int) -> DataFrame:
     theirs = materialize(_windows(items, None, window, None).filter((F.col("literals") >= least_words) | (F.col("n_words") < window)), "template-items")
     held = theirs.groupBy("key").agg(F.countDistinct("pos").alias("n_windows"))
     sizes = sorted(r[0] for r in theirs.select("size").distinct().collect())  # at most ``window`` numbers
@@ -143,12 +144,12 @@ def _leaks(rows: DataFrame, items: DataFrame, window: int, least_cover: float, l
     consistent = aligned.filter(F.col("values") == F.col("value_pairs"))
     found = consistent.select("key", "item_id", "same", F.explode("at").alias("at")).groupBy("key", "item_id").agg(F.countDistinct("at").alias("n_matched"), F.max("same").alias("same"))
     cover = found.join(held.withColumnRenamed("key", "item_id"), "item_id").withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
-    return cover.filter(F.col("coverage") >= least_cover).withColumn("kind", F.when(F.col("same"), "verbatim").otherwise("reparameterised"))
+    return cover.filter((F.col("coverage") >= least_cover) | (F.col("n_matched") >= least_run)).withColumn("kind", F.when(F.col("same"), "verbatim").otherwise("reparameterised"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` into which no item leaks."""
-    given = {"window": 8, "least_cover": 0.5, "least_words": 3, "prefilter_hashes": 1_000_000} | options
+    given = {"window": 8, "least_cover": 0.5, "least_run": 20, "least_words": 3, "prefilter_hashes": 1_000_000} | options
     rows = docs.select(row_key(id_col, text_col).alias("key"), col(text_col).alias("text"))
     bad = materialize(_leaks(rows, benchmark.select(col(item_col).alias("key"), col(item_text).alias("text")), **given).select("key").distinct(), "template-leaks")
     marked = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), row_key(id_col, text_col).alias("key"))

@@ -218,6 +218,14 @@ CASES = [
 ]
 
 
+def test_a_long_part_of_a_longer_item_leaks(spark):
+    words = prose(77, 90, 10**6).split()
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    parts = [(1, "so " + " ".join(words[30:60]) + " end"), (2, "so " + " ".join(words[30:50]) + " end")]
+    out = rows(decontamination.leaks(spark.createDataFrame(parts, "doc_id long, text string"), items, least_words=0))
+    assert [r["doc_id"] for r in out] == [1]
+
+
 @pytest.mark.parametrize("prefilter", [1_000_000, 0])
 def test_templates(spark, prefilter):
     docs = spark.createDataFrame([(i, t, "z", 7) for i, t in CASES], "doc_id long, text string, key string, h int")
