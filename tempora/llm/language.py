@@ -84,7 +84,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum()
 
 
-def ftrl(examples: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epochs: int = 6, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+def ftrl(examples: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epochs: int = 6, alpha: float = 0.2, beta: float = 1.0, l1: float = 0.02, l2: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Weights (SIZE x classes) and bias; examples are (features, values, class). The bias has no penalty."""
     z, n = np.zeros((SIZE + 1, classes)), np.zeros((SIZE + 1, classes))
     penalty = np.full((SIZE + 1, 1), l1)
