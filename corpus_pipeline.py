@@ -15,7 +15,7 @@ from tempora.llm import bpe, decontamination, language, line_dedup, simhash
 from tempora.llm._common import materialize, table
 
 #: The least calibrated probability with which a language is accepted.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.35
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
