@@ -2,7 +2,7 @@
 
 A text is cut by the tokenizer's pattern. The words a worker has not met yet go
 into a table of (word, position, token) rows, one row per byte; a recursive
-query joins neighbouring rows with the merge table (every way to put a token together), contracts every word's
+query joins linked neighbouring rows with the merge table (every way to put a token together), contracts every word's
 leftmost pair of least rank, and goes on until no word has a pair left. One
 query makes a bounded number of rounds and hands its last state to the next, so
 memory is bounded for words of any length (the time for one word grows with the
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +29,9 @@ from pyspark.sql import DataFrame
 from tempora.llm._common import col, text_slices
 
 #: Rows a recursive query may make before it hands over its state.
-ROUND_ROWS = 1_000_000
+ROUND_ROWS = 4_000_000
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 
 
 def _spell(raw: bytes) -> str:
@@ -52,6 +53,7 @@ class Codec:
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.cut = regex.compile(pattern).findall
         self.words: dict[str, bytes] = {}
+        self.decimal = [str(i) for i in range(max(ranks.values()) + 1)]
 
     def _table(self, name: str, columns: dict) -> None:
         self.db.register("given", pa.table(columns))
@@ -64,13 +66,10 @@ class Codec:
         sizes = np.array([len(b) for b in raw], np.int64)
         starts = np.cumsum(sizes) - sizes
         n = int(sizes.sum())
-        rows = pa.table(
-            {
-                "w": np.repeat(np.arange(len(raw), dtype=np.int32), sizes),
-                "pos": (np.arange(n) - np.repeat(starts, sizes)).astype(np.int32),
-                "tok": self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)],
-            }
-        )
+        word, tok = np.repeat(np.arange(len(raw), dtype=np.int32), sizes), self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
+        pos = (np.arange(n) - np.repeat(starts, sizes)).astype(np.int32)
+        end = np.r_[word[1:] != word[:-1], np.ones(min(n, 1), bool)]
+        rows = pa.table({"w": word, "pos": pos, "tok": tok, "next_pos": pa.array(pos + 1, mask=end), "next_tok": pa.array(np.r_[tok[1:], tok[:1]], mask=end)})
         out = [b""] * len(raw)
         while rows.num_rows:
             rounds = max(1, ROUND_ROWS // rows.num_rows)
@@ -78,21 +77,22 @@ class Codec:
             last = self.db.sql(
                 f"""
                 WITH RECURSIVE state AS (
-                    SELECT 0 AS step, w, pos, tok, lead(pos) OVER v AS next_pos, tok::BIGINT << 32 | lead(tok) OVER v AS pair
-                    FROM start WINDOW v AS (PARTITION BY w ORDER BY pos)
+                    SELECT 0 AS step, w, pos, tok, next_pos, next_tok FROM start
                     UNION ALL
-                    SELECT step, w, pos, tok, lead(pos) OVER v, tok::BIGINT << 32 | lead(tok) OVER v
-                    FROM (
-                        SELECT s.step + 1 AS step, s.w, s.pos, CASE WHEN s.pos = best.pos THEN best.id ELSE s.tok END AS tok
-                        FROM state s JOIN (
+                    SELECT s.step + 1, s.w, s.pos, CASE WHEN s.pos = best.pos THEN best.id ELSE s.tok END,
+                        CASE WHEN s.pos = best.pos THEN best.after_pos ELSE s.next_pos END,
+                        CASE WHEN s.pos = best.pos THEN best.after_tok WHEN s.next_pos = best.pos THEN best.id ELSE s.next_tok END
+                    FROM state s JOIN (
+                        SELECT least.*, g.next_pos AS after_pos, g.next_tok AS after_tok
+                        FROM (
                             SELECT w, min(m.id) AS id, arg_min(pos, m.id::BIGINT << 32 | pos) AS pos, arg_min(next_pos, m.id::BIGINT << 32 | pos) AS gone
-                            FROM state JOIN merges m USING (pair) WHERE step < {rounds} GROUP BY w
-                        ) best USING (w)
-                        WHERE s.pos <> best.gone
-                    ) WINDOW v AS (PARTITION BY w ORDER BY pos)
+                            FROM state JOIN merges m ON m.pair = (tok::BIGINT << 32 | next_tok) WHERE step < {rounds} GROUP BY w
+                        ) least JOIN state g ON g.w = least.w AND g.pos = least.gone
+                    ) best USING (w)
+                    WHERE s.pos <> best.gone
                 ),
                 ended AS (SELECT w, max(step) AS step FROM state GROUP BY w)
-                SELECT w, pos, tok, step = {rounds} AS going FROM state JOIN ended USING (w, step) ORDER BY w, pos
+                SELECT w, pos, tok, next_pos, next_tok, step = {rounds} AS going FROM state JOIN ended USING (w, step) ORDER BY w, pos
                 """
             ).to_arrow_table()
             self.db.unregister("start")
@@ -102,21 +102,26 @@ class Codec:
             first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]]) if len(w) else np.array([], np.int64)
             for a, b in zip(first.tolist(), [*first[1:].tolist(), len(w)], strict=False):
                 out[w[a]] = ids[a:b].tobytes()
-            rows = last.filter(pa.array(going)).select(["w", "pos", "tok"])
+            rows = last.filter(pa.array(going)).select(["w", "pos", "tok", "next_pos", "next_tok"])
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         cut = [self.cut(t) for t in texts]
         known = self.words
-        new = list(dict.fromkeys(w for ws in cut for w in ws if w not in known))
+        met = set(chain.from_iterable(cut))
+        new = list(met.difference(known))
         if len(known) + len(new) > CACHE_WORDS:
             known.clear()
-            new = list(dict.fromkeys(w for ws in cut for w in ws))
+            new = list(met)
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             known.update(zip(part, self.encode_words(part), strict=True))
-        return [np.frombuffer(b"".join([known[w] for w in ws]), np.int32) for ws in cut]
+        return [np.frombuffer(b"".join(map(known.__getitem__, ws)), np.int32) for ws in cut]
+
+    def digest(self, ids: np.ndarray) -> str:
+        """SHA-256 of the decimal ids, joined by commas."""
+        return hashlib.sha256(",".join(map(self.decimal.__getitem__, ids.tolist())).encode()).hexdigest()
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each list of ids."""
@@ -190,7 +195,7 @@ def round_trip(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "
                 columns = {
                     "doc_id": part.column("doc_id"),
                     "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
-                    "ids_sha256": pa.array([hashlib.sha256(",".join(map(str, x.tolist())).encode()).hexdigest() for x in ids], pa.string()),
+                    "ids_sha256": pa.array([both.digest(x) for x in ids], pa.string()),
                     "decoded_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string()),
                 }
                 if keep_ids:
