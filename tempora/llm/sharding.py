@@ -72,10 +72,7 @@ def descend(key: Column, node: Node) -> Column:
     if len(node.children) == 1:
         return descend(key, node.children[0])
     draws = [F.struct(_draw(key, c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(node.children)]
-    best = F.least(*draws)["i"]
-    return F.element_at(F.array(*[F.lit(i) for i in range(len(node.children))]), best + 1) if all(
-        c.shard == i for i, c in enumerate(node.children)
-    ) else _choose(best, [descend(key, c) for c in node.children])
+    return _choose(F.least(*draws)["i"], [descend(key, c) for c in node.children])
 
 
 def _choose(index: Column, values: list[Column]) -> Column:

@@ -115,7 +115,6 @@ def test_substrings_of_nothing(empty):
 
 
 def brute_chunks(text, roll=2, divisor=2):
-    from pyspark.sql import functions as F  # noqa: F401
     import xxhash
 
     lines = text.split("\n")
