@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame
 from tempora.llm._common import col, text_slices
 
 #: Rows a recursive query may make before it hands over its state.
-ROUND_ROWS = 4_000_000
+ROUND_ROWS = 2_000_000
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 
 
 def _spell(raw: bytes) -> str:
