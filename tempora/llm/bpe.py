@@ -30,7 +30,7 @@ from tempora.llm._common import col, text_slices
 
 #: Rows a recursive query may make before it hands over its state.
 ROUND_ROWS = 2_000_000
-#: Words whose ids a worker remembers.
+#: Words whose ids a worker remembers, unless told otherwise: about 200 bytes each, against the time to encode a word again.
 CACHE_WORDS = 300_000
 
 
@@ -53,6 +53,7 @@ class Codec:
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.cut = regex.compile(pattern).findall
         self.words: dict[str, bytes] = {}
+        self.cache_words = CACHE_WORDS
         self.decimal = [str(i) for i in range(max(ranks.values()) + 1)]
 
     def _table(self, name: str, columns: dict) -> None:
@@ -111,7 +112,7 @@ class Codec:
         known = self.words
         met = set(chain.from_iterable(cut))
         new = list(met.difference(known))
-        if len(known) + len(new) > CACHE_WORDS:
+        if len(known) + len(new) > self.cache_words:
             known.clear()
             new = list(met)
         for at in range(0, len(new), 20_000):
@@ -180,7 +181,7 @@ def decode(encoded: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "d
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, decoded binary")
 
 
-def round_trip(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256: both directions in one pass over the texts.
 
     Only the ids go from the encoder to the decoder. With ``keep_ids`` they are returned as a column ids.
@@ -190,6 +191,7 @@ def round_trip(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "
         for batch in batches:
             for part in text_slices(batch, limit=1 << 20):
                 both = codec(ranks_file, pattern)
+                both.cache_words = cache_words
                 ids = both.encode(_texts(part.column("text")))
                 decoded = both.decode(ids)
                 columns = {

@@ -50,7 +50,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
         ranks = f.read()
-    return bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, cache_words=1_000_000)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
