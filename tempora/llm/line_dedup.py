@@ -3,7 +3,11 @@
 Every line of a text is hashed. A buzhash rolls over the hashes of the last
 ``roll`` lines, and a chunk ends after a line where it is divisible by
 ``divisor`` (or after the last line). The choice depends on nearby lines only,
-so an inserted or lost line shifts no boundary further on. A chunk of two or
+so an inserted or lost line shifts no boundary further on. With ``least``, a
+chunk does not end before it holds that many lines that are not blank, and a
+shorter last chunk joins its predecessor: a copy of a whole text of two lines or
+more is then made of searchable chunks only. With a least size of two, boundaries
+agree again after the next line that is no candidate. A chunk of two or
 more lines that are not blank, found more than once in all documents, is kept
 in the document of the smallest id that holds it, at its first place there, and
 removed everywhere else.
@@ -32,7 +36,12 @@ def _rotate(x: Column, by: int) -> Column:
     return F.shiftleft(x, by).bitwiseOR(F.shiftrightunsigned(x, 64 - by)) if by else x
 
 
-def chunks(text: Column, roll: int = 2, divisor: int = 2) -> Column:
+def _cuts(least: int) -> str:
+    """A chunk of ``least`` or more lines that are not blank, where each line is a letter: 1 or 0, blank b or a, with 1 and b candidates for an end."""
+    return rf"(?:[ab]*+[01]){{{least - 1}}}[ab]*+(?:1|0[a0]*+[1b])(?:[ab]*+(?:[01][ab]*+){{0,{least - 1}}}$)?|.+"
+
+
+def chunks(text: Column, roll: int = 2, divisor: int = 2, least: int = 0) -> Column:
     """The chunks of a text, in order: an array of arrays of lines."""
 
     # Arrays of one element bind a value, which a lambda would else work out again for every line.
@@ -45,23 +54,33 @@ def chunks(text: Column, roll: int = 2, divisor: int = 2) -> Column:
             out = out.bitwiseXOR(F.coalesce(_rotate(F.get(hashes, i - k), k), F.lit(0).cast("long")))
         return out
 
-    def ends(hashes: Column) -> Column:
+    def ends(lines: Column, hashes: Column) -> Column:
         last = F.size(hashes) - 1
-        return F.filter(F.sequence(F.lit(0), last), lambda i: (F.pmod(rolled(hashes, i), F.lit(divisor)) == 0) | (i == last))
+        candidate = lambda i: F.pmod(rolled(hashes, i), F.lit(divisor)) == 0
+        if not least:
+            return F.filter(F.sequence(F.lit(0), last), lambda i: candidate(i) | (i == last))
+        letters = F.transform(lines, lambda x, i: F.when(_is_blank(x), F.when(candidate(i), "b").otherwise("a")).otherwise(F.when(candidate(i), "1").otherwise("0")))
+        marked = F.split(F.regexp_replace(F.array_join(letters, ""), _cuts(least), "$0|"), "")
+        # The k-th mark stands behind k marks and all lines up to its chunk's end.
+        return bound(marked, lambda m: F.transform(F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: F.get(m, i) == "|"), lambda at, k: at - k - 1))
 
     def cut(lines: Column, e: Column) -> Column:
         return F.transform(e, lambda end, k: F.slice(lines, F.coalesce(F.get(e, k - 1), F.lit(-1)) + 2, end - F.coalesce(F.get(e, k - 1), F.lit(-1))))
 
-    return bound(F.split(text, "\n", -1), lambda lines: bound(F.transform(lines, lambda x: F.xxhash64(x)), lambda hashes: bound(ends(hashes), lambda e: cut(lines, e))))
+    return bound(F.split(text, "\n", -1), lambda lines: bound(F.transform(lines, lambda x: F.xxhash64(x)), lambda hashes: bound(ends(lines, hashes), lambda e: cut(lines, e))))
+
+
+def _is_blank(line: Column) -> Column:
+    return ~line.rlike(r"[^\x20\x09-\x0D]")
 
 
 def _is_long(chunk: Column) -> Column:
-    return F.size(F.filter(chunk, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))) >= 2
+    return F.size(F.filter(chunk, lambda x: ~_is_blank(x))) >= 2
 
 
-def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", roll: int = 2, divisor: int = 2) -> DataFrame:
+def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", roll: int = 2, divisor: int = 2, least: int = 0) -> DataFrame:
     """(h1, h2, bytes, owner, places) of every chunk to remove; ``bytes`` only where the name is ambiguous."""
-    listed = docs.select(col(id_col).alias("id"), F.explode(F.filter(chunks(col(text_col), roll, divisor), _is_long)).alias("c")).select("id", F.array_join("c", "\n").alias("chunk"))
+    listed = docs.select(col(id_col).alias("id"), F.explode(F.filter(chunks(col(text_col), roll, divisor, least), _is_long)).alias("c")).select("id", F.array_join("c", "\n").alias("chunk"))
     exact = listed.groupBy("chunk").agg(F.count(F.lit(1)).alias("places"), F.min("id").alias("owner"))
     named = materialize(exact.select(*_name(F.col("chunk")), "places", "owner", F.when(F.col("places") > 1, F.col("chunk")).alias("bytes")), "line-chunks")
     found = named.filter("places > 1")
@@ -74,15 +93,15 @@ def _name(chunk: Column) -> list[Column]:
     return [F.xxhash64(chunk).alias("h1"), F.xxhash64(F.lit("second"), chunk).alias("h2")]
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", roll: int = 2, divisor: int = 2, removed_col: str = "n_removed_chunks") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", roll: int = 2, divisor: int = 2, removed_col: str = "n_removed_chunks", least: int = 0) -> DataFrame:
     """``docs`` with shortened texts, and the number of chunks each lost in ``removed_col``."""
-    found = materialize(repeated_chunks(docs, id_col, text_col, roll, divisor), "line-repeated")
-    narrow = docs.select(row_key(id_col, text_col).alias("rk"), col(id_col).alias("id"), F.explode(F.array_distinct(F.transform(F.filter(chunks(col(text_col), roll, divisor), _is_long), lambda c: F.struct(*_name(F.array_join(c, "\n")))))).alias("c")).select("rk", "id", "c.h1", "c.h2")
+    found = materialize(repeated_chunks(docs, id_col, text_col, roll, divisor, least), "line-repeated")
+    narrow = docs.select(row_key(id_col, text_col).alias("rk"), col(id_col).alias("id"), F.explode(F.array_distinct(F.transform(F.filter(chunks(col(text_col), roll, divisor, least), _is_long), lambda c: F.struct(*_name(F.array_join(c, "\n")))))).alias("c")).select("rk", "id", "c.h1", "c.h2")
     hits = narrow.join(found, ["h1", "h2"]).select("rk", F.struct("h1", "h2", "bytes", F.col("id").eqNullSafe(F.col("owner")).alias("own")).alias("hit"))
     gathered = materialize(hits.groupBy("rk").agg(F.collect_set("hit").alias("hits")), "line-hits")
     marked = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), row_key(id_col, text_col).alias("rk"))
     text = F.col("row").getField(text_col)
-    joined = marked.join(gathered, "rk", "left").select("row", "hits", F.when(F.col("hits").isNotNull(), chunks(text, roll, divisor)).alias("cut"))
+    joined = marked.join(gathered, "rk", "left").select("row", "hits", F.when(F.col("hits").isNotNull(), chunks(text, roll, divisor, least)).alias("cut"))
     named = joined.select("row", "hits", F.transform("cut", _described).alias("cut"))
     decided = named.select("row", F.filter("cut", lambda c, k: _stays(c, k, F.col("hits"), F.col("cut"))).alias("kept"), F.size("cut").alias("n"))
     new = F.when(F.col("kept").isNotNull(), F.array_join(F.transform("kept", lambda c: c["whole"]), "\n")).otherwise(text)

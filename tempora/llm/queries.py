@@ -23,7 +23,7 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.dedup_lines(docs).select("doc_id", "text", "n_removed_chunks")
+    return line_dedup.dedup_lines(docs, least=2).select("doc_id", "text", "n_removed_chunks")
 
 
 def _spans(listed) -> F.Column:

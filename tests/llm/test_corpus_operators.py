@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tempora.llm._common import materialize
-from tempora.llm import bpe, decontamination, language, line_dedup, pii, quality, secrets, sharding, simhash, substring_dedup
+from tempora.llm import bpe, decontamination, language, line_dedup, pii, quality, queries, secrets, sharding, simhash, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, label string"
@@ -174,6 +174,39 @@ def test_lines(spark):
     assert rows(line_dedup.dedup_lines(df.filter("false"))) == []
 
 
+def brute_least(text, least):
+    """brute_chunks' candidates, each taken only where the chunk holds ``least`` lines with a word."""
+    solid = lambda c: sum(bool(WORD.search(x)) for x in c)
+    out, now = [], []
+    for c in brute_chunks(text):
+        now += c
+        if solid(now) >= least:
+            out.append(now)
+            now = []
+    if now and out and solid(now) < least:
+        out[-1] += now
+    elif now:
+        out.append(now)
+    return out
+
+
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_chunks_of_a_least_size(spark, least):
+    r = random.Random(least)
+    texts = ["", "\n", "one", "one\n", "\n\none\n \n", *("\n".join(r.choice(["", " ", f"w{r.randrange(99)}"]) if r.random() < 0.4 else f"w{r.randrange(9999)}" for _ in range(r.randrange(1, 40))) for _ in range(200))]
+    out = rows(spark.createDataFrame([(t,) for t in texts], "t string").select("t", line_dedup.chunks(F.col("t"), least=least).alias("c")))
+    assert all(x["c"] == brute_least(x["t"], least) for x in out)
+
+
+def test_a_copy_of_several_lines_loses_all_its_text(spark, tmp_path):
+    texts = [prose(1000 + i, 20 + 5 * i).replace(" ", "\n") for i in range(30)]
+    texts = [t for t in texts if sum(bool(WORD.search(x)) for x in t.split("\n")) > 1]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(100 + i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = rows(queries.op3_lines(spark, str(tmp_path)))
+    assert len(out) == 2 * len(texts) and all(not r["text"] for r in out if r["doc_id"] >= 100)
+    assert all(WORD.search(r["text"]) for r in out if r["doc_id"] < 100)
+
+
 def test_line_plan_has_no_python(docs):
     plan = line_dedup.repeated_chunks(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|ScalaUDF", plan)
