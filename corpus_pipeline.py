@@ -26,7 +26,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take repeated line chunks out of the texts; n_chars follows, and documents left without a word go."""
-    short = line_dedup.dedup_lines(docs, removed_col="__removed")
+    short = line_dedup.dedup_lines(docs, removed_col="__removed", least=2)
     kept = short.filter((F.col("__removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     out = [F.when(F.col("__removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return kept.select(*out)

@@ -81,3 +81,14 @@ def test_pipeline(spark, folder):
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     texts = collections.Counter((r["doc_id"], tuple(own.encode_ordinary(r["text"])), hashlib.sha256(r["text"].encode()).hexdigest()) for r in four.collect())
     assert collections.Counter((r["doc_id"], tuple(r["ids"]), r["decoded_sha256"]) for r in pipeline.run(spark, root).collect()) == texts
+
+
+def test_pipeline_leaves_no_copy_of_several_lines(spark, folder):
+    """What is left of a document that repeats another one of several lines: nothing, not a fragment."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    root, _ = folder
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{root}/documents.parquet").collect()}
+    out = {r["doc_id"] for r in pipeline.run(spark, root).collect()}
+    copies = [100, 101, 102, 103, 140]
+    assert all("\n" in texts[i] for i in copies) and {0, 5} <= out
+    assert not out & set(copies)
