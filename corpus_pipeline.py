@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm import bpe, decontamination, language, line_dedup, simhash
+from tempora.llm import bpe, decontamination, language, line_dedup, near_copies
 from tempora.llm._common import materialize, table
 
 #: The least calibrated probability with which a language is accepted.
@@ -33,8 +33,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: the smallest id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies (five words, similarity 0.8) stays: the smallest id."""
+    return near_copies.keep_one(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

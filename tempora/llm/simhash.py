@@ -149,7 +149,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """
     plain = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
     rows = materialize(fingerprints(plain.withColumn("rk", row_key("doc_id", "text")), "doc_id", "text", keep=["rk"], **{k: v for k, v in options.items() if k == "shingle"}), "simhash-rows")
-    final = components(rows, options.get("hot_bucket", 32))
+    return keep_heads(docs, rows, components(rows, options.get("hot_bucket", 32)), id_col, text_col)
+
+
+def keep_heads(docs: DataFrame, rows: DataFrame, final: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that head a component; ``rows`` has doc_id, rk and fp, ``final`` what ``components`` gives."""
     heads = rows.join(final, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     best = heads.groupBy("root").agg(F.min("rk").alias("rk"), F.count(F.lit(1)).alias("n"))
     chosen = materialize(best.select(F.col("rk").alias("__rk"), "n"), "simhash-chosen")

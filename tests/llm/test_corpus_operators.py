@@ -374,6 +374,57 @@ def test_keep_one(docs, empty):
     assert rows(simhash.keep_one(empty)) == [] == rows(simhash.near_duplicates(empty))
 
 
+def brute_near(texts, words=5, threshold=0.8):
+    """The first place of each text's component."""
+    split = [re.sub("[A-Z]", lambda m: m[0].lower(), t or "") for t in texts]
+    split = [WORD.findall(t) for t in split]
+    sets = [{tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set() for w in split]
+    head = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if sets[a] == sets[b] or (sets[a] & sets[b] and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])):
+                old, new = max(head[a], head[b]), min(head[a], head[b])
+                head = [new if h == old else h for h in head]
+    return head
+
+
+@pytest.mark.parametrize("hot", [32, 1])
+def test_the_near_duplicate_stage_finds_pairs_at_0_8_of_five_words(spark, hot):
+    import corpus_pipeline
+
+    from tempora.llm import near_copies
+
+    r = random.Random(5)
+    texts = [t for _, t in TEXTS]
+    for k in range(12):
+        words = [f"w{r.randrange(5000)}" for _ in range(300)]
+        for n in (0, 2, 5, 8, 9, 14):
+            other = list(words)
+            for at in r.sample(range(300), n):
+                other[at] = f"x{r.randrange(10**6)}"
+            texts.append(" ".join(other))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    if hot == 32:
+        kept = rows(corpus_pipeline.near_duplicate_stage(spark, df, ""))
+    else:
+        kept = rows(near_copies.keep_one(df, hot_bucket=hot))
+    want = set(brute_near(texts))
+    assert len(want) < len(texts) - 12 and sorted(x["doc_id"] for x in kept) == sorted(want)
+
+
+def test_near_copies_keep_rows_that_share_an_id(docs, empty):
+    from tempora.llm import near_copies
+
+    kept = rows(near_copies.keep_one(docs))
+    ids = [i for i, _ in TEXTS]
+    groups = collections.defaultdict(set)
+    for h, i in zip(brute_near([t for _, t in TEXTS]), ids, strict=True):
+        groups[h].add(i)
+    least = [min((i for i in g if i is not None), default=None) for g in groups.values()]
+    assert collections.Counter(x["doc_id"] for x in kept) == collections.Counter(least)
+    assert rows(near_copies.keep_one(empty)) == []
+
+
 # 8: language
 
 
