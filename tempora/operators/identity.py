@@ -140,9 +140,15 @@ def materialize_events(items: DataFrame, event: str, time_col: str, arrays: Sequ
     return items.groupBy(event).agg(F.min(time_col).alias("first_reported"), F.max(time_col).alias("last_updated"), F.count(F.lit(1)).alias("items"), *merged)
 
 
-def may_move_state(reliability: Column, sources: Column) -> Column:
-    """Reliability gate (D16): A moves state; B with a second source; C is evidence; D is radar only."""
-    return F.when(reliability == "A", "moves_state").when((reliability == "B") & (sources >= 2), "moves_state").when(reliability.isin("B", "C"), "evidence").otherwise("radar")
+def may_move_state(reliability: Column, sources: Column, materiality: Column | None = None, threshold: float = 0.0) -> Column:
+    """Reliability gate (D16): A moves state; B with a second source; C is evidence; D is radar only.
+
+    With ``materiality`` also the anti-hype gate (D17): what is below ``threshold``
+    or unknown moves no state, however reliable; of A and B it is evidence.
+    """
+    reliable = (reliability == "A") | ((reliability == "B") & (sources >= 2))
+    moves = reliable if materiality is None else reliable & (materiality >= threshold)
+    return F.when(moves, "moves_state").when(reliability.isin("A", "B", "C"), "evidence").otherwise("radar")
 
 
 def source_learning(items: DataFrame, source: str, event: str, time_col: str, tie: str, noise: str) -> DataFrame:

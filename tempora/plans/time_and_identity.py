@@ -238,6 +238,20 @@ def reliability_gate(spark, d):
     return e.select("event_key", "class", "sources", I.may_move_state(F.col("class"), F.col("sources")).alias("gate"))
 
 
+#: The test tables have no materiality; the length of an event's longest text, up to 4,000 characters, stands for it.
+@query(f"""WITH s AS (SELECT source, avg(quality) AS good FROM documents JOIN labels USING (doc_id) GROUP BY 1), c AS (SELECT source, {_CLASS} AS class FROM s),
+    e AS (SELECT {_HASH} AS event_key, count(DISTINCT source) AS sources, min(class) AS class, least(1.0::DOUBLE, max(n_chars) / 4000.0::DOUBLE) AS materiality FROM documents JOIN c USING (source) GROUP BY 1)
+    SELECT event_key, class, sources, materiality, CASE WHEN (class = 'A' OR (class = 'B' AND sources >= 2)) AND materiality >= 0.5 THEN 'moves_state' WHEN class IN ('A', 'B', 'C') THEN 'evidence' ELSE 'radar' END AS gate FROM e""")
+def anti_hype_gate(spark, d):
+    t = Tables(spark, d)
+    good = t.documents.select("doc_id", "source").join(t.labels, "doc_id").groupBy("source").agg(F.avg("quality").alias("good"))
+    classes = good.select("source", F.when(F.col("good") >= 0.8, "A").when(F.col("good") >= 0.6, "B").when(F.col("good") >= 0.3, "C").otherwise("D").alias("class"))
+    docs = t.documents.select("source", "n_chars", I.content_hash(F.col("text")).alias("event_key")).join(classes, "source")
+    weight = F.least(F.lit(1.0), F.max("n_chars") / F.lit(4000.0)).alias("materiality")
+    e = docs.groupBy("event_key").agg(F.count_distinct("source").alias("sources"), F.min("class").alias("class"), weight)
+    return e.select("event_key", "class", "sources", "materiality", I.may_move_state(F.col("class"), F.col("sources"), F.col("materiality"), 0.5).alias("gate"))
+
+
 @query(f"""WITH i AS (SELECT {_HASH} AS k, doc_id, source, 1 - quality AS noise FROM documents JOIN labels USING (doc_id)), e AS (SELECT k, count(DISTINCT source) AS n, arg_min(source, doc_id) AS leader FROM i GROUP BY 1)
     SELECT source, count(*) AS items, round(avg((n >= 2)::INT), 6) AS corroborated_rate, round(avg((leader = source)::INT), 6) AS led_rate, round(avg(noise), 6) AS noise_rate FROM i JOIN e USING (k) GROUP BY 1""")
 def source_learning(spark, d):

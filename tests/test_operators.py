@@ -336,3 +336,10 @@ def test_both_interval_joins_agree(spark):
     points = frame(spark, "id int, k string, ts timestamp", [(i, r.choice("abc"), stamp()) for i in range(40)])
     a, b = T.interval_join(points, h, ["k"], "ts"), T.disjoint_interval_join(points, h, ["k"], "ts", ["n"])
     assert collected(a.select("id", "n")) == collected(b.select("id", "n")) and a.count() > 20
+
+
+def test_an_immaterial_item_moves_no_state(spark):
+    df = frame(spark, "class string, sources int, m double", [("A", 1, 0.9), ("A", 1, 0.1), ("A", 1, None), ("B", 2, 0.5), ("B", 2, 0.4), ("B", 1, 0.9), ("C", 3, 0.9), ("D", 3, 0.9)])
+    out = df.select("class", "sources", "m", I.may_move_state(F.col("class"), F.col("sources"), F.col("m"), 0.5).alias("gate")).collect()
+    gates = [r["gate"] for r in out]
+    assert gates == ["moves_state", "evidence", "evidence", "moves_state", "evidence", "evidence", "evidence", "radar"]
