@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -82,12 +83,17 @@ def hyperplanes(dimensions: int, planes: int, seed: str) -> list[list[float]]:
     return out
 
 
-def hashed_pairs(df: DataFrame, key: str, vector: str, threshold: float, dimensions: int, bands: int = 16, bits: int = 8, seed: str = "planes") -> DataFrame:
+def hashed_pairs(df: DataFrame, key: str, vector: str, threshold: float, dimensions: int, bands: int | None = None, bits: int = 8, seed: str = "planes", recall: float = 0.996) -> DataFrame:
     """Pairs with a cosine of ``threshold`` or more among those that share a band of hyperplane signs (D4 without a block).
 
-    For tables where no block is small. A pair of cosine 0.9 shares one of 16
-    bands of 8 bits with probability 0.996; raise ``bits`` with the table.
+    For tables where no block is small. Unless given, ``bands`` is the number at
+    which a pair at the threshold shares a band with probability ``recall``: of 8
+    bits, 17 at 0.9 and 88 at 0.6. Raise ``bits`` with the table.
     """
+    if bands is None:
+        alike = (1 - math.acos(threshold) / math.pi) ** bits
+        bands = math.ceil(math.log(1 - recall) / math.log(1 - alike)) if alike < 1 else 1
+
     def side(plane: list[float]) -> Column:
         return F.aggregate(F.zip_with(F.col("v"), F.array(*[F.lit(x) for x in plane]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) >= 0
 

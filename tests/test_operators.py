@@ -343,3 +343,13 @@ def test_an_immaterial_item_moves_no_state(spark):
     out = df.select("class", "sources", "m", I.may_move_state(F.col("class"), F.col("sources"), F.col("m"), 0.5).alias("gate")).collect()
     gates = [r["gate"] for r in out]
     assert gates == ["moves_state", "evidence", "evidence", "moves_state", "evidence", "evidence", "evidence", "radar"]
+
+
+def test_hashed_pairs_keep_their_recall_at_a_low_threshold(spark):
+    r = random.Random(4)
+    centres = [[r.gauss(0, 1) for _ in range(16)] for _ in range(40)]
+    rows = [(i, [x + r.gauss(0, 0.8) for x in centres[i % 40]], 0) for i in range(160)]
+    df = spark.createDataFrame(rows, "id int, v array<double>, block int")
+    want = {(p["id_a"], p["id_b"]) for p in I.blocked_pairs(df, "id", "block", "v", 0.6).collect()}
+    got = {(p["id_a"], p["id_b"]) for p in I.hashed_pairs(df, "id", "v", 0.6, 16).collect()}
+    assert len(want) > 100 and got <= want and len(got) >= 0.98 * len(want), (len(got), len(want))
