@@ -50,9 +50,12 @@ def col(name: str) -> Column:
 
 
 def row_key(id_col: str, text_col: str) -> Column:
-    """128 bits that stand for a row's id and text; equal rows share them."""
-    none = F.lit("\u0001")
-    return F.unhex(F.md5(F.concat(F.coalesce(col(id_col).cast("string"), none), F.lit("|"), F.coalesce(col(text_col), none))))
+    """128 bits that stand for a row's id and text; equal rows share them, and no others (each part is null or tells its length)."""
+
+    def part(value: Column) -> Column:
+        return F.when(value.isNull(), "n").otherwise(F.concat(F.octet_length(value).cast("string"), F.lit(":"), value))
+
+    return F.unhex(F.md5(F.concat(part(col(id_col).cast("string")), part(col(text_col)))))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,15 +11,22 @@ the sample sets the temperature that calibrates the probabilities.
 Training takes rows with a text, a language and an id whose CRC-32 (as text) is
 not divisible by 5. Predictions use nothing but the text.
 
-Defined cases: a null text, or one without a letter, is ``und`` with score 0;
-so is every text if there is no row to train on; of equal probabilities the
-first language in alphabetical order wins; a null id counts as held out;
-repeated rows share their result; an empty table gives an empty result; other
-columns pass through ``identified`` and are not read otherwise.
+A text is familiar if the model knows as large a share of its n-grams (that is,
+has a weight for them) as it knows of the calibration documents of the language
+it is taken for, less ``SLACK``. A softmax over the learned languages says
+nothing of texts in none of them; this does, and it is derived from labelled rows.
+
+Defined cases: a null text, or one without a letter, is ``und`` with score 0 and
+not familiar; so is every text if there is no row to train on; of equal
+probabilities the first language in alphabetical order wins; a null id counts as
+held out; repeated rows share their result; an empty table gives an empty result;
+texts of any length are worked through in pieces; other columns pass through
+``identified``, but one named like a result is replaced by it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,6 +43,10 @@ SIZE = 1 << BITS
 ORDERS = (1, 2, 3)
 #: Brings relative frequencies to a range in which the learning rate works.
 GAIN = 30.0
+#: How far below the least known calibration document of its language a familiar text may lie.
+SLACK = 0.1
+#: Code points whose n-grams are held at once.
+PIECE = 1 << 20
 _letters: list[np.ndarray] = []
 
 
@@ -48,19 +59,36 @@ def _points(text: str | None) -> np.ndarray:
     return kept[(kept > 0) | np.r_[True, kept[:-1] > 0]] if len(kept) else kept
 
 
-def features(text: str | None) -> np.ndarray:
-    """The hashed n-grams of a text, repeats included; empty if it has no letter."""
+def _pieces(text: str | None) -> Iterator[np.ndarray]:
+    """The hashed n-grams of a text, in pieces of bounded size; nothing if it has no letter."""
     points = _points(text)
     if not points.any():
-        return np.empty(0, np.int64)
-    padded = np.concatenate([np.zeros(1, np.uint64), points.astype(np.uint64), np.zeros(1, np.uint64)])
-    out = []
+        return
+    padded = np.concatenate([np.zeros(1, np.uint32), points, np.zeros(1, np.uint32)])
     for n in ORDERS:
-        code = np.full(max(0, len(padded) - n + 1), n, np.uint64)
-        for k in range(n):
-            code = (code << np.uint64(21)) ^ padded[k : len(padded) - n + 1 + k]
-        out.append((mix(code) >> np.uint64(64 - BITS)).astype(np.int64))
-    return np.concatenate(out)
+        last = len(padded) - n + 1
+        for start in range(0, last, PIECE):
+            end = min(last, start + PIECE)
+            code = np.full(end - start, n, np.uint64)
+            for k in range(n):
+                code = (code << np.uint64(21)) ^ padded[start + k : end + k].astype(np.uint64)
+            yield (mix(code) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def features(text: str | None) -> np.ndarray:
+    """The hashed n-grams of a text, repeats included; empty if it has no letter."""
+    return np.concatenate([np.empty(0, np.int64), *_pieces(text)])
+
+
+def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The different features of a text and their counts."""
+    if len(text or "") < PIECE:
+        return np.unique(features(text), return_counts=True)
+    total = np.zeros(SIZE, np.int64)
+    for at in _pieces(text):
+        total += np.bincount(at, minlength=SIZE)
+    found = np.flatnonzero(total)
+    return found, total[found]
 
 
 @dataclass(frozen=True)
@@ -69,14 +97,29 @@ class Model:
     weights: np.ndarray  # SIZE x languages, idf and gain included
     bias: np.ndarray
     temperature: float
+    least_known: np.ndarray | None = None  # for each language
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        at = features(text)
-        if not len(at) or not self.languages:
-            return "und", 0.0
-        p = _softmax((self.weights[at].mean(axis=0) + self.bias) / self.temperature)
+        """The language of a text and its probability."""
+        return self.judge(text)[:2]
+
+    def judge(self, text: str | None) -> tuple[str, float, bool]:
+        """The language of a text, its probability, and whether the text is familiar."""
+        if not self.languages:
+            return "und", 0.0, False
+        total, known, n = np.zeros(len(self.languages)), 0, 0
+        for piece in _pieces(text):
+            for start in range(0, len(piece), SIZE):
+                taken = self.weights[piece[start : start + SIZE]]
+                total += taken.sum(axis=0, dtype=np.float64)
+                known += int(taken.any(axis=1).sum())
+                n += len(taken)
+        if not n:
+            return "und", 0.0, False
+        p = _softmax((total / n + self.bias) / self.temperature)
         best = int(p.argmax())
-        return self.languages[best], float(p[best])
+        floor = 0.0 if self.least_known is None else self.least_known[best]
+        return self.languages[best], float(p[best]), bool(known >= floor * n)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -135,11 +178,11 @@ def _document_frequency(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for part in text_slices(batch):
                 for text in part.column("text").to_pylist():
-                    at = features(text)
-                    if len(at):
-                        seen[at] = True
+                    for piece in _pieces(text):
+                        seen[piece] = True
+                    if seen.any():
                         total += seen
-                        seen[at] = False
+                        seen[:] = False
                         docs += 1
         at = np.flatnonzero(total)
         if docs:
@@ -154,7 +197,7 @@ def _sparse(texts: DataFrame) -> DataFrame:
             for part in text_slices(batch):
                 index, share = [], []
                 for text in part.column("text").to_pylist():
-                    found, n = np.unique(features(text), return_counts=True)
+                    found, n = counted(text)
                     index.append(found.astype(np.int32).tolist())
                     share.append((n / max(1, n.sum())).astype(np.float32).tolist())
                 yield pa.record_batch([part.column("place"), part.column("lang"), pa.array(index, pa.list_(pa.int32())), pa.array(share, pa.list_(pa.float32()))], names=["place", "lang", "feature", "share"])
@@ -186,26 +229,34 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     idf[list(counts)] = np.log((1 + total) / (1 + np.array(list(counts.values())))) + 1
     # About nine tenths of sample_docs by hash, so that the limit, which is there for equal rows, cuts nothing else.
     drawn = usable if total <= sample_docs else usable.filter(F.col("place") < F.lit(int(-(2**63) + 0.9 * sample_docs / total * 2**64)))
-    rows = _examples(_sparse(drawn.limit(sample_docs)).toArrow())
+    rows = _examples(_sparse(drawn).limit(sample_docs).toArrow())
     languages = sorted({r[1] for r in rows})
     if not languages:
         return Model([], np.zeros((SIZE, 0)), np.zeros(0), 1.0)
     examples = [(f, s * idf[f] * GAIN, languages.index(lang)) for _, lang, f, s in rows]
     fitted = [e for i, e in enumerate(examples) if i % 5] or examples
     rest = [e for i, e in enumerate(examples) if i % 5 == 0]
+    shares = [s for *_, s in rows][::5]
     w, bias = ftrl(fitted, len(languages), **options)
     logits = np.array([x @ w[f] + bias for f, x, _ in rest]).reshape(len(rest), len(languages))
     heat = temperature(logits, np.array([label for *_, label in rest], np.int64))
-    return Model(languages, (w * idf[:, None] * GAIN).astype(np.float32), bias, heat)
+    weights = (w * idf[:, None] * GAIN).astype(np.float32)
+    least = np.ones(len(languages))
+    for (f, _, label), share in zip(rest, shares, strict=True):
+        least[label] = min(least[label], share[weights[f].any(axis=1)].sum())
+    told = np.isin(np.arange(len(languages)), [label for *_, label in rest])
+    return Model(languages, weights, bias, heat, np.where(told, np.maximum(least - SLACK, 0), 0))
 
 
-def identified(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
-    """``docs`` with the predicted language and its calibrated probability."""
+def identified(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score", familiar_col: str | None = None) -> DataFrame:
+    """``docs`` with the predicted language, its calibrated probability and, if a name is given, whether the text is familiar."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded: SIZE rows for each language
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, familiar boolean")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([sent.value.predict(t) for t in texts], columns=["lang", "score"])
+        return pd.DataFrame([sent.value.judge(t) for t in texts], columns=["lang", "score", "familiar"])
 
-    marked = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), predict(col(text_col)).alias("found"))
-    return marked.select("row.*", F.col("found.lang").alias(pred_col), F.col("found.score").alias(score_col))
+    results = {pred_col: "lang", score_col: "score"} | ({familiar_col: "familiar"} if familiar_col else {})
+    kept = [c for c in docs.columns if c.lower() not in {r.lower() for r in results}]
+    marked = docs.select(F.struct(F.lit(0).alias("0"), *[col(c) for c in kept]).alias("row"), predict(col(text_col)).alias("found"))
+    return marked.select(*[F.col("row").getField(c).alias(c) for c in kept], *[F.col("found").getField(f).alias(name) for name, f in results.items()])

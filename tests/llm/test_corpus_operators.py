@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tempora.llm._common import materialize
+from tempora.llm._common import materialize, row_key
 from tempora.llm import bpe, decontamination, language, line_dedup, pii, quality, queries, secrets, sharding, simhash, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -133,9 +133,9 @@ def brute_chunks(text, roll=2, divisor=2):
     return out
 
 
-def brute_lines(given):
+def brute_lines(given, cut=brute_chunks):
     long = lambda c: sum(bool(WORD.search(x)) for x in c) >= 2
-    found = [[("\n".join(c), long(c)) for c in brute_chunks(t)] if t is not None else None for _, t in given]
+    found = [[("\n".join(c), long(c)) for c in cut(t)] if t is not None else None for _, t in given]
     places, owner = collections.Counter(), {}
     for (i, _), cs in zip(given, found, strict=True):
         for c, ok in cs or []:
@@ -164,11 +164,13 @@ LINES = [
 ]
 
 
-def test_lines(spark):
+@pytest.mark.parametrize("least", [0, 2])
+def test_lines(spark, least):
     given = LINES + [(i, t) for i, t in TEXTS]
     df = spark.createDataFrame([(i, t, "n", 1, "r") for i, t in given], "doc_id long, text string, row string, rk int, hits string")
-    out = rows(line_dedup.dedup_lines(df))
-    assert collections.Counter((r["doc_id"], r["text"]) for r in out) == collections.Counter(brute_lines(given))
+    out = rows(line_dedup.dedup_lines(df, least=least))
+    want = brute_lines(given, lambda t: brute_least(t, least) if least else brute_chunks(t))
+    assert collections.Counter((r["doc_id"], r["text"]) for r in out) == collections.Counter(want)
     assert {(r["row"], r["rk"], r["hits"]) for r in out} == {("n", 1, "r")}
     assert any(r["n_removed_chunks"] for r in out)
     assert rows(line_dedup.dedup_lines(df.filter("false"))) == []
@@ -388,12 +390,9 @@ def brute_near(texts, words=5, threshold=0.8):
     return head
 
 
-@pytest.mark.parametrize("hot", [32, 1])
-def test_the_near_duplicate_stage_finds_pairs_at_0_8_of_five_words(spark, hot):
+def test_the_near_duplicate_stage_finds_pairs_at_0_8_of_five_words(spark):
     import corpus_pipeline
 
-    from tempora.llm import near_copies
-
     r = random.Random(5)
     texts = [t for _, t in TEXTS]
     for k in range(12):
@@ -404,14 +403,49 @@ def test_the_near_duplicate_stage_finds_pairs_at_0_8_of_five_words(spark, hot):
                 other[at] = f"x{r.randrange(10**6)}"
             texts.append(" ".join(other))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    if hot == 32:
-        kept = rows(corpus_pipeline.near_duplicate_stage(spark, df, ""))
-    else:
-        kept = rows(near_copies.keep_one(df, hot_bucket=hot))
+    kept = rows(corpus_pipeline.near_duplicate_stage(spark, df, ""))
     want = set(brute_near(texts))
     assert len(want) < len(texts) - 12 and sorted(x["doc_id"] for x in kept) == sorted(want)
 
 
+def test_a_large_group_of_near_copies_is_not_expanded(spark):
+    """Texts with zero to eight changed words: the components are those of all pairs, with far fewer pairs compared."""
+    from tempora.llm import near_copies
+
+    r = random.Random(8)
+    base = [f"w{r.randrange(5000)}" for _ in range(150)]
+    texts = []
+    for _ in range(400):
+        other = list(base)
+        for at in r.sample(range(150), r.randrange(9)):
+            other[at] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(other))
+    # Two more groups that hold a band in common with the first, but are far from it.
+    texts += [" ".join(base[:75] + [f"y{k}"] + [f"z{at}" for at in range(75)]) for k in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    kept = rows(near_copies.keep_one(df))
+    assert sorted(x["doc_id"] for x in kept) == sorted(set(brute_near(texts)))
+    plain = df.select("doc_id", F.col("text").cast("binary").alias("rk"), "text")
+    sketches = materialize(near_copies._sketches(plain, 5), "sketches")
+    shared = sketches.select("node", "size", F.posexplode("bands").alias("band", "code"))
+    sets = near_copies._sets(sketches.join(plain.select("rk", "text"), "rk").dropDuplicates(["node"]), 5)
+    apart = shared.withColumn("label", F.col("node"))
+    # Without the stars' components, every similar pair is still met, and few others.
+    met = {(bytes(x["a"]), bytes(x["b"])) for x in rows(near_copies._ordered(near_copies._rest(apart, sets, 0.8)))}
+    node = {bytes(x["rk"]).decode(): bytes(x["node"]) for x in rows(sketches)}
+    grams = {bytes(x["node"]): set(x["grams"]) for x in rows(sets)}
+    similar = {(a, b) for a in grams for b in grams if a < b and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])}
+    assert len(node) == len(texts) - sum(n - 1 for n in collections.Counter(texts).values()) and similar <= met and len(similar) > 1000
+
+
+def test_keys_of_rows_are_not_ambiguous(spark):
+    given = [("a|b", "c d e f"), ("a", "b|c d e f"), (None, "a"), ("a", None), ("", "a"), ("\u0001", "a"), ("1:a", ""), ("", "1:a"), (None, None), ("", None), (None, "")]
+    df = spark.createDataFrame(given, "doc_id string, text string")
+    assert df.select(row_key("doc_id", "text")).distinct().count() == len(given)
+    kept = rows(simhash.keep_one(df.limit(2)))
+    assert len(kept) == 2
+
+
 def test_near_copies_keep_rows_that_share_an_id(docs, empty):
     from tempora.llm import near_copies
 
@@ -445,6 +479,60 @@ def test_language(spark):
     assert rows(language.identified(df.filter("false"), model)) == []
 
 
+def test_ftrl_and_temperature_against_plain_versions():
+    r = random.Random(2)
+    examples = [(np.array(sorted(r.sample(range(12), 4))), np.array([r.random() * 3 for _ in range(4)]), r.randrange(3)) for _ in range(40)]
+    w, bias = language.ftrl(examples, 3, epochs=2, alpha=0.3, beta=0.7, l1=0.1, l2=0.2)
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(f, c):
+        penalty = 0 if f == "bias" else 0.1
+        if abs(z[f, c]) <= penalty:
+            return 0.0
+        return -(z[f, c] - penalty * (1 if z[f, c] > 0 else -1)) / ((0.7 + n[f, c] ** 0.5) / 0.3 + 0.2)
+
+    for _ in range(2):
+        for index, value, label in examples:
+            x = [*zip(index.tolist(), value.tolist(), strict=True), ("bias", 1.0)]
+            old = {(f, c): weight(f, c) for f, _ in x for c in range(3)}
+            scores = [sum(v * old[f, c] for f, v in x) for c in range(3)]
+            total = sum(np.exp(scores))
+            for f, v in x:
+                for c in range(3):
+                    g = v * (np.exp(scores[c]) / total - (c == label))
+                    z[f, c] += g - ((n[f, c] + g * g) ** 0.5 - n[f, c] ** 0.5) / 0.3 * old[f, c]
+                    n[f, c] += g * g
+    assert np.allclose(w[:12], [[weight(f, c) for c in range(3)] for f in range(12)], atol=1e-12) and not w[12:].any()
+    assert np.allclose(bias, [weight("bias", c) for c in range(3)], atol=1e-12) and (w[:12] == 0).any()
+
+    logits = np.array([[r.gauss(0, 4) for _ in range(3)] for _ in range(200)])
+    labels = np.array([int(np.argmax(x)) if r.random() < 0.7 else r.randrange(3) for x in logits])
+
+    def loss(t):
+        out = 0.0
+        for x, y in zip(logits.tolist(), labels.tolist(), strict=True):
+            p = np.exp(np.array(x) / t) / np.exp(np.array(x) / t).sum()
+            out -= sum((1 - 1 / 202 if c == y else 0.5 / 202) * np.log(p[c]) for c in range(3))
+        return out
+
+    got = language.temperature(logits, labels)
+    assert loss(got) <= min(loss(got * 1.05), loss(got / 1.05))
+
+
+def test_language_keeps_other_columns_and_long_texts_go_in_pieces(spark, monkeypatch):
+    texts = ["bako dumi la " * 9, "strengt huwix zorb " * 9, None, "été ñ " * 3000]
+    df = spark.createDataFrame([(i, t, "ab"[i % 2], "kept", "old", "x", 5) for i, t in enumerate(texts * 4)], "doc_id long, text string, lang string, row string, score string, found string, `a.b` int")
+    model = language.train(df)
+    out = rows(language.identified(df, model))
+    assert out[0].asDict().keys() == {"doc_id", "text", "lang", "row", "found", "a.b", "lang_pred", "score"}
+    assert {(r["row"], r["found"], r["a.b"]) for r in out} == {("kept", "x", 5)} and all(isinstance(r["score"], float) for r in out)
+    whole = sorted(language.features(texts[3]).tolist()), [x.tolist() for x in language.counted(texts[3])], model.predict(texts[3])
+    monkeypatch.setattr(language, "PIECE", 1000)
+    assert whole[:2] == (sorted(language.features(texts[3]).tolist()), [x.tolist() for x in language.counted(texts[3])])
+    assert abs(whole[2][1] - model.predict(texts[3])[1]) < 1e-9
+    assert rows(language.identified(df.limit(0), model)) == []
+
+
 # 9: personal data
 
 PERSONAL = [

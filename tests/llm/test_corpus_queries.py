@@ -9,9 +9,11 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tempora.llm import language, queries
-from test_corpus_operators import brute_components, brute_lines, brute_print
+from tempora.llm._common import materialize
+from test_corpus_operators import brute_least, brute_lines, brute_near
 
 SF = "/root/testdata/sf0.001"
 
@@ -55,21 +57,24 @@ def test_pipeline(spark, folder):
     assert [n for n, _ in pipeline.STAGES] == ["language", "lines", "near duplicates", "benchmark", "tokens"]
     # language
     model = language.train(docs)
-    want = [r for r in docs.collect() if model.predict(r["text"])[0] != "und" and model.predict(r["text"])[1] >= pipeline.LEAST_SCORE]
+    want = [r for r in docs.collect() if (told := model.judge(r["text"]))[0] != "und" and told[1] >= pipeline.LEAST_SCORE and told[2]]
     one = stages["language"](spark, docs, root)
     assert one.columns == docs.columns and collections.Counter(one.collect()) == collections.Counter(want)
     assert not {130, 131, 132} & {r["doc_id"] for r in want}
     # lines
     two = stages["lines"](spark, one, root)
-    short = brute_lines([(r["doc_id"], r["text"]) for r in want])
+    short = brute_lines([(r["doc_id"], r["text"]) for r in want], lambda t: brute_least(t, 2))
     kept = [(i, t) for (i, t), r in zip(short, want, strict=True) if t == r["text"] or t.split()]
     got = two.collect()
     assert two.columns == docs.columns and collections.Counter((r["doc_id"], r["text"]) for r in got) == collections.Counter(kept)
     assert all(r["n_chars"] == len(r["text"]) for r in got) and sum(len(t) for _, t in kept) < sum(len(r["text"]) for r in want)
     # near duplicates
     three = stages["near duplicates"](spark, two, root)
-    comps = brute_components([brute_print(t) for _, t in kept], [i for i, _ in kept])
-    assert three.columns == docs.columns and sorted(map(str, {r["doc_id"] for r in three.collect()})) == sorted(map(str, set(comps)))
+    groups = collections.defaultdict(list)
+    for head, (i, _) in zip(brute_near([t for _, t in kept]), kept, strict=True):
+        groups[head].append(i)
+    heads = [min((i for i in g if i is not None), default=None) for g in groups.values()]
+    assert three.columns == docs.columns and sorted(str(r["doc_id"]) for r in three.collect()) == sorted(map(str, heads))
     # benchmark
     four = stages["benchmark"](spark, three, root)
     assert four.columns == docs.columns
@@ -83,6 +88,37 @@ def test_pipeline(spark, folder):
     assert collections.Counter((r["doc_id"], tuple(r["ids"]), r["decoded_sha256"]) for r in pipeline.run(spark, root).collect()) == texts
 
 
+def test_the_language_stage_rejects_what_is_in_no_known_language(spark, folder):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    root, _ = folder
+    docs = spark.read.parquet(f"{root}/documents.parquet")
+    r = random.Random(4)
+    junk = ["Однажды в студёную зимнюю пору я из лесу вышел был сильный мороз", "我能吞下玻璃而不伤身体", "".join(r.choice("bcdfgjklmnpqvwxyz ") for _ in range(400)), "QmFzZTY0IGVuY29kaW5nIHNjaGVtZXMgYXJl " * 5, "12 34 !!", "", None]
+    more = spark.createDataFrame([(1000 + i, t, None, "s", 1) for i, t in enumerate(junk)], docs.schema)
+    kept = {r["doc_id"] for r in pipeline.language_stage(spark, docs.unionByName(more), root).collect()}
+    assert not {i for i in kept if i is not None and i >= 1000}
+    assert kept == {r["doc_id"] for r in docs.collect()} - {130, 131, 132}
+
+
+def test_the_pipeline_keeps_other_columns_and_gives_nothing_for_nothing(spark, folder):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    root, _ = folder
+    docs = spark.read.parquet(f"{root}/documents.parquet").filter("doc_id < 12 or doc_id is null")
+    odd = {c: c.upper() for c in ("row", "score", "lang_pred", "familiar", "removed0", "rk", "key", "node", "a`b", "c.d")}
+    wide = docs.select("*", *[F.lit(v).alias(c) for c, v in odd.items()])
+    plain = docs
+    for name, stage in pipeline.STAGES[:-1]:
+        wide, plain = materialize(stage(spark, wide, root), "wide"), materialize(stage(spark, plain, root), "plain")
+        assert wide.columns == [*docs.columns, *odd], name
+        got = [r.asDict() for r in wide.collect()]
+        assert all(r[c] == v for r in got for c, v in odd.items())
+        assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted((str(r["doc_id"]), r["text"]) for r in plain.collect())
+    assert plain.count() > 5
+    nothing = docs.filter("false")
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, nothing, root).count() == 0
+
+
 def test_pipeline_leaves_no_copy_of_several_lines(spark, folder):
     """What is left of a document that repeats another one of several lines: nothing, not a fragment."""
     pipeline = pytest.importorskip("corpus_pipeline")
