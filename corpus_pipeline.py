@@ -3,6 +3,13 @@
 Every stage takes what its predecessor kept. The first four return the columns
 of documents; the last returns the token ids of every remaining document and
 the digest of their decoding.
+
+Defined cases: null, empty and letterless texts go in the first stage, a text
+that loses all its lines in the second; texts of any length are handled whole;
+rows that repeat an id are told apart by their text; of equal texts, and of ids
+that tie, one row stays after the third stage; null ids are ids of their own;
+extra columns pass through the first four stages whatever they are named; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -12,23 +19,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.llm import bpe, decontamination, language, line_dedup, near_copies
-from tempora.llm._common import materialize, table
+from tempora.llm._common import col, materialize, table
 
-#: The least calibrated probability with which a language is accepted.
-LEAST_SCORE = 0.35
+#: The least calibrated probability with which a language is accepted: it is likelier than all others together.
+LEAST_SCORE = 0.5
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts without a letter and texts of no language that the model knows well enough."""
-    told = language.identified(docs, language.train(docs), pred_col="__lang", score_col="__score")
-    return told.filter((F.col("__lang") != "und") & (F.col("__score") >= LEAST_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Drop texts without a letter, texts of which no language is likely enough, and texts that are not familiar.
+
+    What is familiar follows from the calibration documents of each language (see ``language``).
+    """
+    boxed = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), "text")
+    told = language.identified(boxed, language.train(docs), familiar_col="familiar")
+    return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE) & F.col("familiar")).select("row.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take repeated line chunks out of the texts; n_chars follows, and documents left without a word go."""
-    short = line_dedup.dedup_lines(docs, removed_col="__removed", least=2)
-    kept = short.filter((F.col("__removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    out = [F.when(F.col("__removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    gone = next(name for k in range(len(docs.columns) + 1) if (name := f"removed{k}") not in {c.lower() for c in docs.columns})
+    short = line_dedup.dedup_lines(docs, removed_col=gone, least=2)
+    kept = short.filter((F.col(gone) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    out = [F.when(F.col(gone) > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long").alias(c) if c == "n_chars" else col(c) for c in docs.columns]
     return kept.select(*out)
 
 
