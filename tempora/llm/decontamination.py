@@ -9,19 +9,31 @@ the item stands for one value of the document. An item leaks into a document if
 consistent alignments cover ``least_cover`` of the item's windows or more, or
 ``least_run`` of them: a long passage of a longer item is a leak too.
 
+What a window proves: one with ``least_words`` literal words or more is evidence
+with any slot values. One with fewer (mostly numbers, names and units) is
+evidence only where its slot values are equal too and it has ``least_verbatim``
+words; else it proves nothing, and an item without any window that can is never
+found (the item "42" leaks into nothing). The cover is that of all windows, or
+of those with enough literal words, whichever is greater.
+
 A number is a word that starts with a digit after its punctuation; a unit is a
 listed word right after a number; a name is a listed given name, or a word with
 one capital in the middle of a sentence.
 
 The benchmark's hashes are sent to the tasks, which then emit only windows that
-can match, if their number is at most ``prefilter_hashes``; beyond that every
-window goes to the join. The result is the same.
+can match, if their number is at most ``prefilter_hashes``; beyond that the
+hashes of all windows are joined first, and each document's hits go back to its
+text. The result is the same.
+
+A window that many items share is not joined with all of them: an item that
+needs k of its n windows is a candidate only where one of its n - k + 1 least
+shared windows is met. Items of equal text are one until the end.
 
 Defined cases: a null or empty text, and an item without a word, match nothing;
-an item shorter than a window is one window; windows with fewer than
-``least_words`` literal words are not evidence, unless they are a whole short
-item; rows that repeat an id give one row for each item; rows with a null id do
-too; empty tables give an empty result; other columns are not read.
+an item shorter than a window is one window; rows that repeat an id give one row
+for each item; rows with a null id do too; items that repeat an id count as one
+item for the result; very long texts are whole; empty tables give an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +42,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.llm._common import col, materialize, row_key, text_slices
@@ -86,71 +98,124 @@ class Template:
         return " ".join((w, NUM, UNIT, NAME)[k] for w, k in zip(words, kinds, strict=True)), [w for w, k in zip(words, kinds, strict=True) if k]
 
 
-_COLUMNS = "h long, pos int, size int, n_words int, literals int, template string, slots array<string>"
-_KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string())]
-_NAMES = ["h", "pos", "size", "n_words", "literals", "template", "slots"]
+_COLUMNS = "h long, pos int, size int, literals int, template string, slots array<string>"
+_KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string())]
+_NAMES = ["h", "pos", "size", "literals", "template", "slots"]
 
 
 def _windows(rows: DataFrame, sizes: list[int] | None, window: int, only: np.ndarray | None) -> DataFrame:
-    """Windows of the texts of (key, text). sizes None: each text has windows of ``window`` words, or of all it has."""
+    """Windows of the texts of (key, text). sizes None: each text has windows of ``window`` words, or of all it has.
+
+    Only those with a hash in ``only``, or in a column hits, if there is one.
+    """
+    listed = "hits" in rows.columns
 
     def run(batches):
         for batch in batches:
             for part in text_slices(batch):
                 keys, out = part.column("key").to_pylist(), []
-                for key, raw in zip(keys, part.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                hits = part.column("hits").to_pylist() if listed else [None] * len(keys)
+                for key, raw, hit in zip(keys, part.column("text").cast(pa.binary()).to_pylist(), hits, strict=True):
                     made = Template(raw or b"")
                     n = len(made.hashes)
+                    wanted = np.sort(np.array(hit, np.int64).view(np.uint64)) if listed else only
                     for size in sizes or ([min(window, n)] if n else []):
                         hashes = window_hashes(made.hashes, size)
-                        at = np.arange(len(hashes)) if only is None else np.flatnonzero(_in(hashes, only))
+                        at = np.arange(len(hashes)) if wanted is None else np.flatnonzero(_in(hashes, wanted))
                         for pos in at.tolist():
                             template, slots = made.window(pos, size)
-                            out.append((key, hashes[pos : pos + 1].view(np.int64)[0].item(), pos, size, n, size - len(slots), template, slots))
+                            out.append((key, hashes[pos : pos + 1].view(np.int64)[0].item(), pos, size, size - len(slots), template, slots))
                 for at in range(0, len(out), 5000):
                     columns = list(zip(*out[at : at + 5000], strict=True))
-                    yield pa.record_batch([pa.array(columns[0], part.schema.field("key").type), *(pa.array(c, k) for c, k in zip(columns[1:], _KINDS, strict=True))], names=["key", *_NAMES])
+                    arrays = [pa.array(c, k) for c, k in zip(columns[1:], _KINDS, strict=True)]
+                    yield pa.record_batch([pa.array(columns[0], part.schema.field("key").type), *arrays], names=["key", *_NAMES])
 
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, {_COLUMNS}")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 8, least_cover: float = 0.5, least_run: int = 20, least_words: int = 3, prefilter_hashes: int = 1_000_000) -> DataFrame:
+def _hits(rows: DataFrame, sizes: list[int], hashes: DataFrame) -> DataFrame:
+    """``rows`` that hold a window of one of ``hashes``, with these hashes as a column hits. Only hashes travel."""
+
+    def run(batches):
+        for batch in batches:
+            for part in text_slices(batch):
+                made = [Template(raw or b"").hashes for raw in part.column("text").cast(pa.binary()).to_pylist()]
+                found = [np.unique(np.concatenate([window_hashes(words, size) for size in sizes])) for words in made]
+                owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
+                h = np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)
+                yield pa.record_batch([part.column("key").take(pa.array(owner)), pa.array(h)], names=["key", "h"])
+
+    marked = rows.withColumn("place", F.struct("key", F.xxhash64("text").alias("text")))
+    placed = marked.select(F.col("place").alias("key"), "text")
+    met = placed.mapInArrow(run, f"key {placed.schema['key'].dataType.simpleString()}, h long").join(hashes, "h", "left_semi")
+    gathered = met.groupBy(F.col("key").alias("place")).agg(F.collect_set("h").alias("hits"))
+    return marked.join(gathered, "place").select("key", "text", "hits")
+
+
+_OPTIONS = {"window": 8, "least_cover": 0.5, "least_run": 20, "least_words": 3, "least_verbatim": 5, "prefilter_hashes": 1_000_000}
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", **options) -> DataFrame:
     """(doc_id, item_id, n_windows, n_matched, coverage, kind) for every item that leaks into a document."""
     rows = docs.select(F.struct(col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("rk")).alias("key"), col(text_col).alias("text"))
-    found = _leaks(rows, benchmark.select(col(item_col).alias("key"), col(item_text).alias("text")), window, least_cover, least_run, least_words, prefilter_hashes)
-    most = found.groupBy(F.col("key.doc_id").alias("doc_id"), "item_id").agg(F.max(F.struct("coverage", "n_matched", "n_windows", "kind")).alias("m"))
+    items = benchmark.select(col(item_col).alias("item_id"), F.md5(col(item_text)).alias("item"), col(item_text).alias("text"))
+    found = _leaks(rows, items.select(F.col("item").alias("key"), "text"), **(_OPTIONS | options))
+    named = found.join(items.select("item_id", "item").distinct(), "item")
+    most = named.groupBy(F.col("key.doc_id").alias("doc_id"), "item_id").agg(F.max(F.struct("coverage", "n_matched", "n_windows", "kind")).alias("m"))
     return most.select("doc_id", "item_id", "m.n_windows", "m.n_matched", "m.coverage", "m.kind")
 
 
-def _leaks(rows: DataFrame, items: DataFrame, window: int, least_cover: float, least_run: int, least_words: int, prefilter_hashes: int) -> DataFrame:
-    theirs = materialize(_windows(items, None, window, None).filter((F.col("literals") >= least_words) | (F.col("n_words") < window)), "template-items")
-    held = theirs.groupBy("key").agg(F.countDistinct("pos").alias("n_windows"))
-    sizes = sorted(r[0] for r in theirs.select("size").distinct().collect())  # at most ``window`` numbers
+def _leaks(rows: DataFrame, items: DataFrame, window: int, least_cover: float, least_run: int, least_words: int, least_verbatim: int, prefilter_hashes: int) -> DataFrame:
+    """(key, item, n_windows, n_matched, coverage, kind); items are (key, text), one for each different text."""
+    strong = F.col("literals") >= least_words
+    given = _windows(items.filter(F.col("text").isNotNull()).dropDuplicates(["key"]), None, window, None)
+    theirs = materialize(given.filter(strong | (F.col("size") >= least_verbatim)), "template-items")
+    held = theirs.groupBy(F.col("key").alias("item")).agg(F.count(F.lit(1)).alias("n_windows"), F.count_if(strong).alias("n_strong"))
+    sizes = sorted(r[0] for r in theirs.select("size").distinct().collect()) or [window]  # at most ``window`` numbers
     hashes = theirs.select("h").distinct()
-    only = None
     if hashes.count() <= prefilter_hashes:
         only = np.sort(np.array([r[0] for r in hashes.collect()], np.int64).view(np.uint64))
-    ours = _windows(rows, sizes or [window], window, only)
-    t = theirs.select("h", "template", F.col("key").alias("item_id"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
-    met = ours.join(t, ["h", "template"]).select("key", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", F.explode_outer(F.arrays_zip("item_slots", "slots")).alias("s"))
+        found = _windows(rows, sizes, window, only)
+    else:
+        found = _windows(_hits(rows, sizes, hashes), sizes, window, None)
+    ours = materialize(found.select("key", "h", "template", "pos", "slots"), "template-windows")
+
+    # Candidates: documents with one of an item's least shared windows, of as many as it can't do without.
+    shared = theirs.groupBy("h", "template").agg(F.count(F.lit(1)).alias("holders"))
+    needed = F.least(
+        F.ceil(F.col("n_windows") * F.lit(least_cover)),
+        F.when(F.col("n_strong") > 0, F.ceil(F.col("n_strong") * F.lit(least_cover))).otherwise(F.col("n_windows")),
+        F.lit(least_run),
+    )
+    rank = F.row_number().over(Window.partitionBy("item").orderBy("holders", "h", "pos"))  # a window over one item's text
+    listed = theirs.select(F.col("key").alias("item"), "h", "template", "pos").join(shared, ["h", "template"]).join(held, "item")
+    rare = listed.withColumn("rank", rank).filter(F.col("rank") <= F.col("n_windows") - F.greatest(needed, F.lit(1)) + 1).select("item", "h", "template").distinct()
+    candidates = ours.select("key", "h", "template").distinct().join(rare, ["h", "template"]).select("key", "item").distinct()
+
+    of_item = theirs.select(F.col("key").alias("item"), "h", "template", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), strong.alias("strong"))
+    met = candidates.join(of_item, "item").join(ours, ["key", "h", "template"]).filter(F.col("strong") | (F.col("slots") == F.col("item_slots")))
+    values = F.explode_outer(F.arrays_zip("item_slots", "slots")).alias("s")
     # One row for each alignment and value pair, so that no group grows with repetitions.
-    pairs = met.select("key", "item_id", "shift", "item_pos", F.col("s.item_slots").alias("a"), F.col("s.slots").alias("b")).distinct()
-    aligned = pairs.groupBy("key", "item_id", "shift").agg(
-        F.collect_set("item_pos").alias("at"),
+    pairs = met.select("key", "item", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "strong", values).select(
+        "key", "item", "shift", F.struct("item_pos", "strong").alias("at"), F.col("s.item_slots").alias("a"), F.col("s.slots").alias("b")
+    )
+    aligned = pairs.distinct().groupBy("key", "item", "shift").agg(
+        F.collect_set("at").alias("at"),
         F.size(F.collect_set("a")).alias("values"),
         F.size(F.collect_set(F.when(F.col("a").isNotNull(), F.struct("a", "b")))).alias("value_pairs"),
         F.min(F.coalesce(F.col("a") == F.col("b"), F.lit(True))).alias("same"),
     )
-    consistent = aligned.filter(F.col("values") == F.col("value_pairs"))
-    found = consistent.select("key", "item_id", "same", F.explode("at").alias("at")).groupBy("key", "item_id").agg(F.countDistinct("at").alias("n_matched"), F.max("same").alias("same"))
-    cover = found.join(held.withColumnRenamed("key", "item_id"), "item_id").withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
+    consistent = aligned.filter(F.col("values") == F.col("value_pairs")).select("key", "item", "same", F.explode("at").alias("at"))
+    matched = consistent.groupBy("key", "item").agg(F.countDistinct("at").alias("n_matched"), F.countDistinct(F.when(F.col("at.strong"), F.col("at"))).alias("strong_matched"), F.max("same").alias("same"))
+    of_strong = F.coalesce(F.try_divide("strong_matched", "n_strong"), F.lit(0.0))
+    cover = matched.join(held, "item").withColumn("coverage", F.greatest(F.col("n_matched") / F.col("n_windows"), of_strong))
     return cover.filter((F.col("coverage") >= least_cover) | (F.col("n_matched") >= least_run)).withColumn("kind", F.when(F.col("same"), "verbatim").otherwise("reparameterised"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` into which no item leaks."""
-    given = {"window": 8, "least_cover": 0.5, "least_run": 20, "least_words": 3, "prefilter_hashes": 1_000_000} | options
     rows = docs.select(row_key(id_col, text_col).alias("key"), col(text_col).alias("text"))
-    bad = materialize(_leaks(rows, benchmark.select(col(item_col).alias("key"), col(item_text).alias("text")), **given).select("key").distinct(), "template-leaks")
+    items = benchmark.select(F.md5(col(item_text)).alias("key"), col(item_text).alias("text"))
+    bad = materialize(_leaks(rows, items, **(_OPTIONS | options)).select("key").distinct(), "template-leaks")
     marked = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), row_key(id_col, text_col).alias("key"))
     return marked.join(bad, "key", "left_anti").select("row.*")

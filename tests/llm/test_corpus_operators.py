@@ -271,6 +271,92 @@ def test_templates(spark, prefilter):
     assert rows(decontamination.leaks(docs.filter("false"), items)) == [] == rows(decontamination.leaks(docs, items.filter("false")))
 
 
+def brute_template(text):
+    """(word, kind) of each word; kinds by the plain rules, for texts whose only names are listed ones."""
+    words = [w for w in (re.sub(r"[!-/:-@\[-`{-~]", "", x).lower() for x in WORD.findall(text or "")) if w]
+    out = []
+    for k, w in enumerate(words):
+        number = w[0].isdigit()
+        unit = k > 0 and words[k - 1][0].isdigit() and w in decontamination.UNITS and not number
+        out.append((w, "num" if number else "unit" if unit else "name" if w in decontamination.NAMES else None))
+    return out
+
+
+def brute_leaks(docs, items, window=8, cover=0.5, run=20, least_words=3, least_verbatim=5):
+    def windows(words, size):
+        for at in range(len(words) - size + 1):
+            part = words[at : at + size]
+            slots = [w for w, k in part if k]
+            yield at, tuple(k or w for w, k in part), slots, size - len(slots)
+
+    out = {}
+    for item, question in items:
+        theirs = brute_template(question)
+        size = min(window, len(theirs))
+        held = [w for w in windows(theirs, size) if w[3] >= least_words or size >= least_verbatim] if size else []
+        strong = sum(w[3] >= least_words for w in held)
+        for doc, text in docs:
+            mine = collections.defaultdict(list)
+            for pos, shape, slots, _ in windows(brute_template(text), size) if held else []:
+                mine[shape].append((pos, slots))
+            lines = collections.defaultdict(list)
+            for at, shape, slots, literals in held:
+                for pos, others in mine[shape]:
+                    if literals >= least_words or slots == others:
+                        lines[pos - at].append((at, literals >= least_words, list(zip(slots, others, strict=True))))
+            matched, same = set(), False
+            for met in lines.values():
+                pairs = {p for *_, ps in met for p in ps}
+                if len({a for a, _ in pairs}) == len(pairs):
+                    matched |= {(at, ok) for at, ok, _ in met}
+                    same |= all(a == b for a, b in pairs)
+            share = max(len(matched) / len(held), sum(ok for _, ok in matched) / strong if strong else 0) if held else 0
+            if matched and (share >= cover or len(matched) >= run):
+                out[doc, item] = (len(held), len(matched), round(share, 9), "verbatim" if same else "reparameterised")
+    return out
+
+
+@pytest.mark.parametrize("prefilter", [1_000_000, 0])
+def test_templates_against_brute_force(spark, prefilter):
+    r = random.Random(11)
+    plain = [f"{a}{b}" for a in ("lor", "mip", "sud", "tav", "kel") for b in ("ab", "en", "ir", "ot", "um")]
+    names, units = decontamination.NAMES[:12], decontamination.UNITS[:10]
+    common = " ".join(r.choice(plain) for _ in range(12))
+
+    def question(n, numbers):
+        out = []
+        for _ in range(n):
+            x = r.random()
+            out += [f"#{r.randrange(90)}"] + ([f"@{r.choice(units)}"] if r.random() < 0.5 else []) if x < numbers else [f"^{r.choice(names)}"] if x < numbers + 0.05 else [r.choice(plain)]
+        return out
+
+    def say(words, change=lambda w: w):
+        seen = {}
+        return " ".join(seen.setdefault(w, change(w)).lstrip("#@^") if w[0] in "#@^" else w for w in words)
+
+    made = [question(r.randrange(6, 45), 0.15) for _ in range(25)] + [question(r.randrange(5, 25), 0.9) for _ in range(5)]
+    items = [(i, (common + " " if i % 3 == 0 else "") + say(q)) for i, q in enumerate(made)]
+    items += [(100, "42"), (101, "12 kg"), (102, "7 8 9 10 11"), (103, None), (104, items[1][1]), (105, "3 lorab")]
+    fresh = lambda w: {"#": f"#{r.randrange(100, 10**6)}", "@": w, "^": f"^{r.choice(names)}"}[w[0]]
+    noise = lambda n: say(question(n, 0.2))
+    docs, planted = [], []
+    for i, q in enumerate(made):
+        docs.append((3 * i, f"{noise(20)} {say(q)} {noise(9)}"))
+        docs.append((3 * i + 1, f"{noise(10)} {say(q, fresh)} {noise(30)}"))
+        docs.append((3 * i + 2, f"{noise(15)} {' '.join(say([w], fresh) for w in q)} {noise(5)}"))
+        planted.append((3 * i + 1, i))
+    docs += [(900, common + " " + noise(50)), (901, "42"), (902, "see 7, 8, 9, 10, 11 there"), (903, "see 7, 8, 9, 10, 12 there"), (904, " ".join([common] * 9)), (905, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): (x["n_windows"], x["n_matched"], round(x["coverage"], 9), x["kind"]) for x in rows(decontamination.leaks(df, bench, prefilter_hashes=prefilter))}
+    want = brute_leaks(docs, items)
+    assert got == want
+    assert (902, 102) in got and not any(i in (100, 101, 103, 105) for _, i in got)
+    # Questions of numbers only can't be told apart once their numbers change.
+    worth = [p for p in planted if p[1] < 25]
+    assert sum(p in got and got[p][3] == "reparameterised" for p in worth) >= 0.9 * len(worth)
+
+
 # 6: BPE
 
 
