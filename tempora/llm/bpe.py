@@ -5,8 +5,16 @@ into a table of (word, position, token) rows, one row per byte; a recursive
 query joins linked neighbouring rows with the merge table (every way to put a token together), contracts every word's
 leftmost pair of least rank, and goes on until no word has a pair left. One
 query makes a bounded number of rounds and hands its last state to the next, so
-memory is bounded for words of any length (the time for one word grows with the
-square of its length). Decoding is an ordered aggregation of the tokens' bytes.
+memory is bounded. Decoding is an ordered aggregation of the tokens' bytes.
+
+A word that the pattern leaves very long (a run of letters without a break)
+would need time in the square of its length. It is cut into overlapping pieces,
+which are encoded like words and joined at a token that both neighbours have at
+the same place. This is exact: a sequence of tokens is the encoding of its bytes
+if and only if every two neighbours are the encoding of theirs (the first merge
+across a boundary would also happen among the two alone), and in the joined
+sequence every two neighbours stand in one piece's encoding. Pieces without such
+a token are made longer, up to the whole word.
 
 DuckDB has no text type for bytes that are not UTF-8, so byte b is written as
 the character 256 + b inside the queries.
@@ -32,6 +40,8 @@ from tempora.llm._common import col, text_slices
 ROUND_ROWS = 2_000_000
 #: Words whose ids a worker remembers, unless told otherwise: about 200 bytes each, against the time to encode a word again.
 CACHE_WORDS = 300_000
+#: Bytes from which a word is cut into pieces, and the least step between their starts.
+LONG, STEP = 512, 96
 
 
 def _spell(raw: bytes) -> str:
@@ -50,6 +60,8 @@ class Codec:
         halves = [(ranks[t[:k]] << 32 | ranks[t[k:]], i) for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         self._table("merges", {"pair": pa.array([p for p, _ in halves], pa.int64()), "id": pa.array([i for _, i in halves], pa.int32())})
         self._table("vocabulary", {"id": pa.array(list(ranks.values()), pa.int32()), "spelt": [_spell(t) for t in ranks]})
+        self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.lengths[list(ranks.values())] = [len(t) for t in ranks]
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.cut = regex.compile(pattern).findall
         self.words: dict[str, bytes] = {}
@@ -61,9 +73,32 @@ class Codec:
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def encode_words(self, words: list[str]) -> list[bytes]:
+    def encode_long(self, raw: bytes) -> bytes:
+        """The ids of one word of any length, as the bytes of 32-bit integers."""
+        step = STEP
+        while len(raw) > 4 * step:
+            starts = list(range(0, len(raw), step))
+            ids: list[np.ndarray] = []
+            for at in range(0, len(starts), 512):
+                pieces = [raw[a : a + step + step // 2] for a in starts[at : at + 512]]
+                ids += [np.frombuffer(x, np.int32) for x in self.encode_words(pieces)]
+            ends = [a + np.cumsum(self.lengths[x]) for a, x in zip(starts, ids, strict=True)]
+            joined, first = [], 0
+            for k in range(len(ids) - 1):
+                # Tokens by their end and length: those that both pieces have lie in their overlap.
+                mine, other = ends[k] << 20 | self.lengths[ids[k]], ends[k + 1] << 20 | self.lengths[ids[k + 1]]
+                _, here, there = np.intersect1d(mine, other, assume_unique=True, return_indices=True)
+                if not len(here):
+                    break
+                joined.append(ids[k][first : here[0] + 1])
+                first = there[0] + 1
+            else:
+                return np.concatenate([*joined, ids[-1][first:]]).tobytes()
+            step *= 2
+        return self.encode_words([raw])[0]
+
+    def encode_words(self, raw: list[bytes]) -> list[bytes]:
         """The ids of each word, as the bytes of 32-bit integers."""
-        raw = [w.encode() for w in words]
         sizes = np.array([len(b) for b in raw], np.int64)
         starts = np.cumsum(sizes) - sizes
         n = int(sizes.sum())
@@ -111,13 +146,17 @@ class Codec:
         cut = [self.cut(t) for t in texts]
         known = self.words
         met = set(chain.from_iterable(cut))
+        long = {w: self.encode_long(w.encode()) for w in met if len(w) > LONG // 4 and len(w.encode()) > LONG}
+        met.difference_update(long)
         new = list(met.difference(known))
         if len(known) + len(new) > self.cache_words:
             known.clear()
             new = list(met)
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            known.update(zip(part, self.encode_words(part), strict=True))
+            known.update(zip(part, self.encode_words([w.encode() for w in part]), strict=True))
+        if long:  # these are not remembered
+            return [np.frombuffer(b"".join(long[w] if w in long else known[w] for w in ws), np.int32) for ws in cut]
         return [np.frombuffer(b"".join(map(known.__getitem__, ws)), np.int32) for ws in cut]
 
     def digest(self, ids: np.ndarray) -> str:

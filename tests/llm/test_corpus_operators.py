@@ -387,9 +387,34 @@ def test_bpe(docs, vocabulary):
 
 def test_bpe_hands_its_state_over(vocabulary, monkeypatch):
     codec = bpe.Codec(*vocabulary)
-    whole = codec.encode_words([" international", "zzzzqqqq", "é"])
+    whole = codec.encode_words([b" international", b"zzzzqqqq", "é".encode()])
     monkeypatch.setattr(bpe, "ROUND_ROWS", 1)
-    assert codec.encode_words([" international", "zzzzqqqq", "é"]) == whole
+    assert codec.encode_words([b" international", b"zzzzqqqq", "é".encode()]) == whole
+
+
+def test_long_words_go_in_pieces(vocabulary):
+    import time
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in vocabulary[0].splitlines())}
+    want = tiktoken.Encoding("own", pat_str=vocabulary[1], mergeable_ranks=ranks, special_tokens={})
+    codec = bpe.Codec(*vocabulary)
+    r = random.Random(6)
+    draw = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    texts = ["x" * 3001, "ab" * 2000, "=" * 2500, draw("ab", 3000), draw("abcdefghijklmnopqrstuvwxyz", 5000), "é" * 900, draw("éèaß", 1500), draw("的一是", 900), "é" + "a" * 700 + " " + "the" * 600]
+    for t in texts:
+        assert codec.encode([t])[0].tolist() == want.encode_ordinary(t), t[:20]
+    assert not any(len(w) > 600 for w in codec.words)
+    huge = draw("abcdefghijklmnopqrstuvwxyz", 1_000_000)
+    start = time.monotonic()
+    ids = codec.encode([huge])
+    assert codec.decode(ids)[0] == huge.encode() and time.monotonic() - start < 120
+    # Every two neighbours are the encoding of their bytes, which decides the whole.
+    spelt = {i: t for t, i in ranks.items()}
+    pairs = {(a, b) for a, b in zip(ids[0][:-1].tolist(), ids[0][1:].tolist(), strict=True)}
+    some = sorted(pairs)[::50]
+    assert all(want.encode_ordinary((spelt[a] + spelt[b]).decode()) == [a, b] for a, b in some)
 
 
 # 7: SimHash
