@@ -15,13 +15,15 @@ removed everywhere else.
 Chunks are grouped by their own bytes, so two chunks are never taken for each
 other because their hashes agree. On the way back to the documents a chunk is
 named by two hashes; for the names that stand for two different chunks in the
-whole corpus the bytes travel along and are compared again.
+whole corpus the bytes travel along and are compared again. Work in one text is
+linear in its lines (sorting apart).
 
 Defined cases: a null text stays null and an empty one stays empty; a chunk
 whose holders all have a null id is kept in each of them at its first place, and
 so it is in rows that share the smallest id (rows that repeat an id are one
 document); a text that loses all its chunks becomes empty; other columns pass
-through whatever they are named; an empty table gives an empty result.
+through whatever they are named (one named like the count is replaced by it); an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,13 +43,14 @@ def _cuts(least: int) -> str:
     return rf"(?:[ab]*+[01]){{{least - 1}}}[ab]*+(?:1|0[a0]*+[1b])(?:[ab]*+(?:[01][ab]*+){{0,{least - 1}}}$)?|.+"
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)``. An array of one element binds the value, which a lambda would else work out again for every line."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def chunks(text: Column, roll: int = 2, divisor: int = 2, least: int = 0) -> Column:
     """The chunks of a text, in order: an array of arrays of lines."""
 
-    # Arrays of one element bind a value, which a lambda would else work out again for every line.
-    def bound(value: Column, use) -> Column:
-        return F.get(F.transform(F.array(value), use), F.lit(0))
-
     def rolled(hashes: Column, i: Column) -> Column:
         out = F.get(hashes, i)
         for k in range(1, roll):
@@ -62,12 +65,12 @@ def chunks(text: Column, roll: int = 2, divisor: int = 2, least: int = 0) -> Col
         letters = F.transform(lines, lambda x, i: F.when(_is_blank(x), F.when(candidate(i), "b").otherwise("a")).otherwise(F.when(candidate(i), "1").otherwise("0")))
         marked = F.split(F.regexp_replace(F.array_join(letters, ""), _cuts(least), "$0|"), "")
         # The k-th mark stands behind k marks and all lines up to its chunk's end.
-        return bound(marked, lambda m: F.transform(F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: F.get(m, i) == "|"), lambda at, k: at - k - 1))
+        return _bound(marked, lambda m: F.transform(F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: F.get(m, i) == "|"), lambda at, k: at - k - 1))
 
     def cut(lines: Column, e: Column) -> Column:
         return F.transform(e, lambda end, k: F.slice(lines, F.coalesce(F.get(e, k - 1), F.lit(-1)) + 2, end - F.coalesce(F.get(e, k - 1), F.lit(-1))))
 
-    return bound(F.split(text, "\n", -1), lambda lines: bound(F.transform(lines, lambda x: F.xxhash64(x)), lambda hashes: bound(ends(lines, hashes), lambda e: cut(lines, e))))
+    return _bound(F.split(text, "\n", -1), lambda lines: _bound(F.transform(lines, lambda x: F.xxhash64(x)), lambda hashes: _bound(ends(lines, hashes), lambda e: cut(lines, e))))
 
 
 def _is_blank(line: Column) -> Column:
@@ -93,27 +96,46 @@ def _name(chunk: Column) -> list[Column]:
     return [F.xxhash64(chunk).alias("h1"), F.xxhash64(F.lit("second"), chunk).alias("h2")]
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", roll: int = 2, divisor: int = 2, removed_col: str = "n_removed_chunks", least: int = 0) -> DataFrame:
-    """``docs`` with shortened texts, and the number of chunks each lost in ``removed_col``."""
-    found = materialize(repeated_chunks(docs, id_col, text_col, roll, divisor, least), "line-repeated")
-    narrow = docs.select(row_key(id_col, text_col).alias("rk"), col(id_col).alias("id"), F.explode(F.array_distinct(F.transform(F.filter(chunks(col(text_col), roll, divisor, least), _is_long), lambda c: F.struct(*_name(F.array_join(c, "\n")))))).alias("c")).select("rk", "id", "c.h1", "c.h2")
-    hits = narrow.join(found, ["h1", "h2"]).select("rk", F.struct("h1", "h2", "bytes", F.col("id").eqNullSafe(F.col("owner")).alias("own")).alias("hit"))
-    gathered = materialize(hits.groupBy("rk").agg(F.collect_set("hit").alias("hits")), "line-hits")
-    marked = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), row_key(id_col, text_col).alias("rk"))
-    text = F.col("row").getField(text_col)
-    joined = marked.join(gathered, "rk", "left").select("row", "hits", F.when(F.col("hits").isNotNull(), chunks(text, roll, divisor, least)).alias("cut"))
-    named = joined.select("row", "hits", F.transform("cut", _described).alias("cut"))
-    decided = named.select("row", F.filter("cut", lambda c, k: _stays(c, k, F.col("hits"), F.col("cut"))).alias("kept"), F.size("cut").alias("n"))
-    new = F.when(F.col("kept").isNotNull(), F.array_join(F.transform("kept", lambda c: c["whole"]), "\n")).otherwise(text)
-    return decided.select(*[(new if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns], F.coalesce(F.col("n") - F.size("kept"), F.lit(0)).alias(removed_col))
+def _marked(cut: Column) -> Column:
+    """(h1, h2, k, first) of the long chunks: name, place, and whether it is the first place of that name."""
+    named = F.filter(F.transform(cut, lambda c, k: F.when(_is_long(c), F.struct(*_name(F.array_join(c, "\n")), k.alias("k")))), lambda c: c.isNotNull())
+
+    def flagged(ordered: Column) -> Column:
+        def new(c: Column, i: Column) -> Column:
+            back = F.get(ordered, i - 1)
+            return F.coalesce((back["h1"] != c["h1"]) | (back["h2"] != c["h2"]), F.lit(True))
 
+        return F.transform(ordered, lambda c, i: F.struct(c["h1"].alias("h1"), c["h2"].alias("h2"), c["k"].alias("k"), new(c, i).alias("first")))
 
-def _described(chunk: Column) -> Column:
-    whole = F.array_join(chunk, "\n")
-    return F.struct(*_name(whole), whole.alias("whole"), _is_long(chunk).alias("long"))
+    return _bound(F.array_sort(named), flagged)
 
 
-def _stays(chunk: Column, k: Column, hits: Column, all_chunks: Column) -> Column:
-    mine = F.filter(hits, lambda h: (h["h1"] == chunk["h1"]) & (h["h2"] == chunk["h2"]) & (h["bytes"].isNull() | (h["bytes"] == chunk["whole"])))
-    first = F.array_position(all_chunks, chunk) == k + 1
-    return ~chunk["long"] | ~F.coalesce(F.get(F.transform(mine, lambda h: ~(h["own"] & first)), F.lit(0)), F.lit(False))
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", roll: int = 2, divisor: int = 2, removed_col: str = "n_removed_chunks", least: int = 0) -> DataFrame:
+    """``docs`` with shortened texts, and the number of chunks each lost in ``removed_col``, which replaces a column of that name."""
+    found = materialize(repeated_chunks(docs, id_col, text_col, roll, divisor, least), "line-repeated")
+    listed = docs.select(row_key(id_col, text_col).alias("rk"), col(id_col).alias("id"), F.explode(_marked(chunks(col(text_col), roll, divisor, least))).alias("c"))
+    hits = listed.select("rk", "id", "c.*").join(found, ["h1", "h2"])
+    own, sure = F.col("id").eqNullSafe(F.col("owner")), F.col("bytes").isNull()
+    gathered = hits.filter(~(sure & own & F.col("first"))).groupBy("rk").agg(
+        F.collect_set(F.when(sure, F.col("k"))).alias("gone"),
+        F.collect_set(F.when(~sure, F.struct("k", "bytes", own.alias("own")))).alias("unsure"),
+    )
+    gathered = materialize(gathered, "line-hits")
+    kept = [c for c in docs.columns if c.lower() != removed_col.lower()]
+    marked = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), row_key(id_col, text_col).alias("rk"))
+    text = F.col("row").getField(text_col)
+    joined = marked.join(gathered, "rk", "left")
+    cut = joined.select("row", "gone", "unsure", F.when(F.col("gone").isNotNull(), F.transform(chunks(text, roll, divisor, least), lambda c: F.array_join(c, "\n"))).alias("cut"))
+    all_gone = F.concat("gone", _found_out(F.col("cut"), F.col("unsure")))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("cut") - 1), all_gone)
+    decided = cut.select("row", "cut", F.when(F.col("cut").isNotNull(), stay).alias("stay"))
+    new = F.when(F.col("stay").isNotNull(), F.array_join(_bound(F.col("cut"), lambda c: F.transform("stay", lambda k: F.get(c, k))), "\n")).otherwise(text)
+    removed = F.coalesce(F.size("cut") - F.size("stay"), F.lit(0)).alias(removed_col)
+    return decided.select(*[(new if c == text_col else F.col("row").getField(c)).alias(c) for c in kept], removed)
+
+
+def _found_out(cut: Column, unsure: Column) -> Column:
+    """Places to remove among chunks whose name stands for different chunks, by their bytes; there are hardly ever any."""
+    alike = F.filter(unsure, lambda u: F.get(cut, u["k"]) == u["bytes"])
+    later = lambda u: F.exists(alike, lambda v: (v["k"] < u["k"]) & (v["bytes"] == u["bytes"]))
+    return F.transform(F.filter(alike, lambda u: ~u["own"] | later(u)), lambda u: u["k"])

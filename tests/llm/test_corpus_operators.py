@@ -209,6 +209,31 @@ def test_a_copy_of_several_lines_loses_all_its_text(spark, tmp_path):
     assert all(WORD.search(r["text"]) for r in out if r["doc_id"] < 100)
 
 
+def test_names_that_stand_for_different_chunks_are_told_apart_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "_name", lambda chunk: [F.length(chunk).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2")])
+    given = LINES + [(20, "a x\nc y\ne z\ng h"), (21, "a q\nc y\ne z\ng h"), (22, "a x\nc y\ne z\ng h")]
+    for least in (0, 2):
+        out = rows(line_dedup.dedup_lines(spark.createDataFrame(given, "doc_id long, text string"), least=least))
+        want = brute_lines(given, lambda t, least=least: brute_least(t, least) if least else brute_chunks(t))
+        assert collections.Counter((r["doc_id"], r["text"]) for r in out) == collections.Counter(want)
+
+
+def test_a_text_of_many_lines_takes_linear_time(spark):
+    import time
+
+    r = random.Random(1)
+    long = "\n".join(f"w{r.randrange(5000)} v{r.randrange(3)}" for _ in range(60_000))
+    df = spark.createDataFrame([(1, long), (2, long), (3, "tail\n" + long)], "doc_id long, text string").repartition(3)
+    start = time.monotonic()
+    out = {x["doc_id"]: x["text"] for x in rows(line_dedup.dedup_lines(df, least=2))}
+    assert not out[2].strip() and len(out[3]) < 100 and time.monotonic() - start < 60
+
+
+def test_the_count_replaces_a_column_of_its_name(spark):
+    out = rows(line_dedup.dedup_lines(spark.createDataFrame([(1, "a\nb", "x")], "doc_id long, text string, N_removed_chunks string")))
+    assert [x.asDict() for x in out] == [{"doc_id": 1, "text": "a\nb", "n_removed_chunks": 0}]
+
+
 def test_line_plan_has_no_python(docs):
     plan = line_dedup.repeated_chunks(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|ScalaUDF", plan)
