@@ -698,6 +698,66 @@ def test_pii(spark):
     assert rows(pii.find_pii(df.filter("false"))) == []
 
 
+def test_the_classifier_adds_and_refuses_spans(spark):
+    r = random.Random(9)
+    number = lambda: f"{r.randrange(2, 9)}{r.randrange(8)}{r.choice('02345678')}-{r.randrange(200, 999)}-{r.randrange(1000, 10000)}"
+    given, want = [], {}
+    for i in range(400):
+        n, person = number(), f"{r.choice('Alice Jean Maria Tom Zeb Quill'.split())} {r.choice('Johnson Moreau Keller Hart'.split())}"
+        cases = [(f"please call {n} after five", "national", n), (f"order no {n} pieces left", None, n), (f"dear {person} wrote to us", "name", person), (f"over the {person} River there", None, person)]
+        text, kind, what = r.choice(cases)
+        given.append((i, text))
+        want[i] = kind, text.index(what), text.index(what) + len(what)
+    out = {x["doc_id"]: x["spans"] for x in rows(pii.find_pii(spark.createDataFrame(given, "doc_id long, text string")))}
+    right = [([(s["kind"], s["start"], s["end"]) for s in out[i]] == ([want[i]] if want[i][0] else [])) for i, _ in given]
+    assert np.mean(right) >= 0.95
+    assert sum(bool(out[i]) for i in out if want[i][0]) > 100 and sum(not out[i] for i in out if not want[i][0]) > 100
+    assert all(0.5 <= s["score"] <= 1 for x in out.values() for s in x)
+
+
+def test_scores_are_those_of_the_model(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(PERSONAL[:11])], "doc_id int, text string")
+    found = materialize(pii.candidates(df), "cands")
+    model = pii.learn(found)
+    out = rows(found.select(F.explode("cands").alias("c")).select("c.*", model.score(F.col("c")).alias("score")))
+    assert len(out) > 5
+    for c in out:
+        assert abs(c["score"] - model.probability(c["kind"], tuple(c[f"v{i}"] for i in range(pii.VOTERS)), c["shape"])) < 1e-8
+    # Features that no labeler sees have weights of their own.
+    assert any(f[1:2] == ("length",) for f in model.weights) and any(f[1:2] == ("edge_before",) for f in model.weights)
+
+
+@pytest.mark.parametrize("block", [2, 64])
+def test_running_values(spark, block):
+    r = random.Random(block)
+    lists = [[r.randrange(-9, 99) for _ in range(n)] for n in (0, 1, 2, 3, 4, 7, 8, 9, 63, 64, 65, 300)]
+    df = spark.createDataFrame([(x,) for x in lists], "x array<int>")
+    for merge, zero, plain in ((lambda a, x: a + x, 0, np.cumsum), (lambda a, x: F.greatest(a, x), -100, np.maximum.accumulate)):
+        for x in rows(df.select("x", pii.running(F.col("x"), merge, zero, block=block).alias("y"))):
+            assert x["y"] == (plain(x["x"]).tolist() if x["x"] else [])
+
+
+def test_loose_spans_meet_no_base_span(spark):
+    r = random.Random(3)
+    span = lambda kind: (lambda a: {"kind": kind, "start": a, "end": a + r.randrange(1, 12)})(r.randrange(90))
+    given = [(i, [span("name") for _ in range(r.randrange(6))], [span("email") for _ in range(r.randrange(6))]) for i in range(200)]
+    kind = "array<struct<kind:string,start:int,end:int>>"
+    df = spark.createDataFrame(given, f"i int, loose {kind}, base {kind}")
+    for x in rows(df.select("*", pii._apart(F.col("loose"), F.col("base")).alias("free"))):
+        want = [m for m in x["loose"] if not any(b["start"] < m["end"] and m["start"] < b["end"] for b in x["base"])]
+        assert sorted(x["free"]) == sorted(want)
+
+
+def test_a_text_of_many_spans(spark):
+    import time
+
+    text = " ".join(f"mail a{i}@b.org or 212-555-{i % 10000:04} and +1 (743) 555-{i % 10000:04}," for i in range(16_000))
+    start = time.monotonic()
+    out = rows(pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")))
+    found = collections.Counter(s["kind"] for s in out[0]["spans"])
+    assert len(text) > 800_000 and found["email"] == found["phone"] == 16_000 and time.monotonic() - start < 90
+
+
 def test_pii_plan_has_no_python(docs):
     assert not re.search("Python|Pandas|Arrow|ScalaUDF", pii.candidates(docs)._jdf.queryExecution().toString())
 
