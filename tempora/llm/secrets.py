@@ -3,8 +3,13 @@
 One pass of an Aho-Corasick automaton over the text finds keywords; the
 expression of a kind is tried only at its keyword's hits. Runs of hexadecimal
 digits have no keyword and are found by a vectorised run-length scan. Tokens
-that embed a checksum (a prefix, 30 characters, and the CRC-32 of the first
-part in base 62) are reported only if it holds.
+that embed a checksum are reported only if it holds:
+
+* github, npm: a prefix, 30 characters, and their CRC-32 in base 62;
+* xprv: an extended private key in base 58, whose last four bytes are those of
+  the double SHA-256 of the rest;
+* bech32: a secret key with the prefix nsec or AGE-SECRET-KEY-, whose last six
+  characters are a BCH code of prefix and data.
 
 Defined cases: a null text has no span; repeated rows share their result;
 offsets count code points; a match that fails its rule is dropped without
@@ -27,9 +32,18 @@ from tempora.llm._common import col, text_slices
 # The patterns of the base kinds, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-CHECKED = re.compile(r"(gh[pousr]|npm)_([A-Za-z0-9]{36})(?![A-Za-z0-9])")
-KINDS = ("assign", "access", "hex", "github", "npm")
-KEYWORDS = {"password": "assign", "passwd": "assign", "secret": "assign", "token": "assign", "apikey": "assign", "api_key": "assign", "akia": "access", "ghp_": "checked", "gho_": "checked", "ghu_": "checked", "ghs_": "checked", "ghr_": "checked", "npm_": "checked"}
+CHECKED = {
+    "github": re.compile(r"gh[pousr]_([A-Za-z0-9]{36})(?![A-Za-z0-9])"),
+    "npm": re.compile(r"npm_([A-Za-z0-9]{36})(?![A-Za-z0-9])"),
+    "xprv": re.compile(r"(xprv[1-9A-HJ-NP-Za-km-z]{107})(?![A-Za-z0-9])"),
+    "bech32": re.compile(r"((?:nsec1|AGE-SECRET-KEY-1)[0-9A-Za-z]{58})(?![A-Za-z0-9])"),
+}
+KINDS = ("assign", "access", "hex", *CHECKED)
+KEYWORDS = {w: "assign" for w in ("password", "passwd", "secret", "token", "apikey", "api_key")} | {"akia": "access", "npm_": "npm", "xprv": "xprv"}
+KEYWORDS |= {f"gh{x}_": "github" for x in "pousr"} | {"nsec1": "bech32", "age-secret-key-1": "bech32"}
+BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
+BECH32 = "qpzry9x8gf2tvdw0s3jn54khce6mua7l"
+BCH = (0x3B6A57B2, 0x26508E6D, 0x1EA119FA, 0x3D4233DD, 0x2A1462B3)
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 _HEX = np.zeros(256, bool)
@@ -45,6 +59,38 @@ def checksum(body: str) -> str:
     return out
 
 
+def base58_checks(token: str) -> bool:
+    """Whether the last four bytes are the checksum of the rest."""
+    n = 0
+    for c in token:
+        n = n * 58 + BASE58.index(c)
+    raw = n.to_bytes(82, "big")
+    return hashlib.sha256(hashlib.sha256(raw[:-4]).digest()).digest()[:4] == raw[-4:]
+
+
+def bech32_checks(token: str) -> bool:
+    """Whether prefix and data, which have one case, give the remainder 1."""
+    if token not in (token.lower(), token.upper()):
+        return False
+    prefix, _, data = token.lower().rpartition("1")
+    if not prefix or any(c not in BECH32 for c in data):
+        return False
+    values = [ord(c) >> 5 for c in prefix] + [0] + [ord(c) & 31 for c in prefix] + [BECH32.index(c) for c in data]
+    rest = 1
+    for v in values:
+        top, rest = rest >> 25, (rest & 0x1FFFFFF) << 5 ^ v
+        for i, g in enumerate(BCH):
+            rest ^= g if top >> i & 1 else 0
+    return rest == 1
+
+
+def checks(kind: str, body: str) -> bool:
+    """Whether the checksum that a token of this kind embeds holds."""
+    if kind in ("github", "npm"):
+        return checksum(body[:30]) == body[30:]
+    return base58_checks(body) if kind == "xprv" else bech32_checks(body)
+
+
 def _automaton():
     import ahocorasick
 
@@ -80,7 +126,7 @@ def scan(text: str | None) -> list[tuple[int, int, str]]:
     raw = text.encode("utf-8", "surrogatepass")
     hits = sorted((end - n + 1, kind) for end, (kind, n) in _made[0].iter(raw.lower().decode("utf-8", "surrogatepass")))
     spans = [(a, b, "hex") for a, b in hex_runs(raw)]
-    over = {"assign": 0, "access": 0, "checked": 0}
+    over = dict.fromkeys(KINDS, 0)
     for start, kind in hits:
         if start < over[kind]:
             continue
@@ -94,9 +140,9 @@ def scan(text: str | None) -> list[tuple[int, int, str]]:
                 over[kind] = m.end()
                 if m.end() - start >= 20:
                     spans.append((start, m.end(), kind))
-        elif (m := CHECKED.match(text, start)) and checksum(m[2][:30]) == m[2][30:]:
+        elif (m := CHECKED[kind].match(text, start)) and checks(kind, m[1]):
             over[kind] = m.end()
-            spans.append((start, m.end(), "npm" if m[1] == "npm" else "github"))
+            spans.append((start, m.end(), kind))
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

@@ -255,6 +255,68 @@ def brute_secrets(t):
     return [(a, b, secrets.KINDS[k]) for a, k, b in sorted(spans)]
 
 
+def base58(raw):
+    n, out = int.from_bytes(raw + hashlib.sha256(hashlib.sha256(raw).digest()).digest()[:4], "big"), ""
+    while n:
+        n, d = divmod(n, 58)
+        out = secrets.BASE58[d] + out
+    return out
+
+
+def bech32(prefix, raw):
+    """The token whose six last characters make the code hold: found one bit at a time, as the code is linear."""
+    bits = "".join(f"{b:08b}" for b in raw)
+    data = [int(bits[i : i + 5].ljust(5, "0"), 2) for i in range(0, len(bits), 5)]
+
+    def rest(values):
+        out = 1
+        for v in [ord(c) >> 5 for c in prefix] + [0] + [ord(c) & 31 for c in prefix] + values:
+            high = out >> 25
+            out = (out % 2**25) * 32 ^ v
+            for i in range(5):
+                out ^= secrets.BCH[i] * (high >> i & 1)
+        return out
+
+    code = rest(data + [0] * 6) ^ 1
+    return prefix + "1" + "".join(secrets.BECH32[x] for x in data + [code >> 5 * (5 - i) & 31 for i in range(6)])
+
+
+# A published test vector of extended private keys, and one of this kind of secret key.
+VECTOR = "xprv9s21ZrQH143K3QTDL4LXw2F7HEK3wJUD2nW2nRk4stbPy6cq3jPPqjiChkVvvNKmPGJxWUtg6LnF5kejMRNNU3TGtRBeJgk33yuGBxrMPHi"
+CHECKED = [VECTOR, base58(bytes.fromhex("0488ADE4") + b"\x07" * 74), bech32("nsec", bytes(range(32))), bech32("age-secret-key-", b"k" * 32).upper()]
+CHECKED += ["ghp_" + "q" * 30 + secrets.checksum("q" * 30), "npm_" + "Z9" * 15 + secrets.checksum("Z9" * 15)]
+
+
+def brute_checked(t):
+    out = []
+    for kind, pattern in secrets.CHECKED.items():
+        at = 0
+        while m := pattern.search(t or "", at):
+            ok = m[0] in CHECKED
+            out += [(m.start(), m.end(), kind)] * ok
+            at = m.end() if ok else m.start() + 1
+    return sorted(out)
+
+
+def test_tokens_are_reported_only_if_their_checksum_holds(spark):
+    r = random.Random(12)
+    assert secrets.base58_checks(VECTOR) and all(secrets.bech32_checks(x) for x in CHECKED[2:4]) and CHECKED[3].startswith("AGE-SECRET-KEY-1")
+    texts = []
+    for i in range(300):
+        parts = []
+        for _ in range(r.randrange(1, 6)):
+            token = r.choice(CHECKED)
+            if r.random() < 0.5:
+                at = r.randrange(5, len(token))
+                token = token[:at] + r.choice("2345679acdefACDEF") + token[at + 1 :]
+            parts.append(r.choice(["", "é ", "key=", "xprv", "x "]) + token + r.choice([" ", ".", "a", "", "\n"]))
+        texts.append(" ".join(parts))
+    for x in rows(secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))):
+        got = [(s["start"], s["end"], s["kind"]) for s in x["spans"] if s["kind"] in secrets.CHECKED]
+        assert sorted(got) == brute_checked(texts[x["doc_id"]])
+        assert [(s["start"], s["end"], s["kind"]) for s in x["spans"] if s["kind"] not in secrets.CHECKED] == brute_secrets(texts[x["doc_id"]])
+
+
 def test_secrets(spark):
     given = SECRET + [t for _, t in TEXTS]
     out = rows(secrets.find_secrets(spark.createDataFrame(list(enumerate(given)), "doc_id int, text string")))
