@@ -54,8 +54,8 @@ line AS (SELECT r, doc_id, host, unnest(string_split(text, chr(10))) AS line FRO
 solid AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words, regexp_replace(lower(array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' ')), '[0-9]', '0', 'g') AS normal FROM line WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM solid GROUP BY r),
 hosts AS (SELECT host, count(DISTINCT doc_id) AS docs FROM solid GROUP BY host),
-common AS (SELECT host, normal FROM solid JOIN hosts USING (host) GROUP BY host, normal, docs HAVING count(DISTINCT doc_id) > {least_docs} AND count(DISTINCT doc_id) > docs * {max_share}::DOUBLE),
-cut AS (SELECT r, sum(words)::BIGINT AS n FROM solid JOIN common USING (host, normal) GROUP BY r),
+common AS (SELECT s.host, normal FROM solid s JOIN hosts h ON s.host IS NOT DISTINCT FROM h.host GROUP BY s.host, normal, docs HAVING count(DISTINCT doc_id) > {least_docs} AND count(DISTINCT doc_id) > docs * {max_share}::DOUBLE),
+cut AS (SELECT r, sum(words)::BIGINT AS n FROM solid s JOIN common c ON s.normal = c.normal AND s.host IS NOT DISTINCT FROM c.host GROUP BY r),
 s AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(cut.n, 0)::BIGINT AS n_removed_words FROM d LEFT JOIN dup USING (r) LEFT JOIN rep USING (r) LEFT JOIN cut USING (r)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
 SELECT *, NOT base_failed AND n_words - n_removed_words >= n_words * {keep_share}::DOUBLE AS kept FROM f"""

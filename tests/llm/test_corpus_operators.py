@@ -852,6 +852,21 @@ def test_quality(docs, spark):
     assert not any(r["kept"] for r in out if r["base_failed"])
 
 
+def test_clean_texts_lose_their_boilerplate(spark):
+    letters = str.maketrans("0123456789", "abcdefghij")
+    body = lambda seed: prose(seed, 80, 10**9).translate(letters)
+    given = [(i, f"share this page no {i}\n{body(i)}\n\n SHARE  this page no 7", None if i % 2 else "h", "kept") for i in range(40)]
+    given += [(90, "share this page no 1\n" + body(90), "other", "kept"), (91, "short", "h", "kept"), (92, None, "h", "kept"), (0, given[0][1], "h", "kept")]
+    df = spark.createDataFrame(given, "doc_id long, text string, source string, `a.b` string").withColumn("rk", F.lit(1))
+    out = rows(quality.clean(df))
+    want = [(i, body(i) + "\n", h) for i, _, h, _ in given[:40]] + [(90, given[40][1], "other"), (0, body(0) + "\n", "h")]
+    assert collections.Counter((r["doc_id"], r["text"], r["source"]) for r in out) == collections.Counter(want)
+    assert all(r["a.b"] == "kept" and r["rk"] == 1 for r in out) and rows(quality.clean(df.limit(0))) == []
+    # However large its share of the host: a line in more than 10 documents.
+    high = {r["doc_id"]: r["n_removed_words"] for r in rows(quality.quality(df, max_share=1.0, most_docs=10))}
+    assert high[1] == 10 and high[90] == 0
+
+
 def test_boilerplate_is_counted_by_host(spark):
     common = " ".join(f"c{k}" for k in range(90))
     # Letters only: digits are normalised, and numbered words would be one line.

@@ -29,6 +29,16 @@ def test_query(spark, name):
     assert collections.Counter(tuple(r[c] for c in order) for r in got.collect()) == collections.Counter(tuple(dict(zip(want.columns, r, strict=True))[c] for c in order) for r in want.fetchall())
 
 
+def test_rows_without_a_host_count_in_both(spark, tmp_path):
+    docs = [(i, "the same line here\n" + " ".join(f"{chr(97 + i)}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)), None if i % 2 else "h", i) for i in range(16)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = {r[0]: r[1] for r in con.sql(f"SELECT doc_id, n_removed_words FROM ({queries.ORACLE_SQL['op10_quality']})").fetchall()}
+    got = {r["doc_id"]: r["n_removed_words"] for r in queries.op10_quality(spark, str(tmp_path)).collect()}
+    assert got == want and set(got.values()) == {4}
+
+
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("corpus"))
