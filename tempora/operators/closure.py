@@ -18,6 +18,8 @@ def connected_components(edges: DataFrame, src: str, dst: str, save: Callable[[D
     """
     pairs = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
     state = save(pairs.filter(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col("u") != F.col("v"))).distinct())
+    if state.isEmpty():
+        return state.select(F.col("u").alias("node"), F.col("v").alias("label"))
     seen = None
     for _ in range(max_rounds):
         state = save(_small_star(_large_star(state)))

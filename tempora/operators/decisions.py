@@ -24,9 +24,23 @@ def evaluate_policies(metrics: DataFrame, policies: DataFrame) -> DataFrame:
     return joined.withColumn("result", policy_result(F.col("value"), F.col("operator"), F.col("threshold"), F.col("margin")))
 
 
-def candidates(attention: Column, policy: Column) -> Column:
-    """Decision candidate from attention and policy."""
-    return F.when(policy == "BREACH", "REBALANCE").when(attention == "ACT_OR_REVIEW", "REVIEW").when(attention == "VERIFY", "RESEARCH").when(attention == "NOTE", "MONITOR").otherwise("NO_ACTION")
+#: The decision types, none of which executes anything, and the impact domains that are about a place.
+DECISION_TYPES = ("OBSERVE", "VERIFY", "WAIT", "PREPARE", "REVIEW_ALLOCATION", "REVIEW_LOCATION", "REVIEW_POLICY", "NO_ACTION")
+PLACES = ("migration", "residency", "geography", "housing")
+
+
+def candidates(attention: Column, policy: Column, domain: Column, urgency: Column, urgent_at: float = 0.5) -> Column:
+    """Decision candidate from attention, policy, impact domain and urgency.
+
+    A breach asks for a review of the policy, and a policy that can't be
+    evaluated to wait for data. What is important and sure is reviewed by its
+    domain if it is urgent and prepared for if not; the rest is verified,
+    observed or left alone.
+    """
+    review = F.when(domain.isin(*PLACES), "REVIEW_LOCATION").otherwise("REVIEW_ALLOCATION")
+    act = F.when(urgency >= urgent_at, review).otherwise("PREPARE")
+    by_attention = F.when(attention == "ACT_OR_REVIEW", act).when(attention == "VERIFY", "VERIFY").when(attention == "NOTE", "OBSERVE").otherwise("NO_ACTION")
+    return F.when(policy == "BREACH", "REVIEW_POLICY").when(policy == "UNKNOWN_DATA", "WAIT").otherwise(by_attention)
 
 
 def snapshot(decisions: DataFrame, facts: DataFrame, names: Sequence[str], owner: str, decided: str, observed: str, fact: str, value: str) -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from tempora.operators.identity import cosine
+from tempora.operators.temporal import preceding
 
 #: The tiers in rising order, and the legal steps of an artefact.
 TIERS = ("L0", "L1", "L2", "L3")
@@ -52,8 +54,19 @@ def transform_l2(df: DataFrame, owner: str, amount: str, institution: str, count
     bucket = F.lit("top")
     for at, name in reversed(list(cuts)):
         bucket = F.when(F.col(amount) < at, name).otherwise(bucket)
-    role = F.concat(F.lit("institution_"), F.dense_rank().over(Window.partitionBy(owner).orderBy(institution)).cast("string"))
-    return df.select(*keep, bucket.alias("amount_bucket"), role.alias("institution_role"), country.alias("country"))
+    pairs = df.select(F.col(owner).alias("__owner"), F.col(institution).alias("__institution")).distinct()
+    rank = F.row_number().over(Window.partitionBy("__owner").orderBy("__institution"))  # one row for each institution
+    roles = pairs.withColumn("__role", F.concat(F.lit("institution_"), rank.cast("string")))
+    same = F.col(owner).eqNullSafe(F.col("__owner")) & F.col(institution).eqNullSafe(F.col("__institution"))
+    released = [F.col(k) for k in keep] + [bucket.alias("amount_bucket"), F.col("__role").alias("institution_role"), country.alias("country")]
+    return df.join(roles, same).select(*released)
+
+
+def release(tier: Column, clearance: Column, transform_required: Column, transformed: Column) -> Column:
+    """What may be sent to a provider (L8): refused above its clearance or without one; from L2 on transformed first where that is required."""
+    rank = lambda t: F.array_position(F.array(*[F.lit(x) for x in TIERS]), t)
+    above = clearance.isNull() | (rank(tier) == 0) | (rank(tier) > rank(clearance))
+    return F.when(F.coalesce(above, F.lit(True)), "refused").when((rank(tier) >= rank(F.lit("L2"))) & transform_required & ~transformed, "transform_first").otherwise("allowed")
 
 
 def stage_counts(frames: Sequence[tuple[str, DataFrame]]) -> DataFrame:
@@ -65,21 +78,59 @@ def stage_counts(frames: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     return out
 
 
-def run_cycle(stages: dict[str, Callable[[dict[str, DataFrame], str], DataFrame]], tables: dict[str, DataFrame], as_of: str, run_id: str) -> tuple[dict[str, DataFrame], list[dict]]:
-    """The twelve stages in order (R1), each on what stands before it. A failure degrades the run and is recorded."""
+#: Statuses and results that stand for data a run did not have.
+MISSING = ("incomplete", "unknown", "UNKNOWN_DATA", "no_total", "stale")
+
+
+def run_cycle(
+    stages: dict[str, Callable[[dict[str, DataFrame], str], DataFrame]],
+    tables: dict[str, DataFrame],
+    as_of: str,
+    run_id: str,
+    save: Callable[[DataFrame], DataFrame],
+    seconds: Callable[[], float] | None = None,
+) -> tuple[dict[str, DataFrame], list[dict]]:
+    """The twelve stages in order (R1), each on what stands before it. A failure degrades the run and is recorded.
+
+    ``save`` writes and rereads a stage, so that what fails while it is worked
+    out fails here, and no stage is worked out twice. The record has for each
+    stage its rows, the rows that stand for missing data, and its time by the
+    clock ``seconds``, if one is given (R2).
+    """
     state, record = dict(tables), []
     for name in TWELVE:
+        row = {"run_id": run_id, "as_of": as_of, "stage": name, "status": "skipped", "rows": None, "missing": None, "seconds": None, "error": None}
+        record.append(row)
         if name not in stages:
-            record.append({"run_id": run_id, "stage": name, "status": "skipped", "error": None})
             continue
+        start = seconds() if seconds else None
         try:
-            state[name] = stages[name](state, as_of)
-            record.append({"run_id": run_id, "stage": name, "status": "ok", "error": None})
+            done = save(stages[name](state | {"run": record}, as_of))
+            lacks = F.lit(False)
+            for c in ("status", "result"):
+                if c in done.columns:
+                    lacks = lacks | F.coalesce(F.col(c).cast("string").isin(*MISSING), F.lit(True))
+            counted = done.agg(F.count(F.lit(1)).alias("rows"), F.count_if(lacks).alias("missing")).first()
+            state[name] = done
+            row |= {"status": "ok", "rows": counted["rows"], "missing": counted["missing"]}
         except Exception as e:  # noqa: BLE001 - any provider or engine error is recorded
-            record.append({"run_id": run_id, "stage": name, "status": "failed", "error": f"{type(e).__name__}: {e}"[:500]})
+            row |= {"status": "failed", "error": f"{type(e).__name__}: {e}"[:500]}
+        row["seconds"] = seconds() - start if seconds else None
     return state, record
 
 
+def run_record(record: Sequence[dict], sources: Sequence[tuple[str, str, str | None]] = (), calls: Sequence[float] = ()) -> dict:
+    """One row for a run (R2): stages and sources that answered or failed, model calls and their cost, time, missing data, status."""
+    failed = sum(r["status"] == "failed" for r in record)
+    silent = sum(s[1] != "ok" for s in sources)
+    times = [r["seconds"] for r in record if r["seconds"] is not None]
+    return {
+        "run_id": record[0]["run_id"], "as_of": record[0]["as_of"], "stages_ok": sum(r["status"] == "ok" for r in record), "stages_failed": failed,
+        "sources_ok": len(sources) - silent, "sources_failed": silent, "model_calls": len(calls), "cost": float(sum(calls)),
+        "seconds": sum(times) if times else None, "missing": sum(r["missing"] or 0 for r in record), "status": "degraded" if failed or silent else "ok",
+    }
+
+
 def streaks(days: DataFrame, day: str, ok: str) -> DataFrame:
     """Runs of consecutive good days (R5): start, end, length."""
     good = days.filter(ok).select(F.col(day).cast("date").alias("d")).distinct()
@@ -102,12 +153,11 @@ def purity(items: DataFrame, cluster: str, label: str) -> DataFrame:
 
 
 def illegal_steps(transitions: DataFrame, artefact: str, order: Sequence[str], state: str) -> DataFrame:
-    """Steps of an artefact that its lifecycle does not allow (G1)."""
-    back = F.lag(state).over(Window.partitionBy(artefact).orderBy(*order))
+    """Steps of an artefact that its lifecycle does not allow (G1). The first of ``order`` is a time."""
     rank = F.array_position(F.array(*[F.lit(s) for s in STAGES]), F.col(state))
     before = F.array_position(F.array(*[F.lit(s) for s in STAGES]), F.col("previous"))
     legal = F.when(F.col("previous").isNull(), F.col(state) == "candidate").when(F.col(state).isin("demoted", "superseded"), F.col("previous") == "active").otherwise((before > 0) & (rank == before + 1))
-    return transitions.withColumn("previous", back).withColumn("legal", legal).filter(~F.col("legal"))
+    return preceding(transitions, [artefact], order[0], order[1:], state, "previous").withColumn("legal", legal).filter(~F.col("legal"))
 
 
 def promotable(confirmations: DataFrame, rule: str, least: int, approved: DataFrame) -> DataFrame:
@@ -122,6 +172,34 @@ def latest_of(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("m"), (F.count(F.lit(1)) - 1).alias("superseded")).select(*keys, "m.*", "superseded")
 
 
+#: The kinds of qualitative material that memory holds.
+MEMORY_KINDS = ("reasoning", "preference", "lesson", "concern", "explanation")
+
+
+class SemanticMemoryPort(Protocol):
+    """Qualitative memory (M1). What it recalls is never an authority for a quantity, status, probability, threshold or date."""
+
+    def remember(self, rows: DataFrame) -> DataFrame:
+        """The rows that may be stored."""
+
+    def recall(self, topic: str, query: Sequence[float], k: int) -> DataFrame:
+        """The k nearest memories of a topic, marked as not authoritative."""
+
+
+class TableMemory:
+    """Memory over a table of id, topic, kind, text and embedding."""
+
+    def __init__(self, table: DataFrame):
+        self.table = table
+
+    def remember(self, rows: DataFrame) -> DataFrame:
+        return rows.filter(F.col("kind").isin(*MEMORY_KINDS)).join(self.table.select("id"), "id", "left_anti")
+
+    def recall(self, topic: str, query: Sequence[float], k: int) -> DataFrame:
+        near = nearest(self.table.filter(F.col("topic") == topic), "id", "embedding", query, k)
+        return near.withColumn("authoritative", F.lit(False))
+
+
 def nearest(df: DataFrame, key: str, vector: str, query: Sequence[float], k: int) -> DataFrame:
     """The k vectors of highest cosine with a query vector (M2); ties by key. Exact."""
     q = F.array(*[F.lit(float(x)) for x in query])

@@ -12,16 +12,23 @@ from pyspark.sql import functions as F
 from tempora.operators.closure import connected_components
 
 PARSE_VERSION, CANONICAL_VERSION, HASH_VERSION = "parse-1", "url-1", "hash-1"
-#: Rules of the canonical URL, applied in order after lower-casing.
-URL_RULES = ((r"#.*$", ""), (r"[?&](ref|utm_[a-z]+)=[^&]*", ""), (r"^https?://(www\.|m\.)?", ""), (r"/+$", ""))
+#: Query parameters that say where a reader came from.
+TRACKING = r"^(?:utm_[a-z_]+|ref|gclid|fbclid)(?:=|$)"
 
 
 def canonical_url(url: Column) -> Column:
-    """Layer 2 (D2): scheme, www. and m. hosts, fragments, tracking parameters and last slashes do not count."""
-    out = F.lower(url)
-    for pattern, new in URL_RULES:
-        out = F.regexp_replace(out, pattern, new)
-    return out
+    """Layer 2 (D2): host, path and sorted query parameters.
+
+    Scheme, user, default port, www. and m. of the host, fragment, last slashes
+    of the path and tracking parameters do not count. Only the host loses its
+    case: paths and parameters that differ in case are different pages.
+    """
+    plain = F.regexp_replace(F.regexp_replace(F.trim(url), r"#.*$", ""), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
+    before, query = F.split_part(plain, F.lit("?"), F.lit(1)), F.regexp_extract(plain, r"\?(.*)$", 1)
+    host = F.lower(F.regexp_replace(F.regexp_replace(F.split_part(before, F.lit("/"), F.lit(1)), r"^[^@]*@", ""), r":(?:80|443)$", ""))
+    path = F.regexp_replace(F.regexp_extract(before, r"^[^/]*(/.*)?$", 1), r"/+$", "")
+    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(p).rlike(TRACKING)))
+    return F.concat(F.regexp_replace(host, r"^(?:www|m)\.", ""), path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
 
 
 def content_hash(text: Column) -> Column:
@@ -120,6 +127,28 @@ def time_matches(df: DataFrame, key: str, on: Sequence[str], time_col: str, seco
     return a.join(b, [*on, "slot"]).filter(later & (gap <= seconds * 1_000_000)).select(*on, "id_a", "id_b", (gap / F.lit(1_000_000)).alias("seconds"))
 
 
+def array_matches(df: DataFrame, key: str, entities: str, topics: str, time_col: str, seconds: int) -> DataFrame:
+    """Pairs that share an entity and a topic and are at most ``seconds`` apart (D5 on arrays).
+
+    Rows meet on one entity and time slot; the topics are compared as arrays.
+    """
+    slot = F.floor(F.unix_micros(time_col) / F.lit(seconds * 1_000_000)).cast("long")
+    rows = df.select(F.col(key).alias("id"), F.explode(F.array_distinct(entities)).alias("entity"), F.col(topics).alias("topics"), F.unix_micros(time_col).alias("us"), slot.alias("slot"))
+    a = rows.withColumnsRenamed({"id": "id_a", "topics": "topics_a", "us": "us_a"}).withColumn("slot", F.explode(F.array("slot", F.col("slot") + 1)))
+    b = rows.withColumnsRenamed({"id": "id_b", "topics": "topics_b", "us": "us_b"})
+    gap = F.col("us_b") - F.col("us_a")
+    later = (gap > 0) | ((gap == 0) & (F.col("id_a") < F.col("id_b")))
+    met = a.join(b, ["entity", "slot"]).filter(later & (gap <= seconds * 1_000_000) & F.arrays_overlap("topics_a", "topics_b"))
+    return met.groupBy("id_a", "id_b").agg(F.array_sort(F.collect_set("entity")).alias("shared_entities"))
+
+
+def review_proposals(proposals: DataFrame, registry: DataFrame, key: str, least: float) -> DataFrame:
+    """What a model proposes (D19), with a verdict: proposals are never state, and at best go to a reviewer."""
+    known = proposals.join(registry.filter("enabled").select(key).distinct().withColumn("__known", F.lit(True)), key, "left")
+    verdict = F.when(F.col("__known").isNull(), "unknown_subject").when(F.col("confidence").isNull() | (F.col("confidence") < least), "too_unsure").otherwise("to_review")
+    return known.withColumn("verdict", verdict).drop("__known")
+
+
 def propose_merges(pairs: DataFrame, threshold: float, rejected: DataFrame | None = None) -> DataFrame:
     """Merge proposals with their decision (D8, D9); a rejected pair is not proposed again."""
     pair = pairs.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "score")

@@ -42,6 +42,39 @@ def resolve_exposures(deltas: DataFrame, rules: DataFrame, exposures: DataFrame,
     return deltas.join(rules, dimension).join(exposures, exposure)
 
 
+def causal_chains(deltas: DataFrame, edges: DataFrame, hops: int, start: str = "dimension") -> DataFrame:
+    """Deterministic impacts along the causal rule graph (I2), or research where no rule leads on.
+
+    ``edges`` has source, target, weight and terminal. Each hop is one join with
+    the rules, so a chain has at most ``hops`` of them; a delta of which no chain
+    ends in a terminal target comes out once, with status ``research``.
+    """
+    rules = edges.select(F.col("source").alias("__at"), F.col("target").alias("__to"), F.col("weight").alias("__w"), F.col("terminal").alias("__end"))
+    here = deltas.withColumns({"__at": F.col(start), "chain": F.array(F.col(start)), "effect": F.col("delta")})
+    found = None
+    for _ in range(hops):
+        step = here.join(rules, "__at").filter(~F.array_contains("chain", F.col("__to")))
+        step = step.withColumns({"chain": F.concat("chain", F.array("__to")), "effect": F.col("effect") * F.col("__w")})
+        ended = step.filter("__end").drop("__at", "__w", "__end").withColumnRenamed("__to", "target")
+        found = ended if found is None else found.unionByName(ended)
+        here = step.filter("NOT __end").drop("__at", "__w", "__end").withColumnRenamed("__to", "__at")
+    reached = found.select(start).distinct()
+    open_ = deltas.join(reached, start, "left_anti").select(*deltas.columns, F.array(F.col(start)).alias("chain"), F.lit(None).cast("double").alias("effect"), F.lit(None).cast("string").alias("target"))
+    return found.withColumn("status", F.lit("impact")).unionByName(open_.withColumn("status", F.lit("research")))
+
+
+def citations(claims: DataFrame, sources: DataFrame, claim: str, cited: str, source: str) -> DataFrame:
+    """Claims with the number of their citations and of those that lead to a known source.
+
+    A fact needs a source; an inference or speculation needs to be called one.
+    """
+    each = claims.select(claim, F.explode(F.array_distinct(cited)).alias("__cited"))
+    known = each.join(sources.select(F.col(source).alias("__cited")).distinct(), "__cited").groupBy(claim).agg(F.count(F.lit(1)).alias("sourced"))
+    out = claims.join(known, claim, "left").withColumns({"cited": F.size(F.array_distinct(cited)), "sourced": F.coalesce("sourced", F.lit(0))})
+    verdict = F.when((F.col("kind") == "fact") & (F.col("sourced") == 0), "unsupported").when(F.col("sourced") < F.col("cited"), "broken_link").otherwise("ok")
+    return out.withColumn("verdict", verdict)
+
+
 def classify(calculated: DataFrame, by_rule: DataFrame, inferred: DataFrame, speculative: DataFrame) -> DataFrame:
     """Impacts of every branch with their class."""
     out = calculated.withColumn("impact_class", F.lit("DIRECT_CALCULATED"))
@@ -56,10 +89,26 @@ def opportunities(impacts: DataFrame, objectives: DataFrame, key: str) -> DataFr
 
 
 def interruptions(df: DataFrame, owner: str, time_col: str, value: str, base: float, growth: float, days: int) -> DataFrame:
-    """Interrupt only above a threshold that grows with the interruptions offered in the last days."""
-    w = Window.partitionBy(owner).orderBy(F.unix_micros(time_col)).rangeBetween(-days * 86_400_000_000, -1)
-    recent = F.count(F.lit(1)).over(w)
-    return df.withColumn("recent", recent).withColumn("threshold", F.lit(base) + F.lit(growth) * F.col("recent")).withColumn("interrupt", F.col(value) > F.col("threshold"))
+    """Interrupt only above a threshold that grows with the interruptions offered in the last days.
+
+    An owner's history is cut into days. What was offered in the last days is
+    the number of the whole days before, less that of rows of the first day that
+    have dropped out, plus that of rows of this day that came before: one window
+    over two days' rows, however long the history is.
+    """
+    us, length = F.unix_micros(time_col), 86_400_000_000
+    come = df.withColumns({"__us": us, "__day": F.floor(us / F.lit(length)).cast("long"), "__add": F.lit(1)})
+    counts = come.groupBy(owner, "__day").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(owner).orderBy("__day").rangeBetween(-days, -1))  # one row for each day
+    whole = counts.select(F.col(owner).alias("__owner"), F.col("__day").alias("__d"), F.coalesce(before, F.lit(0)).alias("__base"))
+    gone = come.select(owner, (F.col("__us") + days * length).alias("__us"), (F.col("__day") + days).alias("__day"), F.lit(-1).alias("__add"))
+    both = come.unionByName(gone, allowMissingColumns=True)
+    inside = Window.partitionBy(owner, "__day").orderBy("__us").rangeBetween(Window.unboundedPreceding, -1)
+    counted = both.withColumn("__moved", F.coalesce(F.sum("__add").over(inside), F.lit(0))).filter("__add = 1")
+    same = F.col(owner).eqNullSafe(F.col("__owner")) & (F.col("__day") == F.col("__d"))
+    recent = (F.col("__base") + F.col("__moved")).cast("long")
+    joined = counted.join(whole, same).withColumn("recent", recent).select(*df.columns, "recent")
+    return joined.withColumn("threshold", F.lit(base) + F.lit(growth) * F.col("recent")).withColumn("interrupt", F.col(value) > F.col("threshold"))
 
 
 def critical_allowed(deterministic: Column, sources: Column, best_class: Column) -> Column:

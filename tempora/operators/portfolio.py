@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempora.operators.temporal import preceding
+
 MONEY = "decimal(20,8)"
 
 
@@ -86,13 +88,21 @@ def bucket_stress(buckets: DataFrame, owner: Sequence[str], bucket: str, value:
     return buckets.withColumn("total", F.sum(value).over(w)).withColumn("stressed_total", F.col("total") + F.col(value) * move).withColumn("loss_share", F.try_divide(F.col(value) * move, F.col("total")))
 
 
+def concentration_checks(positions: DataFrame, owner: Sequence[str], asset: str, value: str, stable: Sequence[str], most_single: float, most_stable: float) -> DataFrame:
+    """Share of the largest single asset and of stablecoins of each owner, against limits (F13). A zero total is unknown."""
+    sums = positions.groupBy(*owner, asset).agg(F.sum(money(F.col(value))).cast("double").alias("v"))
+    out = sums.groupBy(*owner).agg(F.max_by(asset, F.struct("v", asset)).alias("top_asset"), F.max("v").alias("top"), F.sum(F.when(F.col(asset).isin(*stable), F.col("v")).otherwise(0.0)).alias("stable"), F.sum("v").alias("all"))
+    single, coins = F.try_divide("top", "all"), F.try_divide("stable", "all")
+    status = F.when(single.isNull(), "UNKNOWN_DATA").when((single > most_single) & (coins > most_stable), "BOTH").when(single > most_single, "SINGLE_ASSET").when(coins > most_stable, "STABLECOIN").otherwise("PASS")
+    return out.select(*owner, "top_asset", single.alias("top_share"), coins.alias("stable_share"), status.alias("status"))
+
+
 def pivot_matrix(df: DataFrame, row: str, column: str, values: Sequence[str], value: str) -> DataFrame:
     """Matrix of the maxima of a value (P4). The columns are given, so no job looks for them."""
     return df.groupBy(row).pivot(column, list(values)).agg(F.max(value))
 
 
 def mutations(versions: DataFrame, key: str, order: Sequence[str], value: str) -> DataFrame:
-    """Audit rows of a versioned value: previous and new value of each change."""
-    w = Window.partitionBy(key).orderBy(*order)
-    rows = versions.withColumn("previous_value", F.lag(value).over(w)).withColumnRenamed(value, "new_value")
+    """Audit rows of a versioned value: previous and new value of each change (P2). The first of ``order`` is a time."""
+    rows = preceding(versions, [key], order[0], order[1:], value, "previous_value").withColumnRenamed(value, "new_value")
     return rows.filter(F.col("previous_value").isNull() | (F.col("previous_value") != F.col("new_value")))

@@ -15,6 +15,11 @@ def pressure(drivers: DataFrame, by: Sequence[str]) -> DataFrame:
     return drivers.groupBy(*by).agg(F.when(missing == 0, p).alias("pressure"), missing.alias("missing_drivers"))
 
 
+def drivers(mapping: DataFrame, narratives: DataFrame, narrative: str, score: str) -> DataFrame:
+    """Drivers of scenarios with the current score of their narrative (C2); one without a narrative has none, and is counted by ``pressure``."""
+    return mapping.join(narratives.select(narrative, F.col(score).alias("current_score")), narrative, "left")
+
+
 def bounded_update(sets: DataFrame, set_id: Sequence[str], prior: str, target: str, bound: float) -> DataFrame:
     """Posterior (C4, C5): the whole vector of changes is scaled so that none exceeds the bound.
 

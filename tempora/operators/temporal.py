@@ -44,6 +44,25 @@ def _following(df: DataFrame, keys: Sequence[str], time_col: str, ties: Sequence
     return df.withColumn("__next", F.lead(time_col).over(inside)).join(later, [*keys, "__bucket"]).withColumn("valid_to", F.coalesce("__next", "__later")).drop("__bucket", "__next", "__later")
 
 
+def preceding(df: DataFrame, keys: Sequence[str], time_col: str, ties: Sequence[str], value: str, name: str, bucket: str = "month") -> DataFrame:
+    """Every row with the value of the row before it (of its keys, by time and ties).
+
+    Windows see one bucket of a key; the first row of a bucket has the last of an
+    earlier one, from one row for each key and bucket.
+    """
+    order = F.struct(time_col, *ties)
+    dealt = df.withColumn("__bucket", F.date_trunc(bucket, time_col))
+    inside = Window.partitionBy(*keys, "__bucket").orderBy(time_col, *ties)
+    ends = dealt.groupBy(*keys, "__bucket").agg(F.max_by(F.struct(F.col(value).alias("v")), order).alias("__last"))
+    across = Window.partitionBy(*keys).orderBy("__bucket")
+    carried = ends.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__bucket").alias("__b"), F.lag("__last").over(across).alias("__far"))
+    same = F.col("__bucket").eqNullSafe(F.col("__b"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    near = dealt.withColumn("__near", F.lag(F.struct(F.col(value).alias("v"))).over(inside))
+    return near.join(carried, same).select(*df.columns, F.coalesce("__near", "__far")["v"].alias(name))
+
+
 def intervals(df: DataFrame, keys: Sequence[str], time_col: str, tie_breakers: Sequence[str] = (), bucket: str = "day") -> DataFrame:
     """History as half-open intervals: every row is closed by its successor."""
     return _following(df, keys, time_col, tie_breakers, bucket).withColumnRenamed(time_col, "valid_from")

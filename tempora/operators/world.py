@@ -56,8 +56,8 @@ def market_features(df: DataFrame, key: str, order: str, value: str, rows: int)
 
 
 def regime(df: DataFrame, score: str, high: float, low: float) -> DataFrame:
-    """Overall regime of a snapshot by the mean score."""
-    out = df.agg(F.avg(score).alias("mean_score"), F.count(F.lit(1)).alias("dimensions"))
+    """Overall regime of a snapshot by the mean score, and its confidence: the share of dimensions that have one."""
+    out = df.agg(F.avg(score).alias("mean_score"), F.count(F.lit(1)).alias("dimensions"), F.coalesce(F.try_divide(F.count(score).cast("double"), F.count(F.lit(1))), F.lit(0.0)).alias("confidence"))
     return out.withColumn("overall_regime", F.when(F.col("mean_score").isNull(), "unknown").when(F.col("mean_score") >= high, "expansion").when(F.col("mean_score") <= low, "contraction").otherwise("neutral"))
 
 

@@ -6,6 +6,8 @@ Every stage is a pure function of the tables, of what stands before it, and of
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,13 +20,16 @@ from tempora.operators import scenarios as C
 from tempora.operators import temporal as T
 from tempora.operators import world as W
 from tempora.plans.registry import Tables, day, query
+from tempora.sources import tables
 
 Frames = dict[str, DataFrame]
 AS_OF = "2024-01-15 00:00:00"
 
 
 def ingest(s: Frames, as_of: str) -> DataFrame:
-    return I.first_of(T.known_at(s["events"], "ts", as_of), ["event_type", "event_id"], ["ts"])
+    """Items of the sources that are due, known at the instant."""
+    due = T.due_sources(s["sources"], as_of).select("event_type")
+    return I.first_of(T.known_at(s["events"], "ts", as_of).join(due, "event_type", "left_semi"), ["event_type", "event_id"], ["ts"])
 
 
 def events(s: Frames, as_of: str) -> DataFrame:
@@ -76,11 +81,13 @@ def policies(s: Frames, as_of: str) -> DataFrame:
 def decisions(s: Frames, as_of: str) -> DataFrame:
     joined = s["evaluate_policies"].join(s["calculate_impacts"].select(F.col("c_nationkey").alias("owner_id"), "priority").distinct(), "owner_id", "left")
     a = M.attention(F.coalesce("priority", F.lit(0.0)), F.lit(1.0), 0.3, 0.5)
-    return joined.select("owner_id", "policy_id", J.candidates(a, F.col("result")).alias("decision_type"))
+    return joined.select("owner_id", "policy_id", J.candidates(a, F.col("result"), F.lit("portfolio"), F.lit(0.5)).alias("decision_type"))
 
 
 def record(s: Frames, as_of: str) -> DataFrame:
-    return G.stage_counts([(n, s[n]) for n in G.TWELVE if n in s])
+    """The log of the stages so far; the whole log is appended to its table when the cycle has ended."""
+    done = [tuple(r[c] for c in LOG) for r in s["run"] if r["status"] != "skipped"]
+    return next(iter(s.values())).sparkSession.createDataFrame(done, tables.SCHEMAS["job_run"])
 
 
 def alerts(s: Frames, as_of: str) -> DataFrame:
@@ -91,19 +98,43 @@ def alerts(s: Frames, as_of: str) -> DataFrame:
 STAGES = dict(zip(G.TWELVE, (ingest, events, narratives, world, personal, exposures, impacts, scenarios, policies, decisions, record, alerts), strict=True))
 
 
-def run(spark, sf_dir: str, as_of: str, run_id: str) -> tuple[Frames, list[dict]]:
+LOG = tables.SCHEMAS["job_run"].names
+
+
+def run(spark, sf_dir: str, as_of: str, run_id: str, root: str | None = None, clock: Callable[[], float] | None = None) -> tuple[Frames, list[dict]]:
+    """One cycle. With ``root`` its stage log and its run record are appended to their tables there."""
     t = Tables(spark, sf_dir)
+    hour = "2024-01-14 23:00:00"
     given = {
         "events": t.events, "customer": t.customer,
+        "sources": t.rows("event_type string, interval_minutes int, enabled boolean, last_fetch timestamp", ("click", 60, True, hour), ("view", 15, True, hour), ("purchase", 30, True, None), ("error", 60, True, hour), ("signup", 1440, True, hour)),
         "rules": t.rows("event_type string, how string", ("purchase", "DIRECT_RULE")),
         "policies": t.rows("policy_id string, metric string, operator string, threshold double, margin double, severity string, enabled boolean", ("p1", "net_worth", ">=", 200000.0, 50000.0, "high", True)),
     }
-    return G.run_cycle(STAGES, given, as_of, run_id)
+    state, log = G.run_cycle(STAGES, given, as_of, run_id, tables.save, clock)
+    if root:
+        tables.append(spark.createDataFrame([tuple(r[c] for c in LOG) for r in log], tables.SCHEMAS["job_run"]), root, "job_run", run_id)
+        names = tables.SCHEMAS["run_record"].names
+        total = G.run_record(log, [("events", "ok", None), ("customer", "ok", None)])
+        tables.append(spark.createDataFrame([tuple(total[c] for c in names)], tables.SCHEMAS["run_record"]), root, "run_record", run_id)
+    return state, log
 
 
-@query(f"""WITH e AS (SELECT * FROM events WHERE ts <= TIMESTAMP '{AS_OF}'), n AS (SELECT c_nationkey FROM customer GROUP BY 1)
-    SELECT 'ingest_due_sources' AS stage, (SELECT count(*) FROM e) AS rows UNION ALL SELECT 'materialize_events', (SELECT count(DISTINCT (user_id, ts::DATE)) FROM e) UNION ALL SELECT 'update_narratives', (SELECT count(DISTINCT event_type) FROM e)
+_WORK = f"""e AS (SELECT * FROM events WHERE ts <= TIMESTAMP '{AS_OF}' AND event_type <> 'signup'), n AS (SELECT c_nationkey FROM customer GROUP BY 1),
+    r(stage, rows) AS (SELECT 'ingest_due_sources', (SELECT count(*) FROM e) UNION ALL SELECT 'materialize_events', (SELECT count(DISTINCT (user_id, ts::DATE)) FROM e) UNION ALL SELECT 'update_narratives', (SELECT count(DISTINCT event_type) FROM e)
     UNION ALL SELECT 'build_world_state', (SELECT count(DISTINCT event_type) FROM e) UNION ALL SELECT 'load_personal_state', (SELECT count(*) FROM n) UNION ALL SELECT 'calculate_exposures', (SELECT count(DISTINCT (c_nationkey, c_mktsegment)) FROM customer WHERE c_acctbal > 0)
-    UNION ALL SELECT 'calculate_impacts', (SELECT count(DISTINCT c_nationkey) FROM customer WHERE c_acctbal > 0 AND c_mktsegment = 'BUILDING') UNION ALL SELECT 'update_scenarios', (SELECT count(DISTINCT event_type) FROM e) UNION ALL SELECT 'evaluate_policies', (SELECT count(*) FROM n) UNION ALL SELECT 'derive_decision_candidates', (SELECT count(*) FROM n)""")
+    UNION ALL SELECT 'calculate_impacts', (SELECT count(DISTINCT c_nationkey) FROM customer WHERE c_acctbal > 0 AND c_mktsegment = 'BUILDING') UNION ALL SELECT 'update_scenarios', (SELECT count(DISTINCT event_type) FROM e) UNION ALL SELECT 'evaluate_policies', (SELECT count(*) FROM n) UNION ALL SELECT 'derive_decision_candidates', (SELECT count(*) FROM n))"""
+
+
+@query(f"WITH {_WORK} SELECT 'run-1' AS run_id, '{AS_OF}' AS as_of, stage, 'ok' AS status, rows, 0::BIGINT AS missing FROM r")
 def cycle_record(spark, d):
-    return run(spark, d, AS_OF, "run-1")[0]["persist_run_record"]
+    return run(spark, d, AS_OF, "run-1")[0]["persist_run_record"].select("run_id", "as_of", "stage", "status", "rows", "missing")
+
+
+@query(f"SELECT '{AS_OF}' AS as_of, 12::BIGINT AS stages_ok, 0::BIGINT AS stages_failed, 2::BIGINT AS sources_ok, 1::BIGINT AS sources_failed, 2::BIGINT AS model_calls, 0.75::DOUBLE AS cost, 0::BIGINT AS missing, 'degraded' AS status")
+def cycle_total(spark, d):
+    """The run record of a cycle in which one of three sources did not answer and two model calls were paid for."""
+    _, log = run(spark, d, AS_OF, "run-1")
+    total = G.run_record(log, [("events", "ok", None), ("customer", "ok", None), ("prices", "failed", "no answer")], [0.5, 0.25])
+    schema = tables.SCHEMAS["run_record"]
+    return spark.createDataFrame([tuple(total[c] for c in schema.names)], schema).select("as_of", "stages_ok", "stages_failed", "sources_ok", "sources_failed", "model_calls", "cost", "missing", "status")

@@ -90,6 +90,33 @@ def impact_classified(spark, d):
     return M.classify(calculated, *parts).groupBy("impact_class").agg(F.count(F.lit(1)).alias("impacts"))
 
 
+EDGES = (("click", "usd", 0.5, False), ("usd", "assets", 0.8, True), ("usd", "expenses", -0.3, True), ("purchase", "inflation", 0.4, False), ("inflation", "cash", -0.9, True), ("inflation", "burn", 0.7, False), ("burn", "runway", -0.6, True), ("view", "rates", 0.2, False), ("rates", "view", 1.0, False))
+_EDGES = "g(s, t, w, e) AS (VALUES ('click', 'usd', 0.5, false), ('usd', 'assets', 0.8, true), ('usd', 'expenses', -0.3, true), ('purchase', 'inflation', 0.4, false), ('inflation', 'cash', -0.9, true), ('inflation', 'burn', 0.7, false), ('burn', 'runway', -0.6, true), ('view', 'rates', 0.2, false), ('rates', 'view', 1.0, false))"
+
+
+@query(f"""WITH RECURSIVE {_PAIR}, dl AS (SELECT prev.event_type, upd.score - prev.score AS delta FROM prev JOIN upd ON prev.event_type = upd.event_type), {_EDGES},
+    c AS (SELECT event_type, event_type AS node, [event_type] AS chain, delta AS effect, false AS e, 0 AS hops FROM dl UNION ALL SELECT event_type, t, list_append(chain, t), effect * w::DOUBLE, g.e, hops + 1 FROM c JOIN g ON g.s = c.node WHERE NOT c.e AND hops < 3 AND NOT list_contains(chain, t))
+    SELECT event_type, array_to_string(chain, ' > ') AS chain, round(effect, 6) AS effect, 'impact' AS status FROM c WHERE e UNION ALL SELECT event_type, event_type, NULL, 'research' FROM dl WHERE event_type NOT IN (SELECT event_type FROM c WHERE e)""")
+def causal_chains(spark, d):
+    t = Tables(spark, d)
+    from tempora.operators.world import next_snapshot
+
+    moved = material_deltas(next_snapshot(*_two_days(t), "event_type", "score"), 0.0).filter("NOT carried").select("event_type", (F.col("new_score") - F.col("old_score")).alias("delta"))
+    out = M.causal_chains(moved, t.rows("source string, target string, weight double, terminal boolean", *EDGES), 3, "event_type")
+    return out.select("event_type", F.array_join("chain", " > ").alias("chain"), r6("effect").alias("effect"), "status")
+
+
+@query("""WITH c AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'fact' WHEN 1 THEN 'inference' ELSE 'speculation' END AS kind, CASE WHEN doc_id % 4 = 0 THEN [] ELSE [doc_id, doc_id * 7 % 1000, doc_id] END AS cited FROM documents), u AS (SELECT doc_id, unnest(list_distinct(cited)) AS x FROM c), k AS (SELECT u.doc_id, count(*) AS n FROM u JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = x GROUP BY 1)
+    SELECT kind, CASE WHEN kind = 'fact' AND coalesce(n, 0) = 0 THEN 'unsupported' WHEN coalesce(n, 0) < len(list_distinct(cited)) THEN 'broken_link' ELSE 'ok' END AS verdict, count(*) AS claims FROM c LEFT JOIN k USING (doc_id) GROUP BY 1, 2""")
+def brief_citations(spark, d):
+    t = Tables(spark, d)
+    i = F.col("doc_id")
+    kind = F.when(i % 3 == 0, "fact").when(i % 3 == 1, "inference").otherwise("speculation")
+    cited = F.when(i % 4 == 0, F.array().cast("array<bigint>")).otherwise(F.array(i, i * 7 % 1000, i))
+    claims = t.documents.select("doc_id", kind.alias("kind"), cited.alias("cited_ids"))
+    return M.citations(claims, t.labels, "doc_id", "cited_ids", "doc_id").groupBy("kind", "verdict").agg(F.count(F.lit(1)).alias("claims"))
+
+
 @query(f"WITH {_I} SELECT event_id, user_id FROM i WHERE event_type IN ('purchase', 'signup')")
 def opportunity_view(spark, d):
     t = Tables(spark, d)
@@ -208,6 +235,18 @@ def scenario_pressure(spark, d):
     return C.pressure(r, ["scenario"]).select("scenario", r6("pressure", 4).alias("pressure"), "missing_drivers")
 
 
+DRIVERS = (("soft", "click", 1, 0.5), ("soft", "error", -1, 0.2), ("reflation", "purchase", 1, 0.7), ("reflation", "view", 1, 0.1), ("shock", "error", 1, 0.9), ("shock", "unheard_of", 1, 0.3))
+
+
+@query(f"""WITH {_DAILY}, n AS (SELECT event_type AS narrative_id, score FROM dd WHERE day = '2024-01-14'), m(scenario, narrative_id, dir, w) AS (VALUES ('soft', 'click', 1, 0.5), ('soft', 'error', -1, 0.2), ('reflation', 'purchase', 1, 0.7), ('reflation', 'view', 1, 0.1), ('shock', 'error', 1, 0.9), ('shock', 'unheard_of', 1, 0.3))
+    SELECT scenario, CASE WHEN count(*) = count(score) THEN round(sum(w::DOUBLE * dir * score), 6) END AS pressure, count(*) FILTER (score IS NULL) AS missing_drivers FROM m LEFT JOIN n USING (narrative_id) GROUP BY 1""")
+def scenario_drivers(spark, d):
+    t = Tables(spark, d)
+    narratives = _two_days(t)[0].withColumnRenamed("event_type", "narrative_id")
+    mapped = C.drivers(t.rows("scenario string, narrative_id string, direction int, weight double", *DRIVERS), narratives, "narrative_id", "score")
+    return C.pressure(mapped, ["scenario"]).select("scenario", r6("pressure").alias("pressure"), "missing_drivers")
+
+
 @query(f"WITH {_SHARE} SELECT event_type AS scenario, day, round(p, 6) AS new_value, round(lag(p) OVER (PARTITION BY event_type ORDER BY day), 6) AS previous_value FROM sh")
 def scenario_history(spark, d):
     from tempora.operators.world import history
@@ -257,16 +296,19 @@ def forecast_compare(spark, d):
 
 # Policies
 
-POLICIES = (("runway", "runway", ">=", 12.0, 2.0, "high", True), ("crypto", "share", "<=", 0.25, 0.05, "low", True), ("off", "share", "<=", 0.01, 0.0, "low", False), ("absent", "nothing", ">=", 1.0, 0.0, "high", True))
-_POL = "pol(policy_id, metric, operator, threshold, margin, severity, enabled) AS (VALUES ('runway', 'runway', '>=', 12.0, 2.0, 'high', true), ('crypto', 'share', '<=', 0.25, 0.05, 'low', true), ('off', 'share', '<=', 0.01, 0.0, 'low', false), ('absent', 'nothing', '>=', 1.0, 0.0, 'high', true))"
-_MET = f"met AS (SELECT c_nationkey AS owner_id, 'runway' AS metric, CASE WHEN c_nationkey % 5 > 0 THEN sum(c_acctbal) / 20000 END AS value FROM customer GROUP BY 1 UNION ALL SELECT c_nationkey, 'share', sum(c_acctbal) FILTER (c_mktsegment = 'BUILDING') / sum(c_acctbal) FROM customer WHERE c_acctbal > 0 GROUP BY 1), {_POL}, ev AS (SELECT policy_id, owner_id, severity, CASE WHEN value IS NULL THEN 'UNKNOWN_DATA' WHEN operator = '>=' AND value < threshold THEN 'BREACH' WHEN operator = '<=' AND value > threshold THEN 'BREACH' WHEN operator = '>=' AND value < threshold + margin THEN 'WARN' WHEN operator = '<=' AND value > threshold - margin THEN 'WARN' ELSE 'PASS' END AS result FROM pol LEFT JOIN met USING (metric) WHERE enabled)"
+POLICIES = (("deadline", "days_left", ">=", 90.0, 30.0, "high", True), ("no_trading", "automated_trades", "<=", 0.0, 0.0, "high", True), ("runway", "runway", ">=", 12.0, 2.0, "high", True), ("crypto", "share", "<=", 0.25, 0.05, "low", True), ("off", "share", "<=", 0.01, 0.0, "low", False), ("absent", "nothing", ">=", 1.0, 0.0, "high", True))
+_POL = "pol(policy_id, metric, operator, threshold, margin, severity, enabled) AS (VALUES ('deadline', 'days_left', '>=', 90.0, 30.0, 'high', true), ('no_trading', 'automated_trades', '<=', 0.0, 0.0, 'high', true), ('runway', 'runway', '>=', 12.0, 2.0, 'high', true), ('crypto', 'share', '<=', 0.25, 0.05, 'low', true), ('off', 'share', '<=', 0.01, 0.0, 'low', false), ('absent', 'nothing', '>=', 1.0, 0.0, 'high', true))"
+_MET = f"met AS (SELECT c_nationkey AS owner_id, 'runway' AS metric, CASE WHEN c_nationkey % 5 > 0 THEN sum(c_acctbal) / 20000 END AS value FROM customer GROUP BY 1 UNION ALL SELECT c_nationkey, 'share', sum(c_acctbal) FILTER (c_mktsegment = 'BUILDING') / sum(c_acctbal) FROM customer WHERE c_acctbal > 0 GROUP BY 1 UNION ALL SELECT DISTINCT c_nationkey, 'days_left', c_nationkey * 10 FROM customer UNION ALL SELECT DISTINCT c_nationkey, 'automated_trades', (c_nationkey % 8 = 3)::INT FROM customer), {_POL}, ev AS (SELECT policy_id, owner_id, severity, CASE WHEN value IS NULL THEN 'UNKNOWN_DATA' WHEN operator = '>=' AND value < threshold THEN 'BREACH' WHEN operator = '<=' AND value > threshold THEN 'BREACH' WHEN operator = '>=' AND value < threshold + margin THEN 'WARN' WHEN operator = '<=' AND value > threshold - margin THEN 'WARN' ELSE 'PASS' END AS result FROM pol LEFT JOIN met USING (metric) WHERE enabled)"
 
 
 def _evaluated(t: Tables):
     c = t.customer
     runway = c.groupBy(F.col("c_nationkey").alias("owner_id")).agg((F.sum("c_acctbal") / 20000).alias("v")).select("owner_id", F.when(F.col("owner_id") % 5 > 0, F.col("v")).alias("value"))
     share = c.filter("c_acctbal > 0").groupBy(F.col("c_nationkey").alias("owner_id")).agg((F.sum(F.when(F.col("c_mktsegment") == "BUILDING", F.col("c_acctbal"))) / F.sum("c_acctbal")).alias("value"))
-    metrics = runway.withColumn("metric", F.lit("runway")).unionByName(share.withColumn("metric", F.lit("share")))
+    owners = c.select(F.col("c_nationkey").alias("owner_id")).distinct()
+    days = owners.select("owner_id", (F.col("owner_id") * 10).cast("double").alias("value"), F.lit("days_left").alias("metric"))
+    trades = owners.select("owner_id", (F.col("owner_id") % 8 == 3).cast("double").alias("value"), F.lit("automated_trades").alias("metric"))
+    metrics = runway.withColumn("metric", F.lit("runway")).unionByName(share.withColumn("metric", F.lit("share"))).unionByName(days).unionByName(trades)
     return J.evaluate_policies(metrics, t.rows("policy_id string, metric string, operator string, threshold double, margin double, severity string, enabled boolean", *POLICIES))
 
 
@@ -288,11 +330,13 @@ def policy_severity_filter(spark, d):
 # Decisions
 
 
-@query(f"WITH {_I} SELECT CASE WHEN user_id % 9 = 0 THEN 'REBALANCE' WHEN {_ATT} = 'ACT_OR_REVIEW' THEN 'REVIEW' WHEN {_ATT} = 'VERIFY' THEN 'RESEARCH' WHEN {_ATT} = 'NOTE' THEN 'MONITOR' ELSE 'NO_ACTION' END AS decision_type, count(*) AS n FROM i GROUP BY 1")
+@query(f"""WITH {_I}, c AS (SELECT CASE WHEN user_id % 9 = 0 THEN 'breach' WHEN user_id % 9 = 1 THEN 'no data' ELSE {_ATT} END AS why, event_type IN ('signup', 'view') AS place, urg FROM i)
+    SELECT CASE why WHEN 'breach' THEN 'REVIEW_POLICY' WHEN 'no data' THEN 'WAIT' WHEN 'VERIFY' THEN 'VERIFY' WHEN 'NOTE' THEN 'OBSERVE' WHEN 'BACKLOG' THEN 'NO_ACTION' ELSE CASE WHEN urg < 0.9 THEN 'PREPARE' WHEN place THEN 'REVIEW_LOCATION' ELSE 'REVIEW_ALLOCATION' END END AS decision_type, count(*) AS n FROM c GROUP BY 1""")
 def decision_candidates(spark, d):
     a = _attention(impacts(Tables(spark, d)))
-    policy = F.when(F.col("user_id") % 9 == 0, "BREACH").otherwise("PASS")
-    return a.groupBy(J.candidates(F.col("attention"), policy).alias("decision_type")).agg(F.count(F.lit(1)).alias("n"))
+    policy = F.when(F.col("user_id") % 9 == 0, "BREACH").when(F.col("user_id") % 9 == 1, "UNKNOWN_DATA").otherwise("PASS")
+    domain = F.when(F.col("event_type") == "signup", "migration").when(F.col("event_type") == "view", "housing").otherwise("portfolio")
+    return a.groupBy(J.candidates(F.col("attention"), policy, domain, F.col("urg"), 0.9).alias("decision_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH dec AS (SELECT event_id, user_id, ts AS decided FROM events WHERE event_type = 'purchase'), k AS (SELECT dec.event_id, e.event_type, arg_max(e.value, row(e.ts, e.value)) AS v FROM dec JOIN events e ON e.user_id = dec.user_id AND e.ts <= dec.decided GROUP BY 1, 2)
@@ -403,7 +447,29 @@ def clearance_check(spark, d):
     return joined.filter(F.col("clearance").isNull() | (F.col("event_id") % 4 > F.col("clearance"))).select("event_id", F.col("event_type").alias("provider"))
 
 
-@query(None)
+PROVIDERS = (("click", "L2", True), ("view", "L3", False), ("purchase", "L1", True), ("signup", "L2", False))
+
+
+@query("""WITH c(p, clearance, must) AS (VALUES ('click', 2, true), ('view', 3, false), ('purchase', 1, true), ('signup', 2, false)), r AS (SELECT event_type, event_id % 4 AS tier, event_id % 3 = 0 AS done, clearance, must FROM events LEFT JOIN c ON p = event_type)
+    SELECT event_type AS provider, CASE WHEN clearance IS NULL OR tier > clearance THEN 'refused' WHEN tier >= 2 AND must AND NOT done THEN 'transform_first' ELSE 'allowed' END AS release, count(*) AS calls FROM r GROUP BY 1, 2""")
+def provider_release(spark, d):
+    t = Tables(spark, d)
+    cleared = t.rows("event_type string, clearance string, transform_required boolean", *PROVIDERS)
+    tier = F.concat(F.lit("L"), (F.col("event_id") % 4).cast("string"))
+    verdict = G.release(tier, F.col("clearance"), F.col("transform_required"), F.col("event_id") % 3 == 0)
+    return t.events.join(cleared, "event_type", "left").groupBy(F.col("event_type").alias("provider"), verdict.alias("release")).agg(F.count(F.lit(1)).alias("calls"))
+
+
+@query("SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 5) AS score, false AS authoritative FROM embeddings WHERE label = 3 AND vec_id % 5 > 0 ORDER BY list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) DESC, vec_id LIMIT 5")
+def semantic_recall(spark, d):
+    e = Tables(spark, d).embeddings
+    kind = F.element_at(F.array(F.lit("price"), *[F.lit(k) for k in G.MEMORY_KINDS[:4]]), (F.col("vec_id") % 5 + 1).cast("int"))
+    rows = e.select(F.col("vec_id").alias("id"), F.concat(F.lit("t"), F.col("label").cast("string")).alias("topic"), kind.alias("kind"), "embedding")
+    memory = G.TableMemory(G.TableMemory(rows.filter("false")).remember(rows))
+    return memory.recall("t3", e.filter("vec_id = 0").select("embedding").first()[0], 5).select("id", r6("score", 5).alias("score"), "authoritative")
+
+
+@query("SELECT * FROM (VALUES ('weight,country', 'L2'), ('weight,country,institution', 'L3')) v(inputs, tier)")
 def tier_max_of_inputs(spark, d):
     """The tier of a prompt made from two, then three fields: schema metadata only."""
     tier = lambda n: {"tier": n}
@@ -434,7 +500,7 @@ def artefact_version_as_of(spark, d):
     t = Tables(spark, d)
     active = t.rows("name string, version int, at timestamp, stage string", *ARTEFACTS).filter("stage = 'active'")
     h = T.intervals(active, ["name"], "at", ["version"], bucket="month")
-    out = T.disjoint_interval_join(t.events.withColumn("name", F.lit("score")), h, ["name"], "ts", ["version"])
+    out = T.disjoint_interval_join(t.events.withColumn("name", F.lit("score")), h, ["name"], "ts", ["version"], bucket="hour")
     return out.groupBy("version").agg(F.count(F.lit(1)).alias("events"), r6(F.sum(F.col("value") * F.col("version")), 2).alias("scored"))
 
 

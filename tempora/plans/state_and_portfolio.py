@@ -76,9 +76,15 @@ def scenario_mtm(spark, d):
     return out.groupBy("c_nationkey").agg(r6(F.sum("c_acctbal"), 2).alias("value"), r6(F.sum("shocked"), 2).alias("shocked"))
 
 
-def daily(t: Tables):
-    """Mean and number of events for each type and day, the day as text."""
-    return t.events.groupBy("event_type", day("ts").alias("day")).agg(F.avg("value").alias("score"), F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+def daily(t: Tables, start: str | None = None, end: str | None = None):
+    """Mean and number of events for each type and day (of the days from ``start`` up to ``end``), the day as text.
+
+    The days are a range of times, which reaches the scan.
+    """
+    e = t.events
+    if start:
+        e = e.filter((F.col("ts") >= T.instant(start)) & (F.col("ts") < T.instant(end)))
+    return e.groupBy("event_type", day("ts").alias("day")).agg(F.avg("value").alias("score"), F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
 _DAILY = f"dd AS (SELECT event_type, {_D} AS day, avg(value) AS score, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2)"
@@ -95,6 +101,13 @@ def bucket_stress(spark, d):
     return P.bucket_stress(b, ["c_nationkey"], "c_mktsegment", "v", -0.3).select("c_nationkey", "c_mktsegment", r6("stressed_total", 4).alias("stressed_total"), r6("loss_share").alias("loss_share"))
 
 
+@query("""WITH s AS (SELECT c_nationkey, c_mktsegment AS a, sum(c_acctbal) AS v FROM customer WHERE c_acctbal > 0 GROUP BY 1, 2), r AS (SELECT c_nationkey, arg_max(a, row(v, a)) AS top_asset, max(v) / sum(v) AS t, coalesce(sum(v) FILTER (a IN ('HOUSEHOLD')), 0) / sum(v) AS s FROM s GROUP BY 1)
+    SELECT c_nationkey, top_asset, round(t, 6) AS top_share, round(s, 6) AS stable_share, CASE WHEN t > 0.26 AND s > 0.22 THEN 'BOTH' WHEN t > 0.26 THEN 'SINGLE_ASSET' WHEN s > 0.22 THEN 'STABLECOIN' ELSE 'PASS' END AS status FROM r""")
+def concentration_checks(spark, d):
+    out = P.concentration_checks(_positive(Tables(spark, d)), ["c_nationkey"], "c_mktsegment", "c_acctbal", ["HOUSEHOLD"], 0.26, 0.22)
+    return out.select("c_nationkey", "top_asset", r6("top_share").alias("top_share"), r6("stable_share").alias("stable_share"), "status")
+
+
 @query("""WITH p AS (SELECT p_partkey, p_brand FROM part), m AS (SELECT l_partkey, arg_max(l_extendedprice / l_quantity, row(l_shipdate, l_orderkey, l_linenumber)) AS price FROM lineitem WHERE l_shipdate <= TIMESTAMP '1995-03-01' GROUP BY 1)
     SELECT p_brand, round(sum(price), 2) AS value, count(*) FILTER (price IS NULL) AS missing_count, CASE WHEN count(*) FILTER (price IS NULL) > 0 THEN 'incomplete' ELSE 'complete' END AS status FROM p LEFT JOIN m ON l_partkey = p_partkey GROUP BY 1""")
 def missing_price_incomplete(spark, d):
@@ -135,7 +148,7 @@ RATES = ((0, "1995-01-01 00:00:00", 1.0), (0, "1997-01-01 00:00:00", 1.1), (1, "
 def fx_to_base(spark, d):
     t = Tables(spark, d)
     o = t.orders.select("o_orderkey", "o_orderdate", "o_totalprice", (F.col("o_custkey") % 4).cast("int").alias("cur"))
-    out = T.asof_join(o, t.rows("cur int, at timestamp, rate double", *RATES), ["cur"], "o_orderdate", "at", ["rate"], bucket="year")
+    out = T.asof_join(o, t.rows("cur int, at timestamp, rate double", *RATES), ["cur"], "o_orderdate", "at", ["rate"])
     return out.select("o_orderkey", r6(F.col("o_totalprice") * F.col("rate"), 4).alias("amount_base"), F.when(F.col("rate").isNull(), "UNKNOWN_DATA").otherwise("OK").alias("status"))
 
 
@@ -146,7 +159,7 @@ _PAIR = f"{_DAILY}, prev AS (SELECT event_type, score FROM dd WHERE day = '2024-
 
 
 def _two_days(t: Tables):
-    e = daily(t).select("event_type", "day", "score")
+    e = daily(t, "2024-01-14 00:00:00", "2024-01-16 00:00:00").select("event_type", "day", "score")
     previous = e.filter("day = '2024-01-14'").drop("day")
     return previous, e.filter("day = '2024-01-15' AND event_type <> 'signup'").drop("day")
 
@@ -204,9 +217,12 @@ def dimension_evidence(spark, d):
     return e.withColumn("confidence", r6(1 - F.lit(1.0) / (1 + F.col("evidence_count"))))
 
 
-@query(f"WITH {_DAILY} SELECT round(avg(score), 6) AS mean_score, count(*) AS dimensions, CASE WHEN avg(score) >= 30 THEN 'expansion' WHEN avg(score) <= 20 THEN 'contraction' ELSE 'neutral' END AS overall_regime FROM dd WHERE day = '2024-01-14'")
+@query(f"WITH {_DAILY} SELECT round(avg(score), 6) AS mean_score, count(*) AS dimensions, round(count(score) / 5, 6) AS confidence, CASE WHEN avg(score) >= 30 THEN 'expansion' WHEN avg(score) <= 20 THEN 'contraction' ELSE 'neutral' END AS overall_regime FROM (VALUES ('click'), ('view'), ('purchase'), ('signup'), ('geography.tr.fx')) g(event_type) LEFT JOIN dd ON dd.event_type = g.event_type AND day = '2024-01-14'")
 def overall_regime(spark, d):
-    return W.regime(_two_days(Tables(spark, d))[0], "score", 30.0, 20.0).select(r6("mean_score").alias("mean_score"), "dimensions", "overall_regime")
+    t = Tables(spark, d)
+    dimensions = t.rows("event_type string, enabled boolean", *[(name, True) for name, _ in REGISTRY])
+    scored = W.snapshot_from_registry(dimensions, _two_days(t)[0], "event_type", "score")
+    return W.regime(scored, "score", 30.0, 20.0).select(r6("mean_score").alias("mean_score"), "dimensions", r6("confidence").alias("confidence"), "overall_regime")
 
 
 @query("""WITH w AS (SELECT DISTINCT 'geography.' || lower(n_name) || '.' || t AS k FROM nation, (VALUES ('fx'), ('policy')) v(t) WHERE n_regionkey < 3), g AS (SELECT DISTINCT 'geography.' || lower(n_name) || '.fx' AS k FROM nation WHERE n_regionkey > 1)

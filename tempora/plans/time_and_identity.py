@@ -153,14 +153,22 @@ def reingest_idempotent(spark, d):
     return stored.withColumn("origin", F.lit("stored")).unionByName(added.withColumn("origin", F.lit("new"))).groupBy("origin").agg(F.count(F.lit(1)).alias("items"))
 
 
-_URL = "lower(url)"
-for _p, _n in I.URL_RULES:
-    _URL = f"regexp_replace({_URL}, '{_p}', '{_n}', 'g')"
+#: The test tables' addresses have no parameters, so every page is also linked with some, and with other case and host forms.
+_LINKED = """l AS (SELECT page_id, url FROM pages UNION ALL SELECT page_id, url || '?utm_source=x&id=' || (page_id % 3) || '&b=2' FROM pages
+    UNION ALL SELECT page_id, replace(url, 'https://', 'HTTP://WWW.') || '/?b=2&ref=y&id=' || (page_id % 3) || '#top' FROM pages UNION ALL SELECT page_id, upper(url) FROM pages)"""
 
 
-@query(f"SELECT {_URL} AS canonical_url, min(page_id) AS first_page, count(*) AS pages FROM pages GROUP BY 1")
+@query(f"""WITH {_LINKED}, a AS (SELECT page_id, split_part(url, '#', 1) AS u FROM l), b AS (SELECT page_id, CASE WHEN position('://' IN u) > 0 THEN substr(u, position('://' IN u) + 3) ELSE u END AS u FROM a),
+    c AS (SELECT page_id, split_part(u, '?', 1) AS p, CASE WHEN position('?' IN u) > 0 THEN substr(u, position('?' IN u) + 1) ELSE '' END AS q FROM b),
+    e AS (SELECT page_id, lower(split_part(p, '/', 1)) AS h, rtrim(substr(p, strlen(split_part(p, '/', 1)) + 1), '/') AS p, list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' AND lower(split_part(x, '=', 1)) NOT IN ('ref', 'gclid', 'fbclid') AND NOT starts_with(lower(x), 'utm_'))) AS q FROM c)
+    SELECT CASE WHEN starts_with(h, 'www.') THEN substr(h, 5) WHEN starts_with(h, 'm.') THEN substr(h, 3) ELSE h END || p || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical_url, min(page_id) AS first_page, count(*) AS pages FROM e GROUP BY 1""")
 def canonical_url(spark, d):
-    p = Tables(spark, d).pages.select("page_id", I.canonical_url(F.col("url")).alias("canonical_url"))
+    p = Tables(spark, d).pages.select("page_id", "url")
+    number = (F.col("page_id") % 3).cast("string")
+    asked = p.select("page_id", F.concat("url", F.lit("?utm_source=x&id="), number, F.lit("&b=2")).alias("url"))
+    other = p.select("page_id", F.concat(F.replace("url", F.lit("https://"), F.lit("HTTP://WWW.")), F.lit("/?b=2&ref=y&id="), number, F.lit("#top")).alias("url"))
+    linked = p.unionByName(asked).unionByName(other).unionByName(p.select("page_id", F.upper("url").alias("url")))
+    p = linked.select("page_id", I.canonical_url(F.col("url")).alias("canonical_url"))
     return p.groupBy("canonical_url").agg(F.min("page_id").alias("first_page"), F.count(F.lit(1)).alias("pages"))
 
 
@@ -180,30 +188,61 @@ def item_keys(spark, d):
     return docs.select(I.item_key(F.col("source"), external, I.content_hash(F.col("text"))).alias("item_key")).groupBy("item_key").agg(F.count(F.lit(1)).alias("items"))
 
 
-THRESHOLD = 0.6
-_PAIRS = f"""p AS (SELECT a.label AS block, a.vec_id AS id_a, b.vec_id AS id_b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)"""
+THRESHOLD, ACCEPT = 0.9, 0.98
+#: No two vectors of the test tables are alike, so a third is reported again with its even, and a ninth with its odd components stretched.
+_PAIRS = """x AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings UNION ALL SELECT vec_id + 10000000, list_transform(embedding::DOUBLE[], lambda e, i: CASE WHEN i % 2 = 1 THEN e * 1.3::DOUBLE ELSE e END) FROM embeddings WHERE vec_id % 3 = 0
+    UNION ALL SELECT vec_id + 20000000, list_transform(embedding::DOUBLE[], lambda e, i: CASE WHEN i % 2 = 0 THEN e * 1.3::DOUBLE ELSE e END) FROM embeddings WHERE vec_id % 9 = 0),
+    p AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, list_cosine_similarity(a.v, b.v) AS score FROM x a JOIN x b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.9)"""
 
 
-@query(f"WITH {_PAIRS} SELECT block, id_a, id_b, round(score, 5) AS score FROM p WHERE score >= {THRESHOLD}")
+def _reported(t: Tables):
+    e = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    again = e.filter("vec_id % 3 = 0").select((F.col("vec_id") + 10_000_000).alias("vec_id"), F.transform("embedding", lambda x, i: F.when(i % 2 == 0, x * 1.3).otherwise(x)).alias("embedding"))
+    third = e.filter("vec_id % 9 = 0").select((F.col("vec_id") + 20_000_000).alias("vec_id"), F.transform("embedding", lambda x, i: F.when(i % 2 == 1, x * 1.3).otherwise(x)).alias("embedding"))
+    return e.unionByName(again).unionByName(third)
+
+
+def _pairs(t: Tables):
+    return I.hashed_pairs(_reported(t), "vec_id", "embedding", THRESHOLD, 64, recall=0.99999)
+
+
+@query(f"WITH {_PAIRS} SELECT id_a, id_b, round(score, 5) AS score FROM p")
 def semantic_pairs(spark, d):
-    return I.blocked_pairs(Tables(spark, d).embeddings, "vec_id", "label", "embedding", THRESHOLD).select("block", "id_a", "id_b", r6("score", 5).alias("score"))
+    return _pairs(Tables(spark, d)).select("id_a", "id_b", r6("score", 5).alias("score"))
 
 
-@query(f"WITH {_PAIRS} SELECT id_a, id_b, CASE WHEN score >= 0.7 THEN 'auto_accepted' ELSE 'pending' END AS decision FROM p WHERE score >= {THRESHOLD} AND NOT (id_a % 5 = 0 AND id_b % 5 = 0)")
+@query(f"WITH {_PAIRS} SELECT id_a, id_b, CASE WHEN score >= {ACCEPT} THEN 'auto_accepted' ELSE 'pending' END AS decision FROM p WHERE NOT (id_a % 5 = 0 AND id_b % 5 = 0)")
 def merge_auto_accept(spark, d):
-    pairs = I.blocked_pairs(Tables(spark, d).embeddings, "vec_id", "label", "embedding", THRESHOLD)
+    pairs = _pairs(Tables(spark, d))
     rejected = pairs.filter("id_a % 5 = 0 AND id_b % 5 = 0").select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"))
-    return I.propose_merges(pairs, 0.7, rejected).select("id_a", "id_b", "decision")
+    return I.propose_merges(pairs, ACCEPT, rejected).select("id_a", "id_b", "decision")
 
 
-@query(f"""WITH RECURSIVE {_PAIRS}, e AS (SELECT id_a AS x, id_b AS y FROM p WHERE score >= {THRESHOLD} UNION SELECT id_b, id_a FROM p WHERE score >= {THRESHOLD}),
-    r AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x) SELECT x AS vec_id, min(y) AS canonical_id FROM r GROUP BY x""")
+@query(f"""WITH RECURSIVE {_PAIRS}, e AS (SELECT id_a AS x, id_b AS y FROM p WHERE score >= {ACCEPT} UNION SELECT id_b, id_a FROM p WHERE score >= {ACCEPT}),
+    r AS (SELECT vec_id AS x, vec_id AS y FROM x UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x) SELECT x AS vec_id, min(y) AS canonical_id FROM r GROUP BY x""")
 def merge_closure(spark, d):
     from tempora.sources.tables import save
 
-    t = Tables(spark, d).embeddings
-    pairs = I.propose_merges(I.blocked_pairs(t, "vec_id", "label", "embedding", THRESHOLD), THRESHOLD)
-    return I.resolve_merges(t, "vec_id", pairs.filter("decision = 'auto_accepted'"), save)
+    t = Tables(spark, d)
+    accepted = I.propose_merges(_pairs(t), ACCEPT).filter("decision = 'auto_accepted'")
+    return I.resolve_merges(_reported(t), "vec_id", accepted, save)
+
+
+@query("""WITH x AS (SELECT event_id, ts, [user_id::VARCHAR, 'k' || (props->>'$.k')] AS entities, [event_type] AS topics FROM events), e AS (SELECT event_id, ts, topics, unnest(list_distinct(entities)) AS entity FROM x)
+    SELECT a.event_id AS id_a, b.event_id AS id_b, array_to_string(list_sort(list(DISTINCT a.entity)), ',') AS shared_entities FROM e a JOIN e b ON a.entity = b.entity AND list_has_any(a.topics, b.topics) AND (b.ts > a.ts OR (b.ts = a.ts AND b.event_id > a.event_id)) AND epoch_us(b.ts) - epoch_us(a.ts) <= 600000000 GROUP BY 1, 2""")
+def entity_topic_match(spark, d):
+    e = Tables(spark, d).events
+    entities = F.array(F.col("user_id").cast("string"), F.concat(F.lit("k"), F.get_json_object("props", "$.k")))
+    out = I.array_matches(e.select("event_id", "ts", entities.alias("entities"), F.array("event_type").alias("topics")), "event_id", "entities", "topics", "ts", 600)
+    return out.select("id_a", "id_b", F.array_join("shared_entities", ",").alias("shared_entities"))
+
+
+@query("""SELECT event_type AS subject, CASE WHEN event_type NOT IN ('click', 'view', 'purchase') THEN 'unknown_subject' WHEN value < 40 THEN 'too_unsure' ELSE 'to_review' END AS verdict, count(*) AS proposals FROM events GROUP BY 1, 2""")
+def model_proposals(spark, d):
+    t = Tables(spark, d)
+    registry = t.rows("subject string, enabled boolean", ("click", True), ("view", True), ("purchase", True), ("signup", False))
+    proposals = t.events.select("event_id", F.col("event_type").alias("subject"), (F.col("value") / 100).alias("confidence"))
+    return I.review_proposals(proposals, registry, "subject", 0.4).groupBy("subject", "verdict").agg(F.count(F.lit(1)).alias("proposals"))
 
 
 @query("""SELECT a.user_id, a.event_type, a.event_id AS id_a, b.event_id AS id_b FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = b.event_type AND (epoch_us(b.ts) > epoch_us(a.ts) OR (b.ts = a.ts AND b.event_id > a.event_id)) AND epoch_us(b.ts) - epoch_us(a.ts) <= 3600000000""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -42,29 +43,50 @@ SCHEMAS = {
     "scenario": _schema("id string, set_id string, slug string, horizon string, probability double?, status string, created_at timestamp"),
     "decision": _schema("id string, owner_id string, decision_type string, created_at timestamp, valid_until timestamp?, status string, rationale string", "owner_id=L2 rationale=L2"),
     "outcome": _schema("id string, decision_id string, evaluated_at timestamp, outcome_type string, forecast_score double?"),
-    "job_run": _schema("run_id string, stage string, status string, error string?"),
+    "job_run": _schema("run_id string, as_of string, stage string, status string, rows bigint?, missing bigint?, seconds double?, error string?"),
+    "run_record": _schema(
+        "run_id string, as_of string, stages_ok bigint, stages_failed bigint, sources_ok bigint, sources_failed bigint, "
+        "model_calls bigint, cost double, seconds double?, missing bigint, status string"
+    ),
+    # What models propose (extraction, classification, entity resolution) is an input, never state.
+    "model_proposal": _schema("id string, run_id string, kind string, subject string, proposed string, confidence double, model_version string, created_at timestamp"),
+    # Qualitative material only; never an authority for a quantity, status, probability, threshold or date.
+    "memory": _schema("id string, topic string, kind string, text string, created_at timestamp", "text=L2"),
 }
 
+_RUN = uuid.uuid4().hex
 _scratch: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir of the session.
+
+    Where none is set, a temporary folder serves a local master (tests); on a
+    cluster that is an error, as every executor would write to its own disk.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[0-9*, ]+\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _scratch:
         _scratch.append(tempfile.mkdtemp(prefix="tempora-"))
     return f"file://{_scratch[0]}"
 
 
-def save(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and reread: cuts the lineage of an iterative plan."""
-    path = f"{shared_folder(df.sparkSession)}/rounds/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def save(df: DataFrame, name: str = "round") -> DataFrame:
+    """Write to the shared folder and reread: cuts the lineage of a plan."""
+    path = f"{shared_folder(df.sparkSession)}/tempora-{_RUN}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clean_up(spark: SparkSession) -> None:
+    """Remove what this application has saved. Results that read it must have been written or read before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tempora-{_RUN}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def conform(df: DataFrame, entity: str) -> DataFrame:
     """The columns of an entity in their order and types; other columns go, a lacking one is an error."""
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name, metadata=f.metadata) for f in SCHEMAS[entity].fields])

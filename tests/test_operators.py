@@ -112,7 +112,24 @@ def test_ingest_twice_adds_nothing(spark):
 def test_urls(spark):
     urls = ["https://WWW.a.com/x/?ref=1#t", "http://a.com/x", "http://m.a.com/x//", "https://a.com/x?utm_source=q"]
     df = spark.createDataFrame([(u,) for u in urls], "u string").select(I.canonical_url(F.col("u")).alias("c"))
-    assert {r["c"] for r in df.collect()} <= {"a.com/x", "a.com/x/"}
+    assert {r["c"] for r in df.collect()} == {"a.com/x"}
+    same = [("http://x.com/p?utm_source=a&id=5", "x.com/p?id=5"), ("x.com/p?id=5", "x.com/p?id=5"), ("https://u:p@X.com:443/P/?b=1&a=2&utm_x=3", "x.com/P?a=2&b=1"), ("x.com/p", "x.com/p"), ("x.com/P", "x.com/P"), ("https://m.x.com", "x.com"), ("http://x.com/?", "x.com"), ("x.com/a?ref", "x.com/a"), ("x.com/a?reference=1", "x.com/a?reference=1"), ("", "")]
+    df = spark.createDataFrame([(u,) for u, _ in same], "u string").select("u", I.canonical_url(F.col("u")).alias("c"))
+    assert {r["u"]: r["c"] for r in df.collect()} == dict(same)
+
+
+def test_merge_queries_have_pairs_and_components(spark):
+    from tempora import plans
+
+    sf = "/root/testdata/sf0.001"
+    decisions = [r["decision"] for r in plans.QUERIES["merge_auto_accept"](spark, sf).collect()]
+    assert decisions.count("auto_accepted") > 20 and decisions.count("pending") > 5
+    pairs = plans.QUERIES["semantic_pairs"](spark, sf).collect()
+    assert len(pairs) > len(decisions) and min(p["score"] for p in pairs) >= 0.9
+    sizes = {}
+    for r in plans.QUERIES["merge_closure"](spark, sf).collect():
+        sizes[r["canonical_id"]] = sizes.get(r["canonical_id"], 0) + 1
+    assert sum(n >= 3 for n in sizes.values()) > 5 and sum(n == 1 for n in sizes.values()) > 5
 
 
 def test_closure_of_chains_stars_and_nothing(spark):
@@ -248,9 +265,45 @@ def test_nothing_planted_survives_release(spark):
 def test_a_failed_stage_degrades_the_run(spark):
     base = spark.range(3)
     stages = {"ingest_due_sources": lambda s, t: base, "materialize_events": lambda s, t: 1 / 0, "update_narratives": lambda s, t: s["ingest_due_sources"]}
-    state, record = G.run_cycle(stages, {"base": base}, "2024-01-01 00:00:00", "r1")
+    stages["build_world_state"] = lambda s, t: s["ingest_due_sources"].select(F.raise_error(F.lit("late")).alias("x"))
+    stages["load_personal_state"] = lambda s, t: s["ingest_due_sources"].select("id", F.when(F.col("id") > 0, "unknown").otherwise("ok").alias("status"))
+    ticks = iter(range(100))
+    state, record = G.run_cycle(stages, {"base": base}, "2024-01-01 00:00:00", "r1", S.save, lambda: float(next(ticks)))
     status = {r["stage"]: r["status"] for r in record}
     assert status["materialize_events"] == "failed" and status["update_narratives"] == "ok" and status["route_alerts"] == "skipped" and "materialize_events" not in state
+    # What fails only when it is worked out fails in its stage.
+    assert status["build_world_state"] == "failed" and "build_world_state" not in state
+    by = {r["stage"]: r for r in record}
+    assert "late" in by["build_world_state"]["error"] and by["ingest_due_sources"]["rows"] == 3 and by["load_personal_state"]["missing"] == 2
+    total = G.run_record(record, [("a", "ok", None), ("b", "failed", "x")], [0.25])
+    assert (total["stages_failed"], total["sources_failed"], total["missing"], total["cost"], total["seconds"], total["status"]) == (2, 1, 2, 0.25, 5.0, "degraded")
+
+
+def test_a_cycle_leaves_its_records(spark, tmp_path):
+    from tempora.plans import cycle
+
+    cycle.run(spark, "/root/testdata/sf0.001", cycle.AS_OF, "run-7", str(tmp_path))
+    log = S.read(spark, str(tmp_path), "job_run").collect()
+    assert len(log) == 12 and {r["status"] for r in log} == {"ok"} and all(r["rows"] >= 0 for r in log)
+    total = S.read(spark, str(tmp_path), "run_record").collect()
+    assert len(total) == 1 and total[0]["stages_ok"] == 12 and total[0]["status"] == "ok"
+
+
+def test_one_key_with_most_rows(spark):
+    """Windows over a hot key see a bucket of it: the result is that of a window over all of it."""
+    from pyspark.sql import Window
+
+    from tempora.operators import impact as M
+    from tempora.operators import portfolio as P
+
+    rows = spark.range(4000).select(F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id") % 7 + 2).alias("k"), F.timestamp_seconds(F.col("id") * 7919 % 5_000_000).alias("t"), "id", (F.col("id") * 31 % 5).alias("v"))
+    near = Window.partitionBy("k").orderBy(F.unix_micros("t")).rangeBetween(-7 * 86_400_000_000, -1)
+    want = rows.withColumn("n", F.count(F.lit(1)).over(near)).select("id", "n").collect()
+    got = M.interruptions(rows, "k", "t", "v", 1.0, 0.1, 7).select("id", "recent").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and max(r["n"] for r in want) > 100
+    back = Window.partitionBy("k").orderBy("t", "id")
+    want = rows.withColumn("p", F.lag("v").over(back)).filter("p IS NULL OR p <> v").select("id", "p").collect()
+    assert sorted(P.mutations(rows, "k", ["t", "id"], "v").select("id", "previous_value").collect()) == sorted(want)
 
 
 # Sources, sinks, clock
@@ -266,7 +319,8 @@ def test_tables_from_nothing_and_appends(spark, tmp_path):
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
         S.append(outcome, root, "outcome", "r2")
     assert S.read(spark, root, "outcome").filter("run_id = 'r2'").count() == 1
-    assert S.conform(row, "job_run").columns == ["run_id", "stage", "status", "error"]
+    row = row.withColumns({c: F.lit(None) for c in ("as_of", "rows", "missing", "seconds")})
+    assert S.conform(row, "job_run").columns == ["run_id", "as_of", "stage", "status", "rows", "missing", "seconds", "error"]
 
 
 def test_a_failed_source_moves_no_cursor(spark, tmp_path):
