@@ -2,46 +2,23 @@
 
 Intermediate tables go to the folder that the cluster names in
 ``spark.checkpoint.dir``, which every executor and the driver can reach, so a
-lost executor costs at most the recomputation of one stage.
+lost executor costs at most the recomputation of one stage. ``clean_up`` of
+``tempora.sources.tables`` removes them once the results have been written.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tempora.sources.tables import save
+
 #: Fixed value: the white space that separates words.
 SPACE = r"[\x20\x09-\x0D]+"
 
-_RUN = uuid.uuid4().hex
-_local: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; a temporary one where none is set, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not _local:
-        _local.append(tempfile.mkdtemp(prefix="tempora-"))
-    return f"file://{_local[0]}"
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tempora-{_RUN}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clean_up(spark: SparkSession) -> None:
-    """Remove what this application's operators wrote to the shared folder. Their results must have been written or read before."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tempora-{_RUN}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return save(df, name)
 
 
 def col(name: str) -> Column:
