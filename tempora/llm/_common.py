@@ -8,6 +8,9 @@ lost executor costs at most the recomputation of one stage. ``clean_up`` of
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,9 +42,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_slices(batch, column: str = "text", limit: int = 4 << 20):
-    """Cut an Arrow batch into slices of about ``limit`` bytes of text each."""
+def text_slices(batch, column: str = "text", limit: int = 1 << 20):
+    """Cut an Arrow batch into slices of about ``limit`` bytes of text each, and give unused memory back behind it."""
     sizes = batch.column(column).nbytes // max(1, batch.num_rows) + 1
     step = max(1, limit // sizes)
     for start in range(0, batch.num_rows, step):
         yield batch.slice(start, step)
+    trim()
+
+
+def trim() -> None:
+    """Give memory that this process has freed back to the system: several of them share an executor's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass

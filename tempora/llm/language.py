@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm._common import col, text_slices
+from tempora.llm._common import col, text_slices, trim
 from tempora.llm._windows import mix
 
 BITS = 16
@@ -244,6 +244,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     least = np.ones(len(languages))
     for (f, _, label), share in zip(rest, shares, strict=True):
         least[label] = min(least[label], share[weights[f].any(axis=1)].sum())
+    del examples, fitted, rows
+    trim()
     told = np.isin(np.arange(len(languages)), [label for *_, label in rest])
     return Model(languages, weights, bias, heat, np.where(told, np.maximum(least - SLACK, 0), 0))
 
@@ -254,7 +256,9 @@ def identified(docs: DataFrame, model: Model, text_col: str = "text", pred_col:
 
     @F.pandas_udf("lang string, score double, familiar boolean")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([sent.value.judge(t) for t in texts], columns=["lang", "score", "familiar"])
+        told = pd.DataFrame([sent.value.judge(t) for t in texts], columns=["lang", "score", "familiar"])
+        trim()
+        return told
 
     results = {pred_col: "lang", score_col: "score"} | ({familiar_col: "familiar"} if familiar_col else {})
     kept = [c for c in docs.columns if c.lower() not in {r.lower() for r in results}]

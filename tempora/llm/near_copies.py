@@ -108,7 +108,8 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
-    ends = lambda x: sets.select(F.col("node").alias(x), F.col("grams").alias(f"g{x}"))
+    # Sets are wide: merged, they never lie in one process as a whole.
+    ends = lambda x: sets.select(F.col("node").alias(x), F.col("grams").alias(f"g{x}")).hint("merge")
     met = pairs.join(ends("a"), "a").join(ends("b"), "b").select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("met"), (F.size("ga") + F.size("gb")).alias("total"))
     return met.filter(F.col("met") >= threshold * (F.col("total") - F.col("met"))).select("a", "b")
 
@@ -127,7 +128,8 @@ def components(plain: DataFrame, rows: DataFrame, threshold: float = 0.8, words:
     reach = shared.groupBy("node").agg(F.sum("n").alias("reach"))
     filed_by_reach = materialize(shared.join(reach, "node"), "near-reach")
     centres = filed_by_reach.groupBy(*bucket).agg(F.max(F.struct("reach", "node", "size")).alias("centre"))
-    star = shared.join(centres, bucket).filter(_alike(F.col("size"), F.col("centre.size"), threshold)).select(F.col("node").alias("a"), F.col("centre.node").alias("b"))
+    with_centre = materialize(shared.join(centres, bucket).select(*bucket, "node", "size", "n", "centre"), "near-centres")
+    star = with_centre.filter(_alike(F.col("size"), F.col("centre.size"), threshold)).select(F.col("node").alias("a"), F.col("centre.node").alias("b"))
     first = materialize(_ordered(star.unionByName(_simhash_pairs(nodes))), "near-pairs")
 
     used = shared.select("node").unionByName(first.select(F.col("a").alias("node"))).unionByName(first.select(F.col("b").alias("node"))).distinct()
@@ -138,7 +140,9 @@ def components(plain: DataFrame, rows: DataFrame, threshold: float = 0.8, words:
         return connected_components(edges, "a", "b", lambda df: materialize(df, "near-labels"))
 
     labels = closed(_confirmed(first, sets, threshold))
-    known = materialize(shared.join(labels.withColumnRenamed("node", "named"), F.col("node") == F.col("named"), "left").select(*bucket, "node", "size", F.coalesce("label", "node").alias("label")), "near-known")
+    # A bucket's centre has met all the others.
+    left = with_centre.filter((F.col("n") > 2) & (F.col("node") != F.col("centre.node")))
+    known = left.join(labels.withColumnRenamed("node", "named"), F.col("node") == F.col("named"), "left").select(*bucket, "node", "size", F.coalesce("label", "node").alias("label"))
     rest = materialize(_ordered(_rest(known, sets, threshold)), "near-rest")
     more = materialize(_confirmed(rest, sets, threshold), "near-links")
     placed = nodes.join(labels.withColumnRenamed("node", "named"), F.col("node") == F.col("named"), "left").select(F.col("node").alias("fp"), "head", F.coalesce("label", "node").alias("root"))
@@ -162,29 +166,34 @@ def _rest(known: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     sizes that its partner may have; shingles of one set alone are not filed.
     """
     bucket = ["band", "code"]
+    known = materialize(known, "near-known")
     mixed = known.groupBy(*bucket).agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select(*bucket)
     here = materialize(known.join(mixed, bucket), "near-mixed")
     most = here.groupBy(*bucket, "label").agg(F.count(F.lit(1)).alias("n")).groupBy(*bucket).agg(F.max_by("label", F.struct("n", "label")).alias("most"))
     able = here.join(most, bucket).groupBy("node").agg(F.first("size").alias("size"), F.first("label").alias("label"), F.max(F.col("label") != F.col("most")).alias("apart"))
-    held = materialize(able.join(sets, "node"), "near-held")
+    held = materialize(able.join(sets.hint("merge"), "node"), "near-held")
     grams = held.select("node", F.explode("grams").alias("gram"))
     counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    common = grams.join(counts, "gram").groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "gram"))), lambda g: g["gram"]).alias("common"))
+    common = grams.join(counts.hint("merge"), "gram").groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "gram"))), lambda g: g["gram"]).alias("common"))
 
     share = threshold / (1 + threshold)
     width = 1.1
     reach = math.ceil(math.log(1 / threshold) / math.log(width))
     kind = F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(width)) + F.lit(1e-9)).cast("int")
-    sized = held.drop("grams").join(common, "node").withColumn("own", kind)
+    sized = held.drop("grams").join(common.hint("merge"), "node").withColumn("own", kind)
     for_each = sized.withColumn("other", F.explode(F.sequence(F.col("own") - reach, F.col("own") + reach)))
     least = F.pow(F.lit(width), F.col("other").cast("double")) * F.lit(1 - 1e-6)
     last = F.floor(F.col("size") - F.lit(share) * (F.col("size") + least) + F.lit(1e-6))
     n_filed = F.least(last + 1 - (F.col("size") - F.size("common")), F.size("common").cast("long")).cast("int")
-    filed = for_each.withColumn("filed", n_filed).filter("filed > 0").select("node", "size", "label", "apart", "own", "other", F.explode(F.slice("common", F.lit(1), F.col("filed"))).alias("gram"))
-    filed = materialize(filed, "near-filed")
-    left = filed.filter("apart").select("gram", F.col("own").alias("k"), F.col("other").alias("j"), F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("label").alias("label_a"))
-    right = filed.select("gram", F.col("other").alias("k"), F.col("own").alias("j"), F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("label").alias("label_b"))
-    met = left.join(right, ["gram", "k", "j"]).filter((F.col("label_a") != F.col("label_b")) & _alike(F.col("size_a"), F.col("size_b"), threshold))
+    filed = for_each.withColumn("filed", n_filed).filter("filed > 0")
+    filed = filed.select("node", "size", "label", "apart", "own", "other", F.size("common").alias("of"), F.posexplode(F.slice("common", F.lit(1), F.col("filed"))).alias("at", "gram"))
+    room = (F.col("of") - F.col("at")).cast("long")  # what the set holds from this shingle on
+    filed = materialize(filed.select("node", "size", "label", "apart", "own", "other", "gram", room.alias("room")), "near-filed")
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("size", "label", "room")]
+    left = filed.filter("apart").select("gram", F.col("own").alias("k"), F.col("other").alias("j"), F.col("node").alias("a"), *side("a"))
+    right = filed.select("gram", F.col("other").alias("k"), F.col("own").alias("j"), F.col("node").alias("b"), *side("b"))
+    enough = F.least("room_a", "room_b") >= F.lit(share) * (F.col("size_a") + F.col("size_b")) - F.lit(1e-6)
+    met = left.join(right.hint("merge"), ["gram", "k", "j"]).filter((F.col("label_a") != F.col("label_b")) & enough & _alike(F.col("size_a"), F.col("size_b"), threshold))
     return met.select("a", "b")
 
 
