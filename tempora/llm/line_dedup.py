@@ -124,7 +124,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = [c for c in docs.columns if c.lower() != removed_col.lower()]
     marked = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), row_key(id_col, text_col).alias("rk"))
     text = F.col("row").getField(text_col)
-    joined = marked.join(gathered, "rk", "left")
+    joined = marked.join(gathered.hint("merge"), "rk", "left")  # the same way at every size
     cut = joined.select("row", "gone", "unsure", F.when(F.col("gone").isNotNull(), F.transform(chunks(text, roll, divisor, least), lambda c: F.array_join(c, "\n"))).alias("cut"))
     all_gone = F.concat("gone", _found_out(F.col("cut"), F.col("unsure")))
     stay = F.array_except(F.sequence(F.lit(0), F.size("cut") - 1), all_gone)
