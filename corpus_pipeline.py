@@ -23,6 +23,8 @@ from tempora.llm._common import col, materialize, table
 
 #: The least calibrated probability with which a language is accepted: it is likelier than all others together.
 LEAST_SCORE = 0.5
+#: Words that a worker remembers: fewer than op6's query takes, as the workers of five stages share an executor's memory.
+CACHE_WORDS = 100_000
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +60,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, ids_sha256 and decoded_sha256."""
     with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
         ranks = f.read()
-    return bpe.round_trip(docs, ranks, public_tokenizers.PATTERN, keep_ids=True)
+    return bpe.round_trip(docs, ranks, public_tokenizers.PATTERN, keep_ids=True, cache_words=CACHE_WORDS)
 
 
 STAGES = [
