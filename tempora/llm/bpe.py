@@ -40,6 +40,8 @@ from tempora.llm._common import col, text_slices
 ROUND_ROWS = 2_000_000
 #: Words whose ids a worker remembers, unless told otherwise: about 200 bytes each, against the time to encode a word again.
 CACHE_WORDS = 300_000
+#: Bytes of text, or of ids, that a worker turns at once: less than the other operators take, as their words and ids lie in memory too.
+SLICE = 1 << 18
 #: Bytes from which a word is cut into pieces, and the least step between their starts.
 LONG, STEP = 512, 96
 
@@ -199,7 +201,7 @@ def encode(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_
 
     def run(batches):
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, limit=SLICE):
                 ids = codec(ranks_file, pattern).encode(_texts(part.column("text")))
                 yield pa.record_batch([part.column("doc_id"), pa.array([x.tolist() for x in ids], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
@@ -212,7 +214,7 @@ def decode(encoded: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "d
 
     def run(batches):
         for batch in batches:
-            for part in text_slices(batch, "ids"):
+            for part in text_slices(batch, "ids", SLICE):
                 raw = codec(ranks_file, pattern).decode([np.array(x or [], np.int32) for x in part.column("ids").to_pylist()])
                 yield pa.record_batch([part.column("doc_id"), pa.array(raw, pa.binary())], names=["doc_id", "decoded"])
 
@@ -228,7 +230,7 @@ def round_trip(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "
 
     def run(batches):
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, limit=SLICE):
                 both = codec(ranks_file, pattern)
                 both.cache_words = cache_words
                 ids = both.encode(_texts(part.column("text")))
