@@ -196,6 +196,12 @@ def _texts(column) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+def _lists(ids: list[np.ndarray]) -> pa.Array:
+    """The ids as one list array, without a Python object for each."""
+    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *ids]), pa.int32()))
+
+
 def encode(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (array of int) of every row."""
 
@@ -203,7 +209,7 @@ def encode(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_
         for batch in batches:
             for part in text_slices(batch, limit=SLICE):
                 ids = codec(ranks_file, pattern).encode(_texts(part.column("text")))
-                yield pa.record_batch([part.column("doc_id"), pa.array([x.tolist() for x in ids], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+                yield pa.record_batch([part.column("doc_id"), _lists(ids)], names=["doc_id", "ids"])
 
     rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
@@ -242,7 +248,7 @@ def round_trip(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "
                     "decoded_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string()),
                 }
                 if keep_ids:
-                    columns["ids"] = pa.array([x.tolist() for x in ids], pa.list_(pa.int32()))
+                    columns["ids"] = _lists(ids)
                 yield pa.record_batch(list(columns.values()), names=list(columns))
 
     rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
