@@ -61,6 +61,44 @@ f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT *, NOT base_failed AND n_words - n_removed_words >= n_words * {keep_share}::DOUBLE AS kept FROM f"""
 
 
+_AUDIT = rf"""
+WITH RECURSIVE orders(o) AS (SELECT '' UNION ALL SELECT o || f FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f) WHERE position(f IN o) = 0),
+lab AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(source::VARCHAR, '') AS part, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    (CASE WHEN len(w) < 50 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END)
+    || (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END) || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END)
+    || (CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS failed FROM d LEFT JOIN lab ON lab.doc_id = d.doc_id),
+c AS (SELECT part, good, toxic, failed, count(*) AS n FROM f GROUP BY ALL),
+s AS (SELECT part, o, i AS step, o[i] AS filter, n, good, toxic, failed, position(o[i] IN failed) > 0 AS fails, length(translate(o[1:i - 1], failed, '')) < i - 1 AS gone FROM c, orders, range(1, 6) x(i) WHERE length(o) = 5),
+m AS (SELECT part, o AS filter_order, step, filter, sum(CASE WHEN NOT fails AND NOT gone THEN n ELSE 0 END) AS kept, sum(CASE WHEN fails AND NOT gone THEN n ELSE 0 END) AS removed, sum(CASE WHEN fails AND gone THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN failed = filter THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN fails AND NOT gone AND good THEN n ELSE 0 END) AS good_lost, sum(CASE WHEN fails AND NOT gone AND toxic THEN n ELSE 0 END) AS toxic_lost FROM s GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+    (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM m"""
+
+
+def vector_codes(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Every round by comparing every part with every entry."""
+    floor_mean = "((s - ((s % n) + n) % n) // n)"
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+d{k} AS (SELECT p.r, p.part, b.entry, (SELECT sum((x.a - x.b) * (x.a - x.b)) FROM (SELECT unnest(p.v) AS a, unnest(b.v) AS b) x)::HUGEINT AS d FROM p JOIN b{k} b USING (part)),
+a{k} AS MATERIALIZED (SELECT r, part, min(d) AS d, arg_min(entry, d * {entries} + entry) AS entry FROM d{k} GROUP BY r, part)""")
+        if k < rounds:
+            steps.append(f"""
+m{k} AS (SELECT part, entry, list(m ORDER BY i) AS v FROM (SELECT part, entry, i, {floor_mean} AS m FROM (SELECT part, entry, i, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT part, entry, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{k} JOIN p USING (r, part)) GROUP BY ALL)) GROUP BY part, entry),
+b{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m{k}.v, b{k}.v) AS v FROM b{k} LEFT JOIN m{k} USING (part, entry))""")
+    return f"""
+WITH e AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::HUGEINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+p AS MATERIALIZED (SELECT r, part, v[part * len(v) // {parts} + 1:(part + 1) * len(v) // {parts}] AS v FROM e, range({parts}) x(part)),
+b0 AS MATERIALIZED (SELECT part, r - 1 AS entry, v FROM p WHERE r <= {entries}),{",".join(steps)},
+books AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, i)) AS h FROM (SELECT part, entry, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM b{rounds})),
+c AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM c JOIN e USING (r), books"""
+
+
 def oracle_sql(regions: int, racks: int, per_rack: int) -> dict[str, str]:
     tree = uniform_tree(regions, racks, per_rack)
-    return {"op1_hash_tree": shards(tree, grown(tree, regions * racks * per_rack)), "op2_substring": _SUBSTRINGS, "op10_quality": line_quality()}
+    return {"op1_hash_tree": shards(tree, grown(tree, regions * racks * per_rack)), "op2_substring": _SUBSTRINGS, "op10_quality": line_quality(), "op11_filter_audit": _AUDIT, "op13_vector_codes": vector_codes()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm import bpe, decontamination, language, line_dedup, oracles, pii, quality, secrets, sharding, simhash, substring_dedup
+from tempora.llm import bpe, decontamination, filter_audit, forced_bpe, language, line_dedup, oracles, pii, quality, secrets, sharding, simhash, substring_dedup, vector_codes
 from tempora.llm._common import table
 
 REGIONS, RACKS, SHARDS = 2, 2, 4
@@ -72,5 +72,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hash_tree, op2_substring, op3_lines, op4_secrets, op5_templates, op6_bpe, op7_simhash, op8_language, op9_pii, op10_quality)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+
+
+def op12_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as f:
+        return forced_bpe.round_trip(table(spark, sf_dir, "documents"), f.read())
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    code = F.lower(F.hex("code"))
+    return coded.select("vec_id", code.alias("code"), "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_hash_tree, op2_substring, op3_lines, op4_secrets, op5_templates, op6_bpe, op7_simhash, op8_language, op9_pii, op10_quality, op11_filter_audit, op12_forced_bpe, op13_vector_codes)}
 ORACLE_SQL: dict[str, str] = oracles.oracle_sql(REGIONS, RACKS, SHARDS)
