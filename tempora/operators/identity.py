@@ -90,27 +90,60 @@ def hyperplanes(dimensions: int, planes: int, seed: str) -> list[list[float]]:
     return out
 
 
-def hashed_pairs(df: DataFrame, key: str, vector: str, threshold: float, dimensions: int, bands: int | None = None, bits: int = 8, seed: str = "planes", recall: float = 0.996) -> DataFrame:
+def hash_codes(df: DataFrame, key: str, vector: str, planes: Sequence[Sequence[float]], bits: int) -> DataFrame:
+    """(id, codes): for each band of ``bits`` hyperplanes the signs of the vector as one number. One product of matrices a batch."""
+    import numpy as np
+    import pyarrow as pa
+
+    directions = np.array(planes).T
+    weights = np.int64(1) << np.arange(bits, dtype=np.int64)
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("v")
+            vectors = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+            codes = (((vectors @ directions) >= 0).reshape(len(lists), -1, bits) * weights).sum(axis=2)
+            ends = np.arange(len(lists) + 1, dtype=np.int32) * codes.shape[1]
+            yield pa.record_batch([batch.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(codes.ravel()))], names=["id", "codes"])
+
+    rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(F.size("v") == directions.shape[0])
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, codes array<long>")
+
+
+def bands_needed(threshold: float, bits: int, recall: float) -> int:
+    """Bands of ``bits`` signs at which two vectors with this cosine share one with probability ``recall``."""
+    alike = (1 - math.acos(threshold) / math.pi) ** bits
+    return math.ceil(math.log(1 - recall) / math.log(1 - alike)) if alike < 1 else 1
+
+
+def hashed_pairs(
+    df: DataFrame, key: str, vector: str, threshold: float, dimensions: int,
+    bands: int | None = None, bits: int | None = None, seed: str = "planes", recall: float = 0.996, hot: int = 256,
+) -> DataFrame:
     """Pairs with a cosine of ``threshold`` or more among those that share a band of hyperplane signs (D4 without a block).
 
-    For tables where no block is small. Unless given, ``bands`` is the number at
-    which a pair at the threshold shares a band with probability ``recall``: of 8
-    bits, 17 at 0.9 and 88 at 0.6. Raise ``bits`` with the table.
+    For tables where no block is small. Unless given, ``bits`` follows from the
+    number of rows, so that a bucket holds about two unrelated vectors at every
+    size, and ``bands`` is the number at which a pair at the threshold shares a
+    band with probability ``recall``: of 8 bits, 17 at 0.9 and 88 at 0.6. A bucket
+    of more than ``hot`` rows (many vectors that are alike) is cut into slices,
+    and every two slices meet in a task of their own; no pair is left out.
+    Vectors of other lengths have no pairs.
     """
+    if bits is None:
+        bits = max(8, math.ceil(math.log2(max(2, df.count()))) - 1)
     if bands is None:
-        alike = (1 - math.acos(threshold) / math.pi) ** bits
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - alike)) if alike < 1 else 1
-
-    def side(plane: list[float]) -> Column:
-        return F.aggregate(F.zip_with(F.col("v"), F.array(*[F.lit(x) for x in plane]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) >= 0
-
-    planes = hyperplanes(dimensions, bands * bits, seed)
-    code = lambda band: sum((F.when(side(planes[band * bits + i]), 1 << i).otherwise(0) for i in range(bits)), F.lit(0))
-    rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    signed = rows.select("id", "v", F.posexplode(F.array(*[code(b) for b in range(bands)])).alias("band", "code"))
-    near = signed.select("id", "band", "code")
-    pairs = near.withColumnRenamed("id", "id_a").join(near.withColumnRenamed("id", "id_b"), ["band", "code"]).filter("id_a < id_b").select("id_a", "id_b").distinct()
-    scored = pairs.join(rows.select(F.col("id").alias("id_a"), F.col("v").alias("va")), "id_a").join(rows.select(F.col("id").alias("id_b"), F.col("v").alias("vb")), "id_b")
+        bands = bands_needed(threshold, bits, recall)
+    coded = hash_codes(df, key, vector, hyperplanes(dimensions, bands * bits, seed), bits)
+    filed = coded.select("id", F.posexplode("codes").alias("band", "code"))
+    sizes = filed.groupBy("band", "code").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    cut = filed.join(sizes, ["band", "code"]).withColumn("of", F.ceil(F.col("n") / F.lit(hot)).cast("int")).withColumn("slice", F.pmod(F.xxhash64("id"), "of").cast("int"))
+    left = cut.select("band", "code", F.col("id").alias("ia"), F.col("slice").alias("i"), F.explode(F.expr("sequence(slice, of - 1)")).alias("j"))
+    right = cut.select("band", "code", F.col("id").alias("ib"), F.explode(F.expr("sequence(0, slice)")).alias("i"), F.col("slice").alias("j"))
+    met = left.join(right, ["band", "code", "i", "j"]).filter((F.col("ia") != F.col("ib")) & ((F.col("i") != F.col("j")) | (F.col("ia") < F.col("ib"))))
+    pairs = met.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).distinct()
+    side = lambda x: df.select(F.col(key).alias(f"id_{x}"), F.col(vector).cast("array<double>").alias(f"v{x}"))
+    scored = pairs.join(side("a"), "id_a").join(side("b"), "id_b")
     return scored.withColumn("score", cosine(F.col("va"), F.col("vb"))).filter(F.col("score") >= threshold).select("id_a", "id_b", "score")
 
 
@@ -130,15 +163,17 @@ def time_matches(df: DataFrame, key: str, on: Sequence[str], time_col: str, seco
 def array_matches(df: DataFrame, key: str, entities: str, topics: str, time_col: str, seconds: int) -> DataFrame:
     """Pairs that share an entity and a topic and are at most ``seconds`` apart (D5 on arrays).
 
-    Rows meet on one entity and time slot; the topics are compared as arrays.
+    Entity, topic and time slot are all part of the key, so rows that share no
+    topic never meet, however common their entity is.
     """
     slot = F.floor(F.unix_micros(time_col) / F.lit(seconds * 1_000_000)).cast("long")
-    rows = df.select(F.col(key).alias("id"), F.explode(F.array_distinct(entities)).alias("entity"), F.col(topics).alias("topics"), F.unix_micros(time_col).alias("us"), slot.alias("slot"))
-    a = rows.withColumnsRenamed({"id": "id_a", "topics": "topics_a", "us": "us_a"}).withColumn("slot", F.explode(F.array("slot", F.col("slot") + 1)))
-    b = rows.withColumnsRenamed({"id": "id_b", "topics": "topics_b", "us": "us_b"})
+    rows = df.select(F.col(key).alias("id"), F.explode(F.array_distinct(entities)).alias("entity"), F.array_distinct(topics).alias("topics"), F.unix_micros(time_col).alias("us"), slot.alias("slot"))
+    rows = rows.select("id", "entity", F.explode("topics").alias("topic"), "us", "slot")
+    a = rows.withColumnsRenamed({"id": "id_a", "us": "us_a"}).withColumn("slot", F.explode(F.array("slot", F.col("slot") + 1)))
+    b = rows.withColumnsRenamed({"id": "id_b", "us": "us_b"})
     gap = F.col("us_b") - F.col("us_a")
     later = (gap > 0) | ((gap == 0) & (F.col("id_a") < F.col("id_b")))
-    met = a.join(b, ["entity", "slot"]).filter(later & (gap <= seconds * 1_000_000) & F.arrays_overlap("topics_a", "topics_b"))
+    met = a.join(b, ["entity", "topic", "slot"]).filter(later & (gap <= seconds * 1_000_000))
     return met.groupBy("id_a", "id_b").agg(F.array_sort(F.collect_set("entity")).alias("shared_entities"))
 
 

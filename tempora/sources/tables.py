@@ -81,6 +81,17 @@ def save(df: DataFrame, name: str = "round") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder, in any store that Spark reaches."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, for tables that a job appends to; ``clean_up`` removes it."""
+    return f"{shared_folder(spark)}/tempora-{_RUN}/{name}-{uuid.uuid4().hex}"
+
+
 def clean_up(spark: SparkSession) -> None:
     """Remove what this application has saved. Results that read it must have been written or read before."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tempora-{_RUN}")
@@ -100,8 +111,14 @@ def create_all(spark: SparkSession, root: str) -> list[str]:
 
 
 def append(df: DataFrame, root: str, entity: str, run_id: str) -> None:
-    """Append a run's rows (S6, S7). The run is a partition, so later reads can prune, and writing it twice is an error."""
-    conform(df, entity).write.mode("error").parquet(f"{root}/{entity}/run_id={run_id}")
+    """Append a run's rows (S6, S7). The run is a partition, so later reads can prune, and writing it twice is an error.
+
+    A write that died half-way left no mark of success; a retry replaces what it left.
+    """
+    target = f"{root}/{entity}/run_id={run_id}"
+    if exists(df.sparkSession, f"{target}/_SUCCESS"):
+        raise FileExistsError(f"run {run_id} of {entity} already exists")
+    conform(df, entity).write.mode("overwrite").parquet(target)
 
 
 def read(spark: SparkSession, root: str, entity: str) -> DataFrame:
