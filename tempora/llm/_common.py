@@ -42,8 +42,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_slices(batch, column: str = "text", limit: int = 1 << 20):
-    """Cut an Arrow batch into slices of about ``limit`` bytes of text each, and give unused memory back behind it."""
+_held: dict = {}
+
+
+def held(key, make):
+    """The one large object (such as a tokenizer) that a worker keeps from task to task; another key takes its place."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def text_slices(batch, column: str = "text", limit: int = 1 << 20, holds: bool = False):
+    """Cut an Arrow batch into slices of about ``limit`` bytes of text each, and give unused memory back behind it.
+
+    Workers live longer than a stage: unless the operator ``holds`` the large
+    object itself, a worker lets go of the one that an earlier stage left.
+    """
+    if not holds:
+        _held.clear()
     sizes = batch.column(column).nbytes // max(1, batch.num_rows) + 1
     step = max(1, limit // sizes)
     for start in range(0, batch.num_rows, step):

@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tempora.llm._common import col, text_slices
+from tempora.llm._common import col, held, text_slices
 
 #: Rows a recursive query may make before it hands over its state.
 ROUND_ROWS = 2_000_000
@@ -180,16 +180,9 @@ class Codec:
         return out
 
 
-_codecs: dict[bytes, Codec] = {}
-
-
 def codec(ranks_file: bytes, pattern: str) -> Codec:
     """The worker's codec of this vocabulary, made once."""
-    key = hashlib.sha256(ranks_file + pattern.encode()).digest()
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(ranks_file, pattern)
-    return _codecs[key]
+    return held(hashlib.sha256(ranks_file + pattern.encode()).digest(), lambda: Codec(ranks_file, pattern))
 
 
 def _texts(column) -> list[str]:
@@ -207,7 +200,7 @@ def encode(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_
 
     def run(batches):
         for batch in batches:
-            for part in text_slices(batch, limit=SLICE):
+            for part in text_slices(batch, limit=SLICE, holds=True):
                 ids = codec(ranks_file, pattern).encode(_texts(part.column("text")))
                 yield pa.record_batch([part.column("doc_id"), _lists(ids)], names=["doc_id", "ids"])
 
@@ -220,7 +213,7 @@ def decode(encoded: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "d
 
     def run(batches):
         for batch in batches:
-            for part in text_slices(batch, "ids", SLICE):
+            for part in text_slices(batch, "ids", SLICE, holds=True):
                 raw = codec(ranks_file, pattern).decode([np.array(x or [], np.int32) for x in part.column("ids").to_pylist()])
                 yield pa.record_batch([part.column("doc_id"), pa.array(raw, pa.binary())], names=["doc_id", "decoded"])
 
@@ -236,7 +229,7 @@ def round_trip(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "
 
     def run(batches):
         for batch in batches:
-            for part in text_slices(batch, limit=SLICE):
+            for part in text_slices(batch, limit=SLICE, holds=True):
                 both = codec(ranks_file, pattern)
                 both.cache_words = cache_words
                 ids = both.encode(_texts(part.column("text")))

@@ -37,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tempora.llm._common import col, text_slices
+from tempora.llm._common import col, held, text_slices
 
 #: Words, and fragments, whose ids a worker remembers.
 CACHE_WORDS = 300_000
@@ -169,17 +169,11 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_codecs: dict[bytes, Codec] = {}
-
-
 def codec(file: bytes, cache_words: int = CACHE_WORDS) -> Codec:
     """The worker's codec of this file, made once."""
-    key = hashlib.sha256(file).digest()
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(file)
-    _codecs[key].cache_words = cache_words
-    return _codecs[key]
+    found = held(hashlib.sha256(file).digest(), lambda: Codec(file))
+    found.cache_words = cache_words
+    return found
 
 
 def _lists(ids: list[np.ndarray]) -> pa.Array:
@@ -197,7 +191,7 @@ def encode(docs: DataFrame, file: bytes, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         for batch in batches:
-            for part in text_slices(batch, limit=SLICE):
+            for part in text_slices(batch, limit=SLICE, holds=True):
                 ids = codec(file, cache_words).encode([t or "" for t in part.column("text").to_pylist()])
                 yield pa.record_batch([part.column("doc_id"), _lists(ids)], names=["doc_id", "ids"])
 
@@ -210,7 +204,7 @@ def decode(encoded: DataFrame, file: bytes, id_col: str = "doc_id", ids_col: str
 
     def run(batches):
         for batch in batches:
-            for part in text_slices(batch, "ids", SLICE):
+            for part in text_slices(batch, "ids", SLICE, holds=True):
                 texts = [codec(file).decode(x or []) for x in part.column("ids").to_pylist()]
                 yield pa.record_batch([part.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
@@ -223,7 +217,7 @@ def round_trip(docs: DataFrame, file: bytes, id_col: str = "doc_id", text_col: s
 
     def run(batches):
         for batch in batches:
-            for part in text_slices(batch, limit=SLICE):
+            for part in text_slices(batch, limit=SLICE, holds=True):
                 both = codec(file, cache_words)
                 ids = both.encode([t or "" for t in part.column("text").to_pylist()])
                 columns = {

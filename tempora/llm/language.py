@@ -26,7 +26,7 @@ texts of any length are worked through in pieces; other columns pass through
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,6 +43,8 @@ SIZE = 1 << BITS
 ORDERS = (1, 2, 3)
 #: Brings relative frequencies to a range in which the learning rate works.
 GAIN = 30.0
+#: The largest table of weights (SIZE x languages, 4 bytes each) that is broadcast: 1,024 languages.
+MOST_BYTES = 1 << 28
 #: How far below the least known calibration document of its language a familiar text may lie.
 SLACK = 0.1
 #: Code points whose n-grams are held at once.
@@ -127,7 +129,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum()
 
 
-def ftrl(examples: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epochs: int = 6, alpha: float = 0.2, beta: float = 1.0, l1: float = 0.02, l2: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+def ftrl(examples: Iterable[tuple[np.ndarray, np.ndarray, int]], classes: int, epochs: int = 6, alpha: float = 0.2, beta: float = 1.0, l1: float = 0.02, l2: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Weights (SIZE x classes) and bias; examples are (features, values, class). The bias has no penalty."""
     z, n = np.zeros((SIZE + 1, classes)), np.zeros((SIZE + 1, classes))
     penalty = np.full((SIZE + 1, 1), l1)
@@ -217,6 +219,17 @@ def _examples(sample: pa.Table) -> list[tuple[int, str, np.ndarray, np.ndarray]]
     return sorted(out, key=lambda r: (r[0], r[1], len(r[2])))
 
 
+class _Weighted:
+    """The examples of (place, lang, features, shares) rows as (features, values, class), made anew each time they are gone through."""
+
+    def __init__(self, rows: list, languages: list[str], idf: np.ndarray):
+        self.rows, self.languages, self.idf = rows, {lang: i for i, lang in enumerate(languages)}, idf
+
+    def __iter__(self):
+        for _, lang, f, s in self.rows:
+            yield f, s * self.idf[f] * GAIN, self.languages[lang]
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 4000, **options) -> Model:
     """Learn from the rows that are not held out. At most ``sample_docs`` of them reach the driver, as n-gram counts."""
     usable = docs.filter(~held_out(id_col) & col(text_col).isNotNull() & col(lang_col).isNotNull()).select(col(text_col).alias("text"), col(lang_col).cast("string").alias("lang"), F.xxhash64(col(id_col), col(text_col)).alias("place"))
@@ -233,26 +246,26 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     languages = sorted({r[1] for r in rows})
     if not languages:
         return Model([], np.zeros((SIZE, 0)), np.zeros(0), 1.0)
-    examples = [(f, s * idf[f] * GAIN, languages.index(lang)) for _, lang, f, s in rows]
-    fitted = [e for i, e in enumerate(examples) if i % 5] or examples
-    rest = [e for i, e in enumerate(examples) if i % 5 == 0]
-    shares = [s for *_, s in rows][::5]
-    w, bias = ftrl(fitted, len(languages), **options)
-    logits = np.array([x @ w[f] + bias for f, x, _ in rest]).reshape(len(rest), len(languages))
-    heat = temperature(logits, np.array([label for *_, label in rest], np.int64))
+    rest = rows[::5]
+    labels = np.array([languages.index(lang) for _, lang, *_ in rest], np.int64)
+    w, bias = ftrl(_Weighted([r for i, r in enumerate(rows) if i % 5] or rows, languages, idf), len(languages), **options)
+    logits = np.array([x @ w[f] + bias for f, x, _ in _Weighted(rest, languages, idf)]).reshape(len(rest), len(languages))
+    heat = temperature(logits, labels)
     weights = (w * idf[:, None] * GAIN).astype(np.float32)
     least = np.ones(len(languages))
-    for (f, _, label), share in zip(rest, shares, strict=True):
+    for (*_, f, share), label in zip(rest, labels, strict=True):
         least[label] = min(least[label], share[weights[f].any(axis=1)].sum())
-    del examples, fitted, rows
+    del rest, rows
     trim()
-    told = np.isin(np.arange(len(languages)), [label for *_, label in rest])
+    told = np.isin(np.arange(len(languages)), labels)
     return Model(languages, weights, bias, heat, np.where(told, np.maximum(least - SLACK, 0), 0))
 
 
 def identified(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score", familiar_col: str | None = None) -> DataFrame:
     """``docs`` with the predicted language, its calibrated probability and, if a name is given, whether the text is familiar."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded: SIZE rows for each language
+    if model.weights.nbytes > MOST_BYTES:
+        raise ValueError(f"a model of {len(model.languages)} languages is too large to be sent to every worker")
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double, familiar boolean")
     def predict(texts: pd.Series) -> pd.DataFrame:
