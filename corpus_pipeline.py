@@ -25,6 +25,16 @@ from tempora.llm._common import col, materialize, table
 LEAST_SCORE = 0.5
 #: Words that a worker remembers: fewer than op6's query takes, as the workers of five stages share an executor's memory.
 CACHE_WORDS = 100_000
+#: Rows that go to a Python worker at once: batches lie in the executor's and in the worker's memory, beside all else.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS, if they are larger."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    given = int(spark.conf.get(name))
+    if not 0 < given <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,6 +42,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     What is familiar follows from the calibration documents of each language (see ``language``).
     """
+    small_batches(spark)
     boxed = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), "text")
     told = language.identified(boxed, language.train(docs), familiar_col="familiar")
     return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE) & F.col("familiar")).select("row.*")
@@ -48,16 +59,19 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, similarity 0.8) stays: the smallest id."""
+    small_batches(spark)
     return near_copies.keep_one(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents into which a benchmark item leaks."""
+    small_batches(spark)
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, ids_sha256 and decoded_sha256."""
+    small_batches(spark)
     with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
         ranks = f.read()
     return bpe.round_trip(docs, ranks, public_tokenizers.PATTERN, keep_ids=True, cache_words=CACHE_WORDS)
