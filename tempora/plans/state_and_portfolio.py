@@ -259,11 +259,47 @@ def narrative_lifecycle(spark, d):
     return W.lifecycle(rows, "event_type", "day", "n", "days", 2, 5, 20.0, 3.0).select("event_type", "day", "status")
 
 
-@query("SELECT event_type AS narrative, count(*) AS events, count(DISTINCT user_id) AS users FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY 1")
+#: Items are the embeddings, a third of which is reported again. Narratives begin as the labels of the items divisible by 4; the other
+#: even items come in a first run, what is left in a second, under the centroids that the first has moved. What no narrative takes is grouped.
+_NEAR_ENOUGH, _ALIKE = 0.25, 0.9
+
+
+@query("""WITH RECURSIVE x AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings UNION ALL SELECT vec_id + 10000000, label, list_transform(embedding::DOUBLE[], lambda e, i: CASE WHEN i % 2 = 1 THEN e * 1.3::DOUBLE ELSE e END) FROM embeddings WHERE vec_id % 3 = 0
+    UNION ALL SELECT vec_id + 20000000, label, list_transform(embedding::DOUBLE[], lambda e, i: CASE WHEN i % 2 = 0 THEN e * 1.3::DOUBLE ELSE e END) FROM embeddings WHERE vec_id % 9 = 0),
+    u AS (SELECT vec_id, label, list_transform(v, lambda e: e / sqrt(list_inner_product(v, v))) AS v FROM x),
+    s0 AS (SELECT label::VARCHAR AS narrative, i, sum(v[i]) AS t FROM u, range(1, 65) r(i) WHERE vec_id % 4 = 0 GROUP BY 1, 2), c0 AS (SELECT narrative, list(t ORDER BY i) AS c FROM s0 GROUP BY 1),
+    a1 AS (SELECT vec_id, v, max(list_cosine_similarity(v, c)) AS score, arg_max(narrative, list_cosine_similarity(v, c)) AS narrative FROM u, c0 WHERE vec_id % 4 = 2 GROUP BY 1, 2),
+    s1 AS (SELECT narrative, i, sum(t) AS t FROM (SELECT * FROM s0 UNION ALL SELECT narrative, i, v[i] FROM a1, range(1, 65) r(i) WHERE score >= 0.25) GROUP BY 1, 2), c1 AS (SELECT narrative, list(t ORDER BY i) AS c FROM s1 GROUP BY 1),
+    a2 AS (SELECT vec_id, v, max(list_cosine_similarity(v, c)) AS score, arg_max(narrative, list_cosine_similarity(v, c)) AS narrative FROM u, c1 WHERE vec_id % 2 = 1 GROUP BY 1, 2),
+    z AS (SELECT vec_id, v FROM a1 WHERE score < 0.25 UNION ALL SELECT vec_id, v FROM a2 WHERE score < 0.25),
+    p AS (SELECT b.vec_id AS id, a.vec_id AS earlier, list_cosine_similarity(a.v, b.v) AS score FROM z a JOIN z b ON (md5(a.vec_id::VARCHAR), a.vec_id) < (md5(b.vec_id::VARCHAR), b.vec_id) AND list_cosine_similarity(a.v, b.v) >= 0.9),
+    o AS (SELECT z.vec_id AS id, row_number() OVER (ORDER BY md5(z.vec_id::VARCHAR), z.vec_id) AS k, coalesce(n.earlier, []) AS earlier FROM z LEFT JOIN (SELECT id, list(earlier) AS earlier FROM p GROUP BY 1) n ON n.id = z.vec_id),
+    r AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS leaders UNION ALL SELECT o.k, CASE WHEN list_has_any(o.earlier, r.leaders) THEN r.leaders ELSE list_append(r.leaders, o.id) END FROM r JOIN o ON o.k = r.k + 1),
+    l AS (SELECT unnest(arg_max(leaders, k)) AS id FROM r), f AS (SELECT p.id, arg_max(p.earlier, row(p.score, -p.earlier)) AS leader FROM p JOIN l ON l.id = p.earlier WHERE p.id NOT IN (SELECT id FROM l) GROUP BY 1),
+    g AS (SELECT id, id AS leader FROM l UNION ALL SELECT * FROM f), n AS (SELECT id, CASE WHEN count(*) OVER (PARTITION BY leader) >= 2 THEN 'candidate:' || leader END AS narrative FROM g)
+    SELECT vec_id AS item, narrative FROM a1 WHERE score >= 0.25 UNION ALL SELECT vec_id, narrative FROM a2 WHERE score >= 0.25 UNION ALL SELECT id, narrative FROM n""")
 def narrative_assignment(spark, d):
+    from tempora.operators import identity as I
+    from tempora.operators import narratives as N
+    from tempora.plans.time_and_identity import _reported
+    from tempora.sources.tables import save
+
     t = Tables(spark, d)
-    topics = t.rows("event_type string, narrative string", ("click", "click"), ("view", "view"), ("purchase", "purchase"))
-    return t.events.join(topics, "event_type").groupBy("narrative").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("user_id").alias("users"))
+    labels = t.embeddings.select(F.col("vec_id").alias("of"), F.col("label").cast("string").alias("narrative"))
+    items = save(_reported(t).join(labels, F.col("vec_id") % 10_000_000 == F.col("of")).drop("of"), "items")
+    centroids = N.sums(items.filter("vec_id % 4 = 0"), "narrative", "vec_id", "embedding", 64)
+    taken, left_over = [], []
+    for now in ("vec_id % 4 = 2", "vec_id % 2 = 1"):
+        centroids = save(centroids, "centroids")
+        found = save(N.assign(items.filter(now), centroids, "narrative", "vec_id", "embedding", 64, _NEAR_ENOUGH), "assigned")
+        taken.append(found.filter("narrative IS NOT NULL"))
+        left_over.append(found.filter("narrative IS NULL").select("id", "v"))
+        centroids = N.merged(centroids.unionByName(N.sums(taken[-1], "narrative", "id", "v", 64)), "narrative")
+    none = save(left_over[0].unionByName(left_over[1]), "left-over")
+    pairs = I.hashed_pairs(none, "id", "v", _ALIKE, 64, recall=0.99999)
+    new = N.candidates(none, "id", pairs, save)
+    rest = none.select("id").join(new, "id", "left")
+    return taken[0].select("id", "narrative").unionByName(taken[1].select("id", "narrative")).unionByName(rest).select(F.col("id").alias("item"), "narrative")
 
 
 @query(f"SELECT {_D} AS day, round(least(count(*) FILTER (value >= 50), count(*) FILTER (value < 50))::DOUBLE / count(*), 6) AS disagreement FROM events GROUP BY 1")
