@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tempora.operators import portfolio as P
+from tempora.operators import scans
 from tempora.operators import temporal as T
 from tempora.operators import world as W
 from tempora.plans.registry import Tables, day, query, r6, us
@@ -306,3 +307,26 @@ def narrative_assignment(spark, d):
 def contradiction_metric(spark, d):
     e = Tables(spark, d).events.groupBy(day("ts").alias("day")).agg(F.count_if(F.col("value") >= 50).alias("p"), F.count_if(F.col("value") < 50).alias("n"))
     return e.select("day", r6(W.disagreement(F.col("p").cast("double"), F.col("n").cast("double"))).alias("disagreement"))
+
+
+# Raw rows: the value of every single event against what its type has had before.
+
+
+@query("SELECT event_id, round(max(value) OVER w, 6) AS peak, round(value / max(value) OVER w - 1, 6) AS drawdown FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)")
+def raw_drawdown(spark, d):
+    e = Tables(spark, d).events.select("event_id", "event_type", "ts", "value")
+    return scans.raw_drawdown(e, ["event_type"], "ts", ["event_id"], "value").select("event_id", r6("peak").alias("peak"), r6("drawdown").alias("drawdown"))
+
+
+@query("""WITH s AS (SELECT event_id, event_type, ts, sum(value - 55.0::DOUBLE) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS p FROM events)
+    SELECT event_id, round(p - least(0, min(p) OVER (PARTITION BY event_type ORDER BY ts, event_id)), 5) AS change_sum FROM s""")
+def change_points(spark, d):
+    e = Tables(spark, d).events.select("event_id", "event_type", "ts", "value")
+    return scans.change_sum(e, ["event_type"], "ts", ["event_id"], "value", 50.0, 5.0).select("event_id", r6("change_sum", 5).alias("change_sum"))
+
+
+@query("""SELECT a.event_id, round(sum(b.value * exp((epoch_us(b.ts) - epoch_us(a.ts)) / 43200000000.0::DOUBLE)) / sum(exp((epoch_us(b.ts) - epoch_us(a.ts)) / 43200000000.0::DOUBLE)), 5) AS decayed_mean
+    FROM events a JOIN events b ON a.event_type = b.event_type AND (b.ts, b.event_id) <= (a.ts, a.event_id) GROUP BY 1""")
+def decayed_mean(spark, d):
+    e = Tables(spark, d).events.select("event_id", "event_type", "ts", "value")
+    return scans.decayed_mean(e, ["event_type"], "ts", ["event_id"], "value", 43_200.0).select("event_id", r6("decayed_mean", 5).alias("decayed_mean"))
