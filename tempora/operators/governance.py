@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
@@ -44,6 +44,24 @@ def assert_clearance(schema: StructType, columns: Sequence[str], clearance: str)
         raise TierViolation(f"columns of tier {tier} need more than clearance {clearance}")
 
 
+def _rank(tier: Column) -> Column:
+    """The place of a tier in their order, from 1; 0 for what is no tier, null for null."""
+    return F.array_position(F.array(*[F.lit(t) for t in TIERS]), tier)
+
+
+def highest_tier(inputs: DataFrame, keys: Sequence[str], tier: str) -> DataFrame:
+    """The tier of each output made from rows of inputs (L2): the highest of theirs. An input without a known tier makes the output's null."""
+    known = F.when(F.col(tier).isin(*TIERS), _rank(F.col(tier)))
+    best = F.when(F.count(F.lit(1)) == F.count(known), F.max(known))
+    return inputs.groupBy(*keys).agg(best.alias("__rank")).select(*keys, F.get(F.array(*[F.lit(t) for t in TIERS]), F.col("__rank").cast("int") - 1).alias(tier))
+
+
+def over_clearance(calls: DataFrame, tier: str, clearance: str) -> DataFrame:
+    """The calls that must not be made (L3): their tier is above the receiver's clearance, or one of the two is not known."""
+    fits = (_rank(F.col(tier)) > 0) & (_rank(F.col(tier)) <= _rank(F.col(clearance)))
+    return calls.filter(~F.coalesce(fits, F.lit(False)))
+
+
 def lowered_tiers(old: StructType, new: StructType) -> list[str]:
     """Fields whose tier went down between two schemas."""
     return [f.name for f in new.fields if f.name in old.names and TIERS.index(tier_of(new, f.name)) < TIERS.index(tier_of(old, f.name))]
@@ -64,9 +82,8 @@ def transform_l2(df: DataFrame, owner: str, amount: str, institution: str, count
 
 def release(tier: Column, clearance: Column, transform_required: Column, transformed: Column) -> Column:
     """What may be sent to a provider (L8): refused above its clearance or without one; from L2 on transformed first where that is required."""
-    rank = lambda t: F.array_position(F.array(*[F.lit(x) for x in TIERS]), t)
-    above = clearance.isNull() | (rank(tier) == 0) | (rank(tier) > rank(clearance))
-    return F.when(F.coalesce(above, F.lit(True)), "refused").when((rank(tier) >= rank(F.lit("L2"))) & transform_required & ~transformed, "transform_first").otherwise("allowed")
+    above = clearance.isNull() | (_rank(tier) == 0) | (_rank(tier) > _rank(clearance))
+    return F.when(F.coalesce(above, F.lit(True)), "refused").when((_rank(tier) >= _rank(F.lit("L2"))) & transform_required & ~transformed, "transform_first").otherwise("allowed")
 
 
 def stage_counts(frames: Sequence[tuple[str, DataFrame]]) -> DataFrame:
@@ -95,7 +112,7 @@ def run_cycle(
     ``save`` writes and rereads a stage, so that what fails while it is worked
     out fails here, and no stage is worked out twice. The record has for each
     stage its rows, the rows that stand for missing data, and its time by the
-    clock ``seconds``, if one is given (R2).
+    clock ``seconds``, if one is given (R2); rows are counted while they are written.
     """
     state, record = dict(tables), []
     for name in TWELVE:
@@ -105,28 +122,34 @@ def run_cycle(
             continue
         start = seconds() if seconds else None
         try:
-            done = save(stages[name](state | {"run": record}, as_of))
+            todo = stages[name](state | {"run": record}, as_of)
             lacks = F.lit(False)
             for c in ("status", "result"):
-                if c in done.columns:
+                if c in todo.columns:
                     lacks = lacks | F.coalesce(F.col(c).cast("string").isin(*MISSING), F.lit(True))
-            counted = done.agg(F.count(F.lit(1)).alias("rows"), F.count_if(lacks).alias("missing")).first()
-            state[name] = done
-            row |= {"status": "ok", "rows": counted["rows"], "missing": counted["missing"]}
+            seen = Observation(f"{run_id}-{name}")
+            state[name] = save(todo.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(lacks).alias("missing")))
+            row |= {"status": "ok", "rows": seen.get.get("rows", 0), "missing": seen.get.get("missing", 0)}
         except Exception as e:  # noqa: BLE001 - any provider or engine error is recorded
             row |= {"status": "failed", "error": f"{type(e).__name__}: {e}"[:500]}
         row["seconds"] = seconds() - start if seconds else None
     return state, record
 
 
-def run_record(record: Sequence[dict], sources: Sequence[tuple[str, str, str | None]] = (), calls: Sequence[float] = ()) -> dict:
+def call_totals(calls: DataFrame, cost: str) -> tuple[int, float]:
+    """The number of model calls of a run and what they cost (R2, R3); a call without a price costs nothing."""
+    n = calls.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col(cost).cast("double")), F.lit(0.0)).alias("cost")).first()
+    return n["n"], n["cost"]
+
+
+def run_record(record: Sequence[dict], sources: Sequence[tuple[str, str, str | None]] = (), calls: tuple[int, float] = (0, 0.0)) -> dict:
     """One row for a run (R2): stages and sources that answered or failed, model calls and their cost, time, missing data, status."""
     failed = sum(r["status"] == "failed" for r in record)
     silent = sum(s[1] != "ok" for s in sources)
     times = [r["seconds"] for r in record if r["seconds"] is not None]
     return {
         "run_id": record[0]["run_id"], "as_of": record[0]["as_of"], "stages_ok": sum(r["status"] == "ok" for r in record), "stages_failed": failed,
-        "sources_ok": len(sources) - silent, "sources_failed": silent, "model_calls": len(calls), "cost": float(sum(calls)),
+        "sources_ok": len(sources) - silent, "sources_failed": silent, "model_calls": calls[0], "cost": float(calls[1]),
         "seconds": sum(times) if times else None, "missing": sum(r["missing"] or 0 for r in record), "status": "degraded" if failed or silent else "ok",
     }
 
@@ -166,6 +189,40 @@ def promotable(confirmations: DataFrame, rule: str, least: int, approved: DataFr
     return n.join(approved.select(rule, F.lit(True).alias("approved")), rule, "left").withColumn("approved", F.coalesce("approved", F.lit(False)))
 
 
+#: The distribution function of Poisson(1) at 0, 1, 2, ...
+_POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402, 0.9999998885745217)
+
+
+def bootstrap_weight(row: Column, draw: Column) -> Column:
+    """How often a row is drawn in a resample: Poisson(1) by a digest of the row's key and the resample's number, the same in every run."""
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", draw.cast("string"), row.cast("string"))), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
+    out = F.lit(len(_POISSON))
+    for k in reversed(range(len(_POISSON))):
+        out = F.when(u < _POISSON[k], k).otherwise(out)
+    return out
+
+
+def validate_candidate(replayed: DataFrame, groups: Sequence[str], key: str, old: str, new: str, outcome: str, draws: int = 200, share: float = 0.95) -> DataFrame:
+    """Whether a candidate would have improved past outcomes (G5): Brier scores under both versions, the interval of their difference, a verdict.
+
+    ``replayed`` has what both versions would have said of each past case, from
+    what was known then. All resamples are drawn in one pass: each is a sum for
+    each task, so only ``draws`` rows a group and task are shuffled. ``improves``
+    needs the whole interval above zero; cases without an outcome do not count.
+    """
+    loss = lambda c: F.pow(F.col(c).cast("double") - F.col(outcome).cast("double"), F.lit(2.0))
+    cases = replayed.filter(F.col(outcome).isNotNull() & F.col(old).isNotNull() & F.col(new).isNotNull()).select(*groups, F.col(key).alias("__key"), loss(old).alias("__old"), loss(new).alias("__new"))
+    plain = cases.groupBy(*groups).agg(F.count(F.lit(1)).alias("cases"), F.avg("__old").alias("old_brier"), F.avg("__new").alias("new_brier"))
+    drawn = cases.withColumn("__draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("__w", bootstrap_weight(F.col("__key"), F.col("__draw")))
+    gains = drawn.groupBy(*groups, "__draw").agg(F.try_divide(F.sum(F.col("__w") * (F.col("__old") - F.col("__new"))), F.sum("__w")).alias("__gain"))
+    tail = int(draws * (1 - share) / 2)
+    ordered = gains.groupBy(*groups).agg(F.array_sort(F.collect_list("__gain")).alias("__g"))
+    # A resample that drew no case has no gain and is not in the list.
+    ends = ordered.select(*groups, F.get("__g", F.lit(tail)).alias("low"), F.get("__g", F.size("__g") - 1 - tail).alias("high"))
+    verdict = F.when(F.col("low") > 0, "improves").when(F.col("high") < 0, "worse").otherwise("undecided")
+    return plain.join(ends, list(groups)).withColumn("verdict", verdict)
+
+
 def latest_of(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The newest row of each topic and the number it supersedes (M3)."""
     rest = [c for c in df.columns if c not in keys]

@@ -116,10 +116,11 @@ def critical_allowed(deterministic: Column, sources: Column, best_class: Column)
     return deterministic | ((sources >= 2) & (best_class < "D"))
 
 
-def unsent(alerts: DataFrame, sent: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Alerts not sent before, the first of each key (A3)."""
+def unsent(alerts: DataFrame, sent: DataFrame, key: Sequence[str], order: Sequence[Column], sent_key: Sequence[str] | None = None) -> DataFrame:
+    """Alerts not sent before, the first of each key (A3). ``sent_key``: what makes an alert one that was sent, if that is less than the key."""
+    once = list(sent_key or key)
     first = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
-    return alerts.join(sent.select(*key).distinct(), list(key), "left_anti").withColumn("__n", first).filter("__n = 1").drop("__n")
+    return alerts.join(sent.select(*once).distinct(), once, "left_anti").withColumn("__n", first).filter("__n = 1").drop("__n")
 
 
 def brief(impacts: DataFrame, order: Sequence[Column], k: int, briefed: DataFrame | None = None, key: Sequence[str] = ()) -> DataFrame:

@@ -46,6 +46,18 @@ def running_max(df: DataFrame, keys: Sequence[str], time_col: str, ties: Sequenc
     return rows.withColumn(name, F.greatest("__near", "__far")).select(*df.columns, name)
 
 
+def running_total(df: DataFrame, keys: Sequence[str], time_col: str, ties: Sequence[str], values: Sequence[str], names: Sequence[str], bucket: str = "day") -> DataFrame:
+    """Every row with the sums of its key's values before it, itself left out; zero where there are none."""
+    dealt, _, across = _dealt(df, keys, time_col, ties, bucket)
+    before = Window.partitionBy(*keys, "__bucket").orderBy(time_col, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    ends = dealt.groupBy(*keys, "__bucket").agg(*[F.sum(v).alias(f"__t{i}") for i, v in enumerate(values)])
+    carried = ends.select(*keys, "__bucket", *[F.sum(f"__t{i}").over(across).alias(f"__far{i}") for i in range(len(values))])
+    near = dealt.withColumns({f"__near{i}": F.sum(v).over(before) for i, v in enumerate(values)})
+    rows = _joined(near, carried, keys, [f"__far{i}" for i in range(len(values))])
+    total = lambda i: F.coalesce(f"__near{i}", F.lit(0)) + F.coalesce(f"__far{i}", F.lit(0))
+    return rows.select(*df.columns, *[total(i).alias(n) for i, n in enumerate(names)])
+
+
 def raw_drawdown(df: DataFrame, keys: Sequence[str], time_col: str, ties: Sequence[str], value: str, bucket: str = "day") -> DataFrame:
     """Distance of every raw row's value from the highest so far."""
     peaks = running_max(df, keys, time_col, ties, value, "peak", bucket)

@@ -92,7 +92,7 @@ def record(s: Frames, as_of: str) -> DataFrame:
 
 def alerts(s: Frames, as_of: str) -> DataFrame:
     open_ = s["derive_decision_candidates"].filter("decision_type <> 'NO_ACTION'")
-    return M.unsent(open_, open_.filter("false"), ["owner_id"], [F.col("policy_id")])
+    return M.unsent(open_, s["sent"], ["owner_id"], [F.col("policy_id")])
 
 
 STAGES = dict(zip(G.TWELVE, (ingest, events, narratives, world, personal, exposures, impacts, scenarios, policies, decisions, record, alerts), strict=True))
@@ -105,7 +105,9 @@ def run(spark, sf_dir: str, as_of: str, run_id: str, root: str | None = None, cl
     """One cycle. With ``root`` its stage log and its run record are appended to their tables there."""
     t = Tables(spark, sf_dir)
     hour = "2024-01-14 23:00:00"
+    # Owners of one region have been told before.
     given = {
+        "sent": t.nation.filter("n_regionkey = 0").select(F.col("n_nationkey").cast("int").alias("owner_id")),
         "events": t.events, "customer": t.customer,
         "sources": t.rows("event_type string, interval_minutes int, enabled boolean, last_fetch timestamp", ("click", 60, True, hour), ("view", 15, True, hour), ("purchase", 30, True, None), ("error", 60, True, hour), ("signup", 1440, True, hour)),
         "rules": t.rows("event_type string, how string", ("purchase", "DIRECT_RULE")),
@@ -131,10 +133,17 @@ def cycle_record(spark, d):
     return run(spark, d, AS_OF, "run-1")[0]["persist_run_record"].select("run_id", "as_of", "stage", "status", "rows", "missing")
 
 
-@query(f"SELECT '{AS_OF}' AS as_of, 12::BIGINT AS stages_ok, 0::BIGINT AS stages_failed, 2::BIGINT AS sources_ok, 1::BIGINT AS sources_failed, 2::BIGINT AS model_calls, 0.75::DOUBLE AS cost, 0::BIGINT AS missing, 'degraded' AS status")
+@query(f"""SELECT '{AS_OF}' AS as_of, 12::BIGINT AS stages_ok, 0::BIGINT AS stages_failed, 2::BIGINT AS sources_ok, 1::BIGINT AS sources_failed, count(*) AS model_calls, round(sum(value) / 1000, 6) AS cost, 0::BIGINT AS missing, 'degraded' AS status
+    FROM events WHERE ts <= TIMESTAMP '{AS_OF}' AND event_type = 'purchase'""")
 def cycle_total(spark, d):
-    """The run record of a cycle in which one of three sources did not answer and two model calls were paid for."""
+    """The run record of a cycle in which one of three sources did not answer; its model calls and their prices are rows of a table."""
     _, log = run(spark, d, AS_OF, "run-1")
-    total = G.run_record(log, [("events", "ok", None), ("customer", "ok", None), ("prices", "failed", "no answer")], [0.5, 0.25])
+    t = Tables(spark, d)
+    adapters = [tables.FileAdapter(n, f"{d}/{n}.parquet", spark.read.parquet(f"{d}/{n}.parquet").schema, c) for n, c in (("events", "event_id"), ("customer", "c_custkey"))]
+    adapters.append(tables.FileAdapter("prices", f"{d}/no_such_table.parquet", t.labels.schema, "doc_id"))
+    _, _, sources = tables.ingest(spark, adapters, {})
+    calls = T.known_at(t.events, "ts", AS_OF).filter("event_type = 'purchase'").withColumn("cost", F.col("value") / 1000)
+    total = G.run_record(log, sources, G.call_totals(calls, "cost"))
     schema = tables.SCHEMAS["run_record"]
-    return spark.createDataFrame([tuple(total[c] for c in schema.names)], schema).select("as_of", "stages_ok", "stages_failed", "sources_ok", "sources_failed", "model_calls", "cost", "missing", "status")
+    out = spark.createDataFrame([tuple(total[c] for c in schema.names)], schema)
+    return out.select("as_of", "stages_ok", "stages_failed", "sources_ok", "sources_failed", "model_calls", F.round("cost", 6).alias("cost"), "missing", "status")

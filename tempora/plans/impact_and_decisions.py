@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as PT
 
 from tempora.operators import decisions as J
 from tempora.operators import governance as G
@@ -137,12 +136,13 @@ def critical_gate(spark, d):
     return e.select("event_key", M.critical_allowed(F.col("doc") % 11 == 0, F.col("n"), F.col("class")).alias("critical_allowed"))
 
 
-@query(f"WITH a AS (SELECT event_id, user_id, event_type, {_D} AS day, row_number() OVER (PARTITION BY user_id, event_type, {_D} ORDER BY ts, event_id) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-10') SELECT event_id FROM a WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM events s WHERE s.ts < TIMESTAMP '2024-01-10' AND s.user_id = a.user_id AND s.event_type = a.event_type)")
+@query(f"WITH a AS (SELECT event_id, user_id, event_type, {_D} AS day, row_number() OVER (PARTITION BY user_id, event_type, {_D} ORDER BY ts, event_id) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-10') SELECT event_id FROM a WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM events s WHERE s.ts < TIMESTAMP '2024-01-10' AND s.user_id % 3 > 0 AND s.user_id = a.user_id AND s.event_type = a.event_type)")
 def alert_dedup(spark, d):
+    """What was sent before the tenth, to a user of a type, is not sent again; of a day's alerts the first is."""
     e = Tables(spark, d).events.withColumn("day", day("ts"))
     at = T.instant("2024-01-10 00:00:00")
-    fresh = e.join(e.filter(F.col("ts") < at).select("user_id", "event_type").distinct(), ["user_id", "event_type"], "left_anti")
-    return M.unsent(fresh.filter(F.col("ts") >= at), e.filter("false"), ["user_id", "event_type", "day"], [F.col("ts"), F.col("event_id")]).select("event_id")
+    sent, now = e.filter(F.col("ts") < at).filter("user_id % 3 > 0"), e.filter(F.col("ts") >= at)
+    return M.unsent(now, sent, ["user_id", "event_type", "day"], [F.col("ts"), F.col("event_id")], ["user_id", "event_type"]).select("event_id")
 
 
 @query(f"WITH {_I} SELECT event_id, event_type || ' by ' || user_id AS what, {_ATT} IN ('ACT_OR_REVIEW', 'VERIFY') AS needs_action, round(exp, 6) AS exposure, round(conf, 6) AS confidence FROM i WHERE {_ATT} <> 'BACKLOG'")
@@ -442,9 +442,9 @@ def tier_call_audit(spark, d):
 @query("SELECT event_id, event_type AS provider FROM events JOIN (VALUES ('click', 1), ('view', 2), ('purchase', 3), ('signup', 0)) c(p, clearance) ON p = event_type WHERE event_id % 4 > clearance UNION ALL SELECT event_id, event_type FROM events WHERE event_type = 'error'")
 def clearance_check(spark, d):
     t = Tables(spark, d)
-    cleared = t.rows("event_type string, clearance int", ("click", 1), ("view", 2), ("purchase", 3), ("signup", 0))
-    joined = t.events.join(cleared, "event_type", "left")
-    return joined.filter(F.col("clearance").isNull() | (F.col("event_id") % 4 > F.col("clearance"))).select("event_id", F.col("event_type").alias("provider"))
+    cleared = t.rows("event_type string, clearance string", ("click", "L1"), ("view", "L2"), ("purchase", "L3"), ("signup", "L0"))
+    calls = t.events.withColumn("tier", F.concat(F.lit("L"), (F.col("event_id") % 4).cast("string"))).join(cleared, "event_type", "left")
+    return G.over_clearance(calls, "tier", "clearance").select("event_id", F.col("event_type").alias("provider"))
 
 
 PROVIDERS = (("click", "L2", True), ("view", "L3", False), ("purchase", "L1", True), ("signup", "L2", False))
@@ -469,13 +469,11 @@ def semantic_recall(spark, d):
     return memory.recall("t3", e.filter("vec_id = 0").select("embedding").first()[0], 5).select("id", r6("score", 5).alias("score"), "authoritative")
 
 
-@query("SELECT * FROM (VALUES ('weight,country', 'L2'), ('weight,country,institution', 'L3')) v(inputs, tier)")
+@query("SELECT l_orderkey AS prompt, CASE WHEN count(*) FILTER (l_linenumber > 6) = 0 THEN 'L' || max((l_linenumber * 7 + l_orderkey) % 3 + 1) END AS tier FROM lineitem GROUP BY 1")
 def tier_max_of_inputs(spark, d):
-    """The tier of a prompt made from two, then three fields: schema metadata only."""
-    tier = lambda n: {"tier": n}
-    schema = PT.StructType([PT.StructField("weight", PT.DoubleType(), True, tier("L1")), PT.StructField("institution", PT.StringType(), True, tier("L3")), PT.StructField("country", PT.StringType(), True, tier("L2"))])
-    rows = [(",".join(cs), G.max_tier(schema, cs)) for cs in (["weight", "country"], ["weight", "country", "institution"])]
-    return spark.createDataFrame(rows, "inputs string, tier string")
+    """A prompt is an order, made from its lines, each of a tier; a seventh line declares none."""
+    declared = F.when(F.col("l_linenumber") <= 6, F.concat(F.lit("L"), ((F.col("l_linenumber") * 7 + F.col("l_orderkey")) % 3 + 1).cast("string")))
+    return G.highest_tier(Tables(spark, d).lineitem.select(F.col("l_orderkey").alias("prompt"), declared.alias("tier")), ["prompt"], "tier")
 
 
 @query("WITH t AS (SELECT user_id, event_id, ['candidate', 'validated', 'owner_approved', 'shadow', 'active', 'superseded'][(event_id % 6 + 1)::INT] AS state, ts FROM events), l AS (SELECT *, lag(state) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM t), r AS (SELECT *, list_position(['candidate', 'validated', 'owner_approved', 'shadow', 'active'], state) AS a, list_position(['candidate', 'validated', 'owner_approved', 'shadow', 'active'], previous) AS b FROM l) SELECT event_id, previous, state FROM r WHERE NOT CASE WHEN previous IS NULL THEN state = 'candidate' WHEN state = 'superseded' THEN previous = 'active' ELSE coalesce(a = b + 1, false) END")
@@ -512,12 +510,24 @@ def shadow_isolation(spark, d):
     return out.groupBy("stage").agg(F.count(F.lit(1)).alias("outputs"))
 
 
-@query(f"WITH {_FC}, b AS (SELECT lang, avg(power(p - outcome, 2)) AS old, avg(power((p + 0.5) / 2 - outcome, 2)) AS new FROM f GROUP BY 1) SELECT lang, round(old, 6) AS old_brier, round(new, 6) AS new_brier, new < old AS improves FROM b")
+#: What the candidate would have said: the mean of the forecast and of how its language turned out in earlier documents, as far as there are any.
+_REPLAY = f"""WITH {_FC}, h AS (SELECT *, coalesce(sum(outcome) OVER w, 0) AS good, count(*) OVER w AS seen FROM f WINDOW w AS (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    q AS (SELECT lang, doc_id, power(p - outcome, 2) AS old, power((p + CASE WHEN seen > 0 THEN good / seen ELSE p END) / 2 - outcome, 2) AS new FROM h)"""
+_CUTS = " ".join(f"WHEN u < {x!r}::DOUBLE THEN {k}" for k, x in enumerate(G._POISSON))
+
+
+@query(f"""{_REPLAY}, u AS (SELECT lang, old - new AS gain, draw, ('0x' || substr(md5(draw || ':' || doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM q, range(1, 201) r(draw)),
+    g AS (SELECT lang, draw, sum(w * gain) / sum(w) AS gain FROM (SELECT *, CASE {_CUTS} ELSE {len(G._POISSON)} END AS w FROM u) GROUP BY 1, 2 HAVING sum(w) > 0),
+    e AS (SELECT lang, list_sort(list(gain)) AS l FROM g GROUP BY 1), b AS (SELECT lang, count(*) AS cases, avg(old) AS o, avg(new) AS n FROM q GROUP BY 1)
+    SELECT lang, cases, round(o, 6) AS old_brier, round(n, 6) AS new_brier, round(l[6], 6) AS low, round(l[len(l) - 5], 6) AS high, CASE WHEN l[6] > 0 THEN 'improves' WHEN l[len(l) - 5] < 0 THEN 'worse' ELSE 'undecided' END AS verdict FROM b JOIN e USING (lang)""")
 def candidate_validation(spark, d):
-    f = forecasts(Tables(spark, d))
-    replay = lambda frame, name: frame.groupBy("lang").agg(C.brier("p", "outcome").alias(name))
-    both = replay(f, "o").join(replay(f.withColumn("p", (F.col("p") + 0.5) / 2), "n"), "lang")
-    return both.select("lang", r6("o").alias("old_brier"), r6("n").alias("new_brier"), (F.col("n") < F.col("o")).alias("improves"))
+    from tempora.operators.scans import running_total
+
+    f = forecasts(Tables(spark, d)).withColumns({"at": F.timestamp_seconds("doc_id"), "one": F.lit(1)})
+    known = running_total(f, ["lang"], "at", ["doc_id"], ["outcome", "one"], ["good", "seen"], bucket="hour")
+    replayed = known.withColumn("candidate", (F.col("p") + F.coalesce(F.try_divide("good", "seen"), "p")) / 2)
+    out = G.validate_candidate(replayed, ["lang"], "doc_id", "p", "candidate", "outcome")
+    return out.select("lang", "cases", *[r6(c).alias(c) for c in ("old_brier", "new_brier", "low", "high")], "verdict")
 
 
 @query("SELECT DISTINCT user_id AS artefact FROM events WHERE event_type = 'signup' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 90)")
@@ -539,11 +549,13 @@ def vector_topk(spark, d):
     return G.nearest(e, "vec_id", "embedding", query_vector, 10).select("vec_id", r6("score", 5).alias("score"))
 
 
-@query("SELECT * FROM (VALUES ('answers', 'ok'), ('broken', 'failed')) v(source_id, status)")
+@query("""SELECT 'labels' AS source_id, 'ok' AS status, (SELECT count(*) FROM labels WHERE doc_id > 50) AS items UNION ALL SELECT 'orders', 'ok', (SELECT count(*) FROM orders) UNION ALL SELECT 'prices', 'failed', NULL""")
 def ingest_status(spark, d):
+    """Two sources answer, one from its cursor on, a third does not: the run goes on without it, and no value stands in its place."""
     from tempora.sources.tables import FileAdapter, ingest
 
-    schema = Tables(spark, d).labels.schema
-    adapters = [FileAdapter("answers", f"{d}/labels.parquet", schema, "doc_id"), FileAdapter("broken", f"{d}/no_such_table.parquet", schema, "doc_id")]
-    _, _, status = ingest(spark, adapters, {})
-    return spark.createDataFrame([s[:2] for s in status], "source_id string, status string")
+    t = Tables(spark, d)
+    adapters = [FileAdapter("labels", f"{d}/labels.parquet", t.labels.schema, "doc_id"), FileAdapter("orders", f"{d}/orders.parquet", spark.read.parquet(f"{d}/orders.parquet").schema, "o_orderkey"), FileAdapter("prices", f"{d}/no_such_table.parquet", t.labels.schema, "doc_id")]
+    rows, _, status = ingest(spark, adapters, {"labels": "50"})
+    told = spark.createDataFrame([s[:2] for s in status], "source_id string, status string")
+    return told.join(rows.groupBy("source_id").agg(F.count(F.lit(1)).alias("items")), "source_id", "left")

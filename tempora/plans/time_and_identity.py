@@ -81,13 +81,18 @@ def data_health(spark, d):
     return T.overall_freshness(_statuses(Tables(spark, d)))
 
 
-DUE = (("click", 60, True, "2024-01-19 23:30:00"), ("view", 15, True, "2024-01-19 23:30:00"), ("purchase", 30, True, "2024-01-19 23:30:00"), ("signup", 60, False, "2024-01-01 00:00:00"), ("error", 60, True, None))
+#: Sources are customers; a source is fetched whenever it has an event, and most never were.
+_EVERY = 1440
 
 
-@query(f"""SELECT source_id FROM (VALUES ('click', 60, true, TIMESTAMP '2024-01-19 23:30:00'), ('view', 15, true, TIMESTAMP '2024-01-19 23:30:00'), ('purchase', 30, true, TIMESTAMP '2024-01-19 23:30:00'), ('signup', 60, false, TIMESTAMP '2024-01-01'), ('error', 60, true, NULL)) s(source_id, m, enabled, last_fetch)
-    WHERE enabled AND (last_fetch IS NULL OR last_fetch + to_minutes(m) <= TIMESTAMP '{AS_OF}')""")
+@query(f"""SELECT c_custkey AS source_id FROM customer LEFT JOIN (SELECT user_id, max(ts) AS last_fetch FROM events WHERE ts <= TIMESTAMP '{AS_OF}' GROUP BY 1) e ON user_id = c_custkey
+    WHERE c_custkey % 7 > 0 AND (last_fetch IS NULL OR last_fetch + to_minutes({_EVERY} * (1 + c_custkey % 3)) <= TIMESTAMP '{AS_OF}')""")
 def sources_due(spark, d):
-    return T.due_sources(Tables(spark, d).rows("source_id string, interval_minutes int, enabled boolean, last_fetch timestamp", *DUE), AS_OF).select("source_id")
+    t = Tables(spark, d)
+    fetched = T.known_at(t.events, "ts", AS_OF).groupBy(F.col("user_id").alias("source_id")).agg(F.max("ts").alias("last_fetch"))
+    key = F.col("c_custkey")
+    sources = t.customer.select(key.alias("source_id"), (F.lit(_EVERY) * (1 + key % 3)).cast("int").alias("interval_minutes"), (key % 7 > 0).alias("enabled"))
+    return T.due_sources(sources.join(fetched, "source_id", "left"), AS_OF).select("source_id")
 
 
 @query(f"SELECT o_orderkey, date_diff('day', DATE '1998-01-01', o_orderdate::DATE)::INTEGER AS days_left FROM orders WHERE date_diff('day', DATE '1998-01-01', o_orderdate::DATE) BETWEEN 0 AND 90")

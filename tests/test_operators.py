@@ -275,7 +275,7 @@ def test_a_failed_stage_degrades_the_run(spark):
     assert status["build_world_state"] == "failed" and "build_world_state" not in state
     by = {r["stage"]: r for r in record}
     assert "late" in by["build_world_state"]["error"] and by["ingest_due_sources"]["rows"] == 3 and by["load_personal_state"]["missing"] == 2
-    total = G.run_record(record, [("a", "ok", None), ("b", "failed", "x")], [0.25])
+    total = G.run_record(record, [("a", "ok", None), ("b", "failed", "x")], (1, 0.25))
     assert (total["stages_failed"], total["sources_failed"], total["missing"], total["cost"], total["seconds"], total["status"]) == (2, 1, 2, 0.25, 5.0, "degraded")
 
 
