@@ -16,9 +16,12 @@ words; else it proves nothing, and an item without any window that can is never
 found (the item "42" leaks into nothing). The cover is that of all windows, or
 of those with enough literal words, whichever is greater.
 
-A number is a word that starts with a digit after its punctuation; a unit is a
-listed word right after a number; a name is a listed given name, or a word with
-one capital in the middle of a sentence.
+A number is a word that starts with a digit after its punctuation; a name is a
+listed given name, or a word with one capital in the middle of a sentence, but not behind a bare number, which may
+count questions. A unit is what is counted: a listed word right after a number,
+or any word in small letters that follows one with nothing but space between,
+unless it is a function word ("3 of them"). These rules look at a word and its neighbours only,
+so a copy has the same slots in whatever text it stands.
 
 The benchmark's hashes are sent to the tasks, which then emit only windows that
 can match, if their number is at most ``prefilter_hashes``; beyond that the
@@ -48,12 +51,14 @@ from pyspark.sql import functions as F
 from tempora.llm._common import col, materialize, row_key, text_slices
 from tempora.llm._windows import window_hashes, word_hashes
 
-# Words that stand for a unit, and given names.
+# Words that stand for a unit, words that never do, and given names.
 UNITS = "km m cm mm kg g mg lb lbs oz miles mile meters meter metres metre feet foot inches inch liters liter litres litre ml hours hour minutes minute seconds second days day weeks week months month years year dollars dollar euros euro cents cent pounds pound percent degrees".split()
+FUNCTION = "a after an and are as at be before but by did do does each else for from had has have he her his i if in into is it its less minus more not of on or over per plus she so than that the their then they times to under was we were when with you".split()
 NAMES = "alice bob carol dave emma jack jane john james mary maria michael sarah tom tim anna david daniel peter paul susan linda robert william george henry lucy kate laura mark sam ben amy lisa julia sophie olivia noah liam mia".split()
 
 _NUMBER = re.compile(rb"(?<![0-9])[0-9]+(?:[.,:/][0-9]+)*")
-_NAME = re.compile(rb"(?<=[a-z0-9,;:\x80-\xff][\x20\n])[A-Z][a-z]+(?![A-Za-z])")
+_NAME = re.compile(rb"(?<=[a-z,;:\x80-\xff][\x20\n])[A-Z][a-z]+(?![A-Za-z])")
+_COUNTED = re.compile(rb"(?<![0-9A-Za-z.,:/\x80-\xff])[0-9]+(?:[.,:/][0-9]+)*[\x20\x09-\x0D]+(?=[a-z])(?!(?:" + "|".join(FUNCTION).encode() + rb")(?![a-z]))")
 _PUNCTUATION = rb"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
 _LIST_HASHES: dict[str, np.ndarray] = {}
@@ -75,7 +80,8 @@ class Template:
     """The template words of a text; ``hashes`` has one for each."""
 
     def __init__(self, text: bytes):
-        marked = _NAME.sub(b"\x02\\g<0>", _NUMBER.sub(b"\x01\\g<0>", text.translate(None, b"\x01\x02")))
+        plain = _COUNTED.sub(b"\\g<0>\x03", text.translate(None, b"\x01\x02\x03"))
+        marked = _NAME.sub(b"\x02\\g<0>", _NUMBER.sub(b"\x01\\g<0>", plain))
         self.words = marked.translate(None, _PUNCTUATION).lower().split()
         if not self.words:
             self.hashes = np.empty(0, np.uint64)
@@ -87,13 +93,13 @@ class Template:
         first = data[np.r_[0, np.flatnonzero(data == 32) + 1]]
         number = first == 1
         name = (first == 2) | _in(hashes, _listed("names", NAMES))
-        unit = np.r_[False, number[:-1]] & _in(hashes, _listed("units", UNITS))
+        unit = (first == 3) | np.r_[False, number[:-1]] & _in(hashes, _listed("units", UNITS))
         self.kinds = np.select([number, unit, name], [1, 2, 3], 0).astype(np.int8)
         self.hashes = np.select([self.kinds == k for k in (1, 2, 3)], [np.uint64(k) for k in (1, 2, 3)], hashes)
 
     def window(self, at: int, size: int) -> tuple[str, list[str]]:
         """The template of a window, and the values of its slots."""
-        words = [w.decode("utf-8", "replace").lstrip("\x01\x02") for w in self.words[at : at + size]]
+        words = [w.decode("utf-8", "replace").lstrip("\x01\x02\x03") for w in self.words[at : at + size]]
         kinds = self.kinds[at : at + size].tolist()
         return " ".join((w, NUM, UNIT, NAME)[k] for w, k in zip(words, kinds, strict=True)), [w for w, k in zip(words, kinds, strict=True) if k]
 

@@ -364,7 +364,8 @@ def brute_template(text):
     out = []
     for k, w in enumerate(words):
         number = w[0].isdigit()
-        unit = k > 0 and words[k - 1][0].isdigit() and w in decontamination.UNITS and not number
+        listed = k > 0 and words[k - 1][0].isdigit() and w in decontamination.UNITS and not number
+        unit = listed or (k > 0 and words[k - 1].isdigit() and "a" <= w[0] <= "z" and w not in decontamination.FUNCTION)
         out.append((w, "num" if number else "unit" if unit else "name" if w in decontamination.NAMES else None))
     return out
 
@@ -444,6 +445,35 @@ def test_templates_against_brute_force(spark, prefilter):
     assert sum(p in got and got[p][3] == "reparameterised" for p in worth) >= 0.9 * len(worth)
 
 
+#: Questions whose names and units stand in no list: @ a name in the middle of a sentence, # a number, ^ a unit.
+UNSEEN = [
+    "Yesterday the farmer @ loaded # ^ of grain onto a cart and sold # ^ at the market before noon, how much was left?",
+    "If a horse runs # ^ in one race and # ^ in the next, how far has it run in both races together?",
+    "The tailor told @ that a coat needs # ^ of cloth while a cloak needs # ^ so how much must be bought for both?",
+    "A ship carries # ^ of salt and @ unloads # ^ at the first port, what part of the cargo is still on board?",
+    "During the week @ and @ picked # ^ of plums, then shared them evenly among # ^ at school, what did each receive?",
+    "Every morning the old clock loses # ^ and gains # ^ at night, after how many days is it right again?",
+]
+
+
+def test_recall_with_names_and_units_in_no_list(spark):
+    r = random.Random(23)
+    word = lambda: "".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(r.randrange(2, 4)))
+    fill = lambda t: "".join({"@": word().capitalize(), "#": str(r.randrange(2, 9000)), "^": word() + "s"}.get(c, c) for c in t)
+    noise = lambda n: " ".join(word() for _ in range(n))
+    items = [(i, fill(t)) for i, t in enumerate(UNSEEN)]
+    docs = [(1000 * i + k, f"{noise(30)}. {fill(t)} {noise(20)}") for i, t in enumerate(UNSEEN) for k in range(20)]
+    docs += [(9000 + k, f"{noise(40)} {r.randrange(99)} {noise(30)}") for k in range(40)]
+    # A numbered copy of a short item, and one behind a bare number.
+    items.append((50, "Which river flows north?"))
+    docs += [(9900, "3. Which river flows north? 4. " + noise(9)), (9901, f"{noise(9)} 12 Which river flows north?")]
+    out = rows(decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    found = {(x["doc_id"], x["item_id"]) for x in out}
+    planted = {(d, d // 1000) for d, _ in docs if d < 9000}
+    assert len(found & planted) >= 0.9 * len(planted) and min(sum((d, i) in found for d, _ in docs) for i in range(6)) >= 18
+    assert found - planted == {(9900, 50), (9901, 50)}
+
+
 # 6: BPE
 
 
