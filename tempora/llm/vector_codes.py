@@ -29,7 +29,7 @@ smaller vector comes first; repeated rows are rows of their own; fewer than 16
 rows make a codebook of as many entries; null labels are one label; an empty table
 gives an empty result; other columns are not read. Vectors of different lengths,
 or of a length that the number of parts does not divide, raise. Components may be
-as large as 2 ** 40: where the distances may not fit into 64 bits, Python's
+as large as 2 ** 40 as integers: where the distances may not fit into 64 bits, Python's
 integers work them out, and an error, or a sum of errors, beyond 64 bits is null.
 """
 
