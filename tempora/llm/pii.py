@@ -13,8 +13,8 @@ candidate, for, against or not at all:
 
 Votes of one kind and pattern of votes are counted over all documents; the
 counts are a table whose size depends on the labelers alone. Expectation-
-maximisation (labelers err independently, with reliabilities of their own for
-each kind) runs on that table. Its posteriors are the soft labels on which the
+maximisation (labelers err independently, with rates of their own for each side
+of each kind) runs on that table. Its posteriors are the soft labels on which the
 final classifier is trained: a logistic regression over the votes and over
 features that no labeler sees (length, separators, variety of digits, what
 stands right before and behind), applied as a DataFrame expression. So a span
@@ -288,31 +288,35 @@ def _features(kind: str, votes: tuple[int, ...], shape: str) -> list[tuple]:
 def expectation_maximisation(
     counts: dict[tuple[str, tuple[int, ...]], float], rounds: int = 50, start: Sequence[float] = START, prior: Mapping[str, float] = PRIOR
 ) -> tuple[dict[tuple[str, tuple[int, ...]], float], dict[tuple[str, int], float]]:
-    """Posterior of each (kind, votes), and the share of right votes of each (kind, voter) that does vote.
-
-    Voters keep a prior of ten votes at their start, and a kind one of ten
-    candidates, so that a voter that is always alone, or a kind with a handful
-    of candidates, stays moderate.
+    """Posterior of each (kind, votes), and the mean of the two rates of each (kind, voter) that does vote.
+
+    A voter has a rate for each side: how often it votes for what is true, and
+    against what is not. So one that votes alike on all candidates of a kind, as
+    a form does that they all have, tells nothing, whoever agrees with it. No
+    voter is taken to be worse than chance. Voters keep a prior of ten votes a
+    side at their start, and a kind one of ten candidates, so that a voter that
+    is always alone, or a kind with a handful of candidates, stays moderate.
     """
     posterior, reliability = {}, {}
     for kind in sorted({k for k, _ in counts}):
         rows = [(v, n) for (k, v), n in sorted(counts.items()) if k == kind]
-        right, share = list(start[: len(rows[0][0])]), prior[kind]
+        hits, refusals, share = list(start[: len(rows[0][0])]), list(start[: len(rows[0][0])]), prior[kind]
         for _ in range(rounds):
             p = []
             for votes, _ in rows:
                 odds = math.log(share / (1 - share))
-                for i, v in enumerate(votes):
-                    odds += v * math.log(right[i] / (1 - right[i]))
+                for v, hit, refusal in zip(votes, hits, refusals, strict=True):
+                    odds += math.log(hit / (1 - refusal)) if v > 0 else math.log((1 - hit) / refusal) if v < 0 else 0.0
                 p.append(1 / (1 + math.exp(-odds)))
             total = sum(n for _, n in rows)
             share = min(0.95, max(0.05, (10 * prior[kind] + sum(q * n for q, (_, n) in zip(p, rows, strict=True))) / (10 + total)))
-            for i in range(len(right)):
-                cast = sum(n for v, n in rows if v[i])
-                agreed = sum((q if v[i] > 0 else 1 - q) * n for q, (v, n) in zip(p, rows, strict=True) if v[i])
-                right[i] = min(0.99, max(0.55, (10 * start[i] + agreed) / (10 + cast)))
+            for i in range(len(hits)):
+                cast = [(v[i], q * n, (1 - q) * n) for q, (v, n) in zip(p, rows, strict=True) if v[i]]
+                right = lambda side, sign: (10 * start[i] + sum(c[side] for c in cast if c[0] == sign)) / (10 + sum(c[side] for c in cast))  # noqa: E731, B023
+                hits[i] = min(0.99, max(0.01, right(1, 1)))
+                refusals[i] = min(0.99, max(0.01, 1 - hits[i], right(2, -1)))
         posterior |= {(kind, v): q for (v, _), q in zip(rows, p, strict=True)}
-        reliability |= {(kind, i): r for i, r in enumerate(right)}
+        reliability |= {(kind, i): (h + r) / 2 for i, (h, r) in enumerate(zip(hits, refusals, strict=True))}
     return posterior, reliability
 
 
