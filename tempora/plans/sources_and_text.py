@@ -33,7 +33,8 @@ _PAGE_TEXT = _nested(_LINES, [(r"[\x20\x09\x0B-\x0D]+", " "), (r" ?\n[\n ]*", "\
 
 
 @query(rf"""WITH t AS (SELECT page_id, html, {_PAGE_TEXT} AS body FROM pages)
-    SELECT page_id::VARCHAR AS external_id, {_unescaped(rf"trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1), '{_SPACE}+', ' ', 'g'))")} AS title, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS language,
+    SELECT page_id::VARCHAR AS external_id, {_unescaped(rf"trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1), '{_SPACE}+', ' ', 'g'))")} AS title,
+    regexp_extract(html, '<html lang="([a-z]+)"', 1) AS language,
     sha256(lower(trim(regexp_replace(body, '{_SPACE}+', ' ', 'g')))) AS content_hash, length(body)::INT AS chars, length(body) - length(replace(body, chr(10), '')) + 1 AS lines FROM t""")
 def web_items(spark, d):
     web = A.KindAdapter("web", "web", f"{d}/pages.parquet", {"id": "page_id", "at": f"timestamp'{RUN}'", "url": "url", "html": "html"}, RUN)
@@ -42,17 +43,23 @@ def web_items(spark, d):
 
 
 #: Providers of numbers: purchases as a price list, views as a market that writes its pairs in its own way, shipped lines as a wide table of series.
+#: The price list has a limit of 60; what is above it is not between low and high.
+_PRICE_LIST = {
+    "at": "cast(ts AS timestamp)", "instrument": "'k' || get_json_object(props, '$.k')", "close": "if(event_type = 'purchase', value, NULL)",
+    "currency": "'usd'", "low": "0D", "high": "60D",
+}
 _SINCE = "2024-01-10 00:00:00"
 _SERIES_SINCE = "1996-01-01 00:00:00"
 
 
-@query(f"""SELECT 'prices' AS source_id, 'k' || (props->>'$.k') AS series, epoch_us(ts) AS at_us, value, 'USD' AS unit FROM events WHERE event_type = 'purchase' AND ts > TIMESTAMP '{_SINCE}' AND value > 0 AND value <= 60
+@query(f"""SELECT 'prices' AS source_id, 'k' || (props->>'$.k') AS series, epoch_us(ts) AS at_us, value, 'USD' AS unit
+        FROM events WHERE event_type = 'purchase' AND ts > TIMESTAMP '{_SINCE}' AND value > 0 AND value <= 60
     UNION ALL SELECT 'crypto', 'desk:U' || user_id || '-EUR', epoch_us(ts), value, 'EUR' FROM events WHERE event_type = 'view' AND ts > TIMESTAMP '{_SINCE}' AND value > 0
-    UNION ALL SELECT 'macro', u.s, epoch_us(l_shipdate::TIMESTAMP), u.v, 'n' FROM lineitem, unnest([{{'s': 'l_quantity', 'v': l_quantity::DOUBLE}}, {{'s': 'l_discount', 'v': l_discount::DOUBLE}}]) x(u) WHERE l_shipdate > TIMESTAMP '{_SERIES_SINCE}'""")
+    UNION ALL SELECT 'macro', u.s, epoch_us(l_shipdate::TIMESTAMP), u.v, 'n'
+        FROM lineitem, unnest([{{'s': 'l_quantity', 'v': l_quantity::DOUBLE}}, {{'s': 'l_discount', 'v': l_discount::DOUBLE}}]) x(u) WHERE l_shipdate > TIMESTAMP '{_SERIES_SINCE}'""")
 def market_observations(spark, d):
     events, tape = f"{d}/events.parquet", "cast(ts AS timestamp)"
-    # The price list has a limit of 60 a day; what is above it is not between low and high.
-    prices = A.KindAdapter("prices", "prices", events, {"at": tape, "instrument": "'k' || get_json_object(props, '$.k')", "close": "if(event_type = 'purchase', value, NULL)", "currency": "'usd'", "low": "0D", "high": "60D"}, RUN)
+    prices = A.KindAdapter("prices", "prices", events, _PRICE_LIST, RUN)
     crypto = A.KindAdapter("crypto", "crypto", events, {"at": tape, "venue": "'Desk'", "pair": "'u' || user_id || '/eur'", "price": "if(event_type = 'view', value, NULL)"}, RUN)
     macro = A.KindAdapter("macro", "macro", f"{d}/lineitem.parquet", {"at": "cast(l_shipdate AS timestamp)", "unit": "'n'"}, RUN, wide=("l_quantity", "l_discount"))
     items = A.together([a.fetch(spark, since)[0] for a, since in ((prices, _SINCE), (crypto, _SINCE), (macro, _SERIES_SINCE))])
@@ -62,7 +69,7 @@ def market_observations(spark, d):
 @query(f"""SELECT CASE WHEN event_type <> 'purchase' OR value IS NULL THEN 'no close' WHEN value <= 0 THEN 'price not above zero' ELSE 'close outside low and high' END AS reason, count(*) AS rows_refused
     FROM events WHERE ts > TIMESTAMP '{_SINCE}' AND (event_type <> 'purchase' OR value IS NULL OR value <= 0 OR value > 60) GROUP BY 1""")
 def rejected_rows(spark, d):
-    prices = A.KindAdapter("prices", "prices", f"{d}/events.parquet", {"at": "cast(ts AS timestamp)", "instrument": "'k' || get_json_object(props, '$.k')", "close": "if(event_type = 'purchase', value, NULL)", "currency": "'usd'", "low": "0D", "high": "60D"}, RUN)
+    prices = A.KindAdapter("prices", "prices", f"{d}/events.parquet", _PRICE_LIST, RUN)
     return prices.rejected(spark, _SINCE).groupBy("reason").agg(F.count(F.lit(1)).alias("rows_refused"))
 
 
@@ -96,9 +103,12 @@ _PRIOR = "CASE s_nationkey % 4 " + " ".join(f"WHEN {i} THEN {p}" for i, p in enu
 
 
 def _turn(i: int) -> str:
-    return f"""v{i} AS MATERIALIZED (SELECT o, v, count(*) AS claims, sum(ln({_WRONG}.0::DOUBLE * a / (1 - a))) AS sc FROM c JOIN a{i} USING (s) GROUP BY 1, 2), m{i} AS (SELECT o, greatest(max(sc), 0) AS top, greatest({_WRONG + 1} - count(*), 0) AS gone FROM v{i} GROUP BY 1),
-    e{i} AS (SELECT o, v, claims, exp(sc - top) AS e, gone * exp(-top) AS rest FROM v{i} JOIN m{i} USING (o)), p{i} AS MATERIALIZED (SELECT o, v, claims, e / (sum(e) OVER (PARTITION BY o) + rest) AS p, rest / (sum(e) OVER (PARTITION BY o) + rest) AS unknown FROM e{i}),
-    a{i + 1} AS MATERIALIZED (SELECT s, n, least(greatest((prior * {_STRENGTH}::DOUBLE + coalesce(r, 0)) / ({_STRENGTH}::DOUBLE + coalesce(n, 0)), {C.LEAST}), {C.MOST}) AS a FROM w LEFT JOIN (SELECT s, sum(p) AS r, count(*) AS n FROM c JOIN p{i} USING (o, v) GROUP BY 1) USING (s))"""
+    return f"""v{i} AS MATERIALIZED (SELECT o, v, count(*) AS claims, sum(ln({_WRONG}.0::DOUBLE * a / (1 - a))) AS sc FROM c JOIN a{i} USING (s)
+        GROUP BY 1, 2), m{i} AS (SELECT o, greatest(max(sc), 0) AS top, greatest({_WRONG + 1} - count(*), 0) AS gone FROM v{i} GROUP BY 1),
+    e{i} AS (SELECT o, v, claims, exp(sc - top) AS e, gone * exp(-top) AS rest FROM v{i} JOIN m{i} USING (o)),
+    p{i} AS MATERIALIZED (SELECT o, v, claims, e / (sum(e) OVER (PARTITION BY o) + rest) AS p, rest / (sum(e) OVER (PARTITION BY o) + rest) AS unknown FROM e{i}),
+    a{i + 1} AS MATERIALIZED (SELECT s, n, least(greatest((prior * {_STRENGTH}::DOUBLE + coalesce(r, 0)) / ({_STRENGTH}::DOUBLE + coalesce(n, 0)), {C.LEAST}), {C.MOST}) AS a
+        FROM w LEFT JOIN (SELECT s, sum(p) AS r, count(*) AS n FROM c JOIN p{i} USING (o, v) GROUP BY 1) USING (s))"""
 
 
 _TRUTH = f"WITH {_CLAIMS}, w AS (SELECT s_suppkey AS s, {_PRIOR} AS prior FROM supplier), a0 AS (SELECT s, prior AS a FROM w), " + ", ".join(_turn(i) for i in range(_TURNS + 1))
@@ -135,8 +145,10 @@ _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 
 
 @query(f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), l AS (SELECT doc_id, coalesce(len(w), 0) AS n FROM d), z AS (SELECT count(*) AS docs, avg(n) AS mean FROM l),
-    f AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM d) GROUP BY 1, 2), g AS (SELECT t, count(*) AS df FROM f GROUP BY 1), q AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest({_WORDS}) AS t FROM benchmark) GROUP BY 1, 2),
-    s AS (SELECT item_id, doc_id, round(sum(times * ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean))), 6) AS score FROM q JOIN f USING (t) JOIN g USING (t) JOIN l USING (doc_id), z GROUP BY 1, 2),
+    f AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM d) GROUP BY 1, 2),
+    g AS (SELECT t, count(*) AS df FROM f GROUP BY 1), q AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest({_WORDS}) AS t FROM benchmark) GROUP BY 1, 2),
+    s AS (SELECT item_id, doc_id, round(sum(times * ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean))), 6) AS score
+        FROM q JOIN f USING (t) JOIN g USING (t) JOIN l USING (doc_id), z GROUP BY 1, 2),
     r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s) SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 10""")
 def text_search(spark, d):
     index, queries = _text_index(spark, d)

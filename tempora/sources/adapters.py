@@ -23,6 +23,7 @@ from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tempora.operators.identity import canonical_url, content_hash
 from tempora.sources.tables import ProviderError, conform, exists
 
 PARSE_VERSION = "adapter-1"
@@ -163,7 +164,8 @@ class KindAdapter:
             raise Unreachable(f"{self.source_id}: {e}") from e
         try:
             if self.wide:
-                kept = df.select(F.expr(self.columns["at"]).alias("at"), *[F.expr(e).alias(n) for n, e in self.columns.items() if n not in ("at", "series", "value")], *[F.col(c).cast("string").alias(c) for c in self.wide])
+                others = [F.expr(e).alias(n) for n, e in self.columns.items() if n not in ("series", "value")]
+                kept = df.select(*others, *[F.col(c).cast("string").alias(c) for c in self.wide])
                 rest = [c for c in kept.columns if c not in self.wide]
                 df = kept.unpivot(rest, list(self.wide), "series", "value")
                 given = {c: f"`{c}`" for c in df.columns}
@@ -191,8 +193,6 @@ class KindAdapter:
 
     def fetch(self, spark: SparkSession, cursor: str | None) -> tuple[DataFrame, str | None]:
         """Items after the cursor, and the next cursor (the latest time among them)."""
-        from tempora.operators.identity import canonical_url, content_hash
-
         rows = self._rows(spark).filter(self._after(cursor)).filter("reason IS NULL")
         try:
             last = rows.agg(F.max("at").cast("string")).first()[0]
