@@ -2,16 +2,20 @@
 
 ``fit`` trains on a bounded sample; ``build`` files every vector under its nearest
 centroid with a code of what remains, and the length of what the code leaves out.
-The postings of a list are packed into blocks of about ``BLOCK`` vectors, and
-queries into blocks too, so a search joins blocks by list and compares them with
-look-up tables; a list that holds a third of all vectors is many blocks.
+The postings of a list are packed, with their vectors, into blocks of about
+``BLOCK``; a list that holds a third of all vectors is many blocks. Queries are
+packed too, and every block of queries meets every block of postings: nothing
+but packed blocks is shuffled, and a task gives back what can still be among the
+k best, not what it compared.
 
 ``search`` looks into the ``probes`` nearest lists, takes the ``rerank`` best
-estimates and ranks them by their true cosine. With ``exact`` a second pass makes
-the answer complete: the distance to the k-th answer so far bounds what could
-still be missing. A list is opened if its centroid's distance less its radius is
-within the bound, and of its vectors those are compared whose estimated distance
-less the error of their code is (the triangle inequality). No partner is lost.
+estimates of a block (by look-up tables) and ranks them by their cosine. With
+``exact`` a second pass makes the answer complete: the distance to the k-th
+answer so far bounds what could still be missing. A list is opened if its
+centroid's distance less its radius is within the bound (the triangle
+inequality), and then all of its vectors are compared by one product of matrices.
+Products are in single precision; what is within their error of the k-th answer
+stays, and Spark ranks it by the cosine in double precision. No partner is lost.
 
 Vectors are compared by cosine: they are scaled to length one, where the order by
 distance is the order by cosine. Null vectors, those of length zero and of other
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tempora.operators.identity import cosine
 
-BLOCK, QUERIES = 4096, 256
+BLOCK, QUERIES = 4096, 2048
 #: What rounding may add to a distance.
 _SLACK = 1e-6
 
@@ -134,7 +138,7 @@ def fit(
 
 
 def build(df: DataFrame, key: str, vector: str, model: Model) -> DataFrame:
-    """(list, block, radius, entries): the packed postings of every vector; radius is the largest distance from the centroid in the list."""
+    """(list, block, radius, entries): the packed postings of every vector by id; radius is the largest distance from the centroid in the list."""
     size = model.centroids.shape[1]
 
     def run(batches):
@@ -145,12 +149,14 @@ def build(df: DataFrame, key: str, vector: str, model: Model) -> DataFrame:
             codes = model.codes(rest)
             lost = np.sqrt(((rest - model.decoded(codes)) ** 2).sum(axis=1))
             away = np.sqrt((rest * rest).sum(axis=1))
-            yield pa.record_batch([pa.array(at, pa.int32()), batch.column("id"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(lost), pa.array(away)], names=["list", "id", "code", "lost", "away"])
+            plain = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+            packed = [pa.array([r.tobytes() for r in rows], pa.binary()) for rows in (codes, plain)]
+            yield pa.record_batch([pa.array(at, pa.int32()), batch.column("id"), packed[0], pa.array(lost), pa.array(away), packed[1]], names=["list", "id", "code", "lost", "away", "v"])
 
-    filed = _usable(df, key, vector, size).mapInArrow(run, "list int, id long, code binary, lost double, away double")
+    filed = _usable(df, key, vector, size).mapInArrow(run, "list int, id long, code binary, lost double, away double, v binary")
     sizes = filed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"), F.max("away").alias("radius"))
     dealt = filed.join(sizes, "list").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    return dealt.groupBy("list", "block").agg(F.max("radius").alias("radius"), F.array_sort(F.collect_list(F.struct("id", "code", "lost"))).alias("entries"))
+    return dealt.groupBy("list", "block").agg(F.max("radius").alias("radius"), F.array_sort(F.collect_list(F.struct("id", "code", "lost", "v"))).alias("entries"))
 
 
 def _estimates(model: Model, queries: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
@@ -162,34 +168,94 @@ def _estimates(model: Model, queries: np.ndarray, at: int, codes: np.ndarray) ->
     return np.sqrt(out)
 
 
-def _candidates(met: DataFrame, model: Model, rerank: int | None) -> DataFrame:
-    """(qid, id, estimate) from joined blocks: the best ``rerank`` of each query in a block, or all that are within its bound."""
+def _first_copies(vectors: np.ndarray, k: int) -> np.ndarray:
+    """Places of the vectors with fewer than k equal ones before them: of equal vectors only the smallest keys can be answers."""
+    if np.unique(vectors[:, 0], return_counts=True)[1].max() <= k:
+        return np.arange(len(vectors))
+    same = np.unique(np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.shape[1] * 8))).ravel(), return_inverse=True)[1].ravel()
+    order = np.argsort(same, kind="stable")
+    starts = np.concatenate([[True], same[order][1:] != same[order][:-1]])
+    nth = np.arange(len(order)) - np.maximum.accumulate(np.where(starts, np.arange(len(order)), 0))
+    return np.sort(order[nth < k])
+
+
+class _Best:
+    """A block of queries and what can still be among their k best, while blocks of postings pass by."""
+
+    def __init__(self, asked: pa.StructArray, model: Model, k: int, probes: int | None, rerank: int):
+        size = model.centroids.shape[1]
+        self.model, self.k, self.rerank, self.error = model, k, rerank, 4e-7 * size
+        self.qid, self.bound = asked.field("qid").to_numpy(), asked.field("bound").to_numpy()
+        self.unit = _unit(asked.field("v"), size)
+        self.away = np.sqrt(_distances(self.unit, model.centroids))
+        self.single = self.unit.astype(np.float32)
+        self.probed = None
+        if probes is not None:
+            take = min(probes, len(model.centroids))
+            self.probed = np.zeros(self.away.shape, bool)
+            np.put_along_axis(self.probed, np.argpartition(self.away, take - 1, axis=1)[:, :take], True, axis=1)
+        # The k best scores so far; what is known beforehand stands for the k-th.
+        self.best = np.repeat((1 - self.bound**2 / 2 - self.error).astype(np.float32)[:, None], k, axis=1)
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def meet(self, at: int, radius: float, entries: pa.StructArray) -> None:
+        opened = np.nonzero(self.probed[:, at] if self.probed is not None else self.away[:, at] - radius <= self.bound + _SLACK)[0]
+        if not len(opened):
+            return
+        ids = entries.field("id").to_numpy()
+        vectors = np.frombuffer(b"".join(entries.field("v").to_pylist()), np.float64).reshape(len(ids), -1)
+        kept = _first_copies(vectors, self.k)
+        ids, vectors = ids[kept], vectors[kept]
+        unit = (vectors / np.sqrt((vectors * vectors).sum(axis=1))[:, None]).astype(np.float32)
+        scores = self.single[opened] @ unit.T
+        if self.probed is not None and len(ids) > self.rerank:
+            codes = np.frombuffer(b"".join(entries.field("code").to_pylist()), np.uint8).reshape(len(entries), -1)[kept]
+            estimated = _estimates(self.model, self.unit[opened], at, codes)
+            np.put_along_axis(scores, np.argpartition(estimated, self.rerank - 1, axis=1)[:, self.rerank :], -np.inf, axis=1)
+        live = scores.max(axis=1) >= self.best[opened, 0] - self.error
+        opened, scores = opened[live], scores[live]
+        hit = scores >= (self.best[opened, 0] - self.error)[:, None]
+        many = np.nonzero(hit.sum(axis=1) > 4 * self.k)[0]
+        if len(many):
+            hit[many] &= scores[many] >= np.partition(scores[many], -self.k, axis=1)[:, -self.k, None] - self.error
+        row, col = np.nonzero(hit)
+        if not len(row):
+            return
+        n = np.bincount(row, minlength=len(opened))
+        wide = np.full((len(opened), n.max()), -np.inf, np.float32)
+        wide[row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)] = scores[row, col]
+        self.best[opened] = np.sort(np.concatenate([self.best[opened], wide], axis=1), axis=1)[:, -self.k :]
+        self.found.append((opened[row], ids[col], scores[row, col]))
+
+    def batch(self) -> pa.RecordBatch:
+        q, i, s = (np.concatenate(x) for x in zip((np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)), *self.found, strict=True))
+        stay = s >= self.best[q, 0] - self.error
+        return pa.record_batch([pa.array(self.qid[q[stay]]), pa.array(i[stay]), pa.array(s[stay].astype(np.float64))], names=["qid", "id", "score"])
+
+
+def _candidates(asked: DataFrame, postings: DataFrame, model: Model, k: int, probes: int | None, rerank: int) -> DataFrame:
+    """(qid, id): what can be among the k best of each query, in the ``probes`` nearest lists or, without, in all that are within its bound."""
 
     def run(batches):
+        held: dict[int, _Best] = {}
         for batch in batches:
-            for at, entries, asked in zip(batch.column("list").to_pylist(), batch.column("entries"), batch.column("asked"), strict=True):
-                e, a = entries.values, asked.values
-                ids, lost = e.field("id").to_numpy(), e.field("lost").to_numpy()
-                codes = np.frombuffer(b"".join(e.field("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-                queries = a.field("v").flatten().to_numpy().reshape(len(a), -1)
-                qid, bound = a.field("qid").to_numpy(), a.field("bound").to_numpy(zero_copy_only=False)
-                found = _estimates(model, queries, at, codes)
-                if rerank is None:
-                    q, i = np.nonzero(found - lost[None, :] <= bound[:, None] + _SLACK)
-                elif len(ids) > rerank:
-                    i = np.argpartition(found, rerank - 1, axis=1)[:, :rerank]
-                    q, i = np.repeat(np.arange(len(qid)), rerank), i.ravel()
-                else:
-                    q, i = np.divmod(np.arange(found.size), len(ids))
-                yield pa.record_batch([pa.array(qid[q]), pa.array(ids[i]), pa.array(found[q, i])], names=["qid", "id", "estimate"])
-
-    return met.select("list", "entries", "asked").mapInArrow(run, "qid long, id long, estimate double")
-
-
-def _asked(probes: DataFrame, n: int) -> DataFrame:
-    """Queries packed by list, at most about QUERIES in a block."""
-    chunk = F.pmod(F.xxhash64("qid"), F.lit(max(1, n // QUERIES))).alias("chunk")
-    return probes.groupBy("list", chunk).agg(F.collect_list(F.struct("qid", "v", "bound")).alias("asked"))
+            for chunk, a, at, radius, e in zip(batch.column("chunk").to_pylist(), batch.column("asked"), batch.column("list").to_pylist(), batch.column("radius").to_pylist(), batch.column("entries"), strict=True):
+                if chunk not in held:
+                    held[chunk] = _Best(a.values, model, k, probes, rerank)
+                held[chunk].meet(at, radius, e.values)
+        for best in held.values():
+            yield best.batch()
+
+    met = asked.crossJoin(postings.select("list", "radius", "entries")).mapInArrow(run, "qid long, id long, score double")
+    kth = F.nth_value("score", k).over(Window.partitionBy("qid").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return met.withColumn("kth", kth).filter(F.col("kth").isNull() | (F.col("score") >= F.col("kth") - 4e-7 * model.centroids.shape[1])).select("qid", "id")
+
+
+def _packed(asked: DataFrame, n: int) -> DataFrame:
+    """(chunk, asked): n queries of (id, v, bound), about QUERIES in a block."""
+    chunks = max(1, -(-n // QUERIES))
+    rows = asked.select(F.pmod(F.xxhash64("id"), F.lit(chunks)).alias("chunk"), F.struct(F.col("id").alias("qid"), "v", "bound").alias("q"))
+    return rows.groupBy("chunk").agg(F.collect_list("q").alias("asked")).coalesce(chunks)
 
 
 def _ranked(found: DataFrame, vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
@@ -208,36 +274,12 @@ def search(
     size = model.centroids.shape[1]
     probes, rerank = probes or model.probes, rerank or model.rerank
     base, asked = _usable(vectors, key, vector, size), _usable(queries, key, vector, size)
-
-    def probed(batches):
-        for batch in batches:
-            unit = _unit(batch.column("v"), size)
-            take = min(probes, len(model.centroids))
-            at = np.argpartition(_distances(unit, model.centroids), take - 1, axis=1)[:, :take]
-            row = np.repeat(np.arange(len(unit)), take)
-            rows = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * size), pa.array(unit[row].ravel()))
-            yield pa.record_batch([batch.column("id").take(pa.array(row)), rows, pa.array(at.ravel(), pa.int32()), pa.array(np.zeros(len(row)))], names=["qid", "v", "list", "bound"])
-
-    schema = "qid long, v array<double>, list int, bound double"
     n = asked.count()
-    first = _candidates(postings.join(_asked(asked.mapInArrow(probed, schema), n), "list"), model, rerank)
-    best = F.row_number().over(Window.partitionBy("qid").orderBy("estimate", "id"))
-    top = _ranked(first.withColumn("place", best).filter(F.col("place") <= rerank), base, asked, k)
+    top = _ranked(_candidates(_packed(asked.withColumn("bound", F.lit(2.0)), n), postings, model, k, probes, rerank), base, asked, k)
     if not exact:
         return top
     # The k-th best so far, as a distance of vectors of length one; a query with fewer answers has no bound yet.
     worst = top.groupBy("qid").agg(F.min("score").alias("score"), F.count(F.lit(1)).alias("n"))
     limit = F.when(F.col("n") >= k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("score")))).otherwise(F.lit(2.0))
-    bounded = asked.join(worst.select(F.col("qid").alias("id"), limit.alias("limit")), "id", "left").select("id", "v", F.coalesce("limit", F.lit(2.0)).alias("limit"))
-    radii = dict(postings.groupBy("list").agg(F.max("radius").alias("radius")).collect())  # one row for each list, of which the sample bounds the number
-
-    def opened(batches):
-        reach = np.array([radii.get(i, -np.inf) for i in range(len(model.centroids))])
-        for batch in batches:
-            unit, most = _unit(batch.column("v"), size), batch.column("limit").to_numpy()
-            row, at = np.nonzero(np.sqrt(_distances(unit, model.centroids)) - reach[None, :] <= most[:, None] + _SLACK)
-            rows = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * size), pa.array(unit[row].ravel()))
-            yield pa.record_batch([batch.column("id").take(pa.array(row)), rows, pa.array(at, pa.int32()), pa.array(most[row])], names=["qid", "v", "list", "bound"])
-
-    every = _candidates(postings.join(_asked(bounded.mapInArrow(opened, schema), n), "list"), model, None)
-    return _ranked(every, base, asked, k)
+    bounded = asked.join(worst.select(F.col("qid").alias("id"), limit.alias("bound")), "id", "left").select("id", "v", F.coalesce("bound", F.lit(2.0)).alias("bound"))
+    return _ranked(_candidates(_packed(bounded, n), postings, model, k, None, rerank), base, asked, k)

@@ -107,3 +107,29 @@ def test_recall_on_the_given_vectors(spark, folder):
     found = answers(V.search(postings, model, e, asked, "vec_id", "embedding", 10))
     rows = [(r["vec_id"], r["embedding"], r["label"]) for r in e.collect()]
     assert recall(found, brute(rows, [r for r in rows if r[0] % 20 == 0], 10)) >= 0.9
+
+
+def test_a_search_moves_blocks_and_answers_only(spark):
+    """Vectors without clusters open nearly every list; what is shuffled still follows the rows, not the pairs compared."""
+    rows = clouds(4000, size=16, spread=9.0)
+    df = spark.createDataFrame(rows, KIND)
+    model = V.fit(df, "id", "v", 16)
+    base, postings = save(df), save(V.build(df, "id", "v", model))
+
+    def written():
+        known = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(known.apply(i).totalShuffleWrite() for i in range(known.size()))
+
+    before = written()
+    got = answers(V.search(postings, model, base, base.filter("id % 10 = 0"), "id", "v", 10, exact=True))
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert written() - before < 6 * len(rows) * 16 * 8
+    assert recall(got, brute(rows, [r for r in rows if r[0] % 10 == 0], 10)) == 1
+
+
+def test_many_copies_have_the_smallest_keys_as_answers(spark):
+    rows = [(i, [1.0, 2.0, 3.0, 4.0] * 2, "x") for i in range(500, 0, -1)] + [(1000 + i, v, x) for i, v, x in clouds(40, size=8, seed=5)]
+    df = spark.createDataFrame(rows, KIND)
+    model = V.fit(df, "id", "v", 8)
+    got = answers(V.search(save(V.build(df, "id", "v", model)), model, df, df.filter("id IN (7, 499)"), "id", "v", 4, exact=True))
+    assert got == {7: [1, 2, 3, 4], 499: [1, 2, 3, 4]}
