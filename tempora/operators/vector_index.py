@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from tempora.operators.identity import cosine
 
 BLOCK, QUERIES = 4096, 2048
+#: Blocks of queries that a task keeps at a time.
+HELD = 12
 #: What rounding may add to a distance.
 _SLACK = 1e-6
 
@@ -240,6 +242,8 @@ def _candidates(asked: DataFrame, postings: DataFrame, model: Model, k: int, pro
         held: dict[int, _Best] = {}
         for batch in batches:
             for chunk, a, at, radius, e in zip(batch.column("chunk").to_pylist(), batch.column("asked"), batch.column("list").to_pylist(), batch.column("radius").to_pylist(), batch.column("entries"), strict=True):
+                if chunk not in held and len(held) == HELD:  # met again, it begins anew and only gives back more
+                    yield held.pop(next(iter(held))).batch()
                 if chunk not in held:
                     held[chunk] = _Best(a.values, model, k, probes, rerank)
                 held[chunk].meet(at, radius, e.values)

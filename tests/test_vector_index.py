@@ -109,7 +109,8 @@ def test_recall_on_the_given_vectors(spark, folder):
     assert recall(found, brute(rows, [r for r in rows if r[0] % 20 == 0], 10)) >= 0.9
 
 
-def test_a_search_moves_blocks_and_answers_only(spark):
+@pytest.mark.parametrize("exact", [True, False])
+def test_a_search_moves_blocks_and_answers_only(spark, exact):
     """Vectors without clusters open nearly every list; what is shuffled still follows the rows, not the pairs compared."""
     rows = clouds(4000, size=16, spread=9.0)
     df = spark.createDataFrame(rows, KIND)
@@ -121,10 +122,10 @@ def test_a_search_moves_blocks_and_answers_only(spark):
         return sum(known.apply(i).totalShuffleWrite() for i in range(known.size()))
 
     before = written()
-    got = answers(V.search(postings, model, base, base.filter("id % 10 = 0"), "id", "v", 10, exact=True))
+    got = answers(V.search(postings, model, base, base.filter("id % 10 = 0"), "id", "v", 10, probes=None if exact else 250, rerank=None if exact else 1000, exact=exact))
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
     assert written() - before < 6 * len(rows) * 16 * 8
-    assert recall(got, brute(rows, [r for r in rows if r[0] % 10 == 0], 10)) == 1
+    assert recall(got, brute(rows, [r for r in rows if r[0] % 10 == 0], 10)) >= (1 if exact else 0.9)
 
 
 def test_many_copies_have_the_smallest_keys_as_answers(spark):
