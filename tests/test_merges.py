@@ -157,3 +157,42 @@ def test_a_write_that_died_can_be_tried_again(spark, tmp_path, nothing):
     row = merges.record_proposals(pairs(spark, ("a", "b", 0.99)), nothing, "7", T1, "semantic_similarity", 0.98)
     tables.append(row, root, "event_merge_proposal", "7")
     assert tables.read(spark, root, "event_merge_proposal").count() == 1
+
+
+@pytest.mark.parametrize("tile", [16_384, 32])
+def test_tiled_pairs_are_complete(spark, monkeypatch, tile):
+    monkeypatch.setattr(I, "TILE", tile)
+    monkeypatch.setattr(I, "STRIP", 20)
+    r = random.Random(1)
+    one = [r.gauss(0, 1) for _ in range(32)]
+    rows = vectors(60, 30) + [(20_000 + i, [x + r.gauss(0, 0.02) for x in one]) for i in range(40)] + [(30_010, [x * 3e30 for x in one])]
+    odd = [(30_000, None), (30_001, [1.0]), (30_002, [0.0] * 32), (30_003, [float("nan")] * 32), (30_004, [float("inf")] * 32), (30_005, [None] + [1.0] * 31), (None, one)]
+    df = spark.createDataFrame([*rows, *odd], "id long, v array<double>")
+    found = I.tiled_pairs(df, "id", "v", 0.9, 32, tables.save)
+    got = {(p["id_a"], p["id_b"]): p["score"] for p in found.collect()}
+    assert len(got) == found.count() and set(got) == near(rows, 0.9)
+    scored = spark.createDataFrame(rows, "id long, v array<double>")
+    a, b = (scored.select(F.col("id").alias(f"id_{x}"), F.col("v").alias(f"v{x}")) for x in "ab")
+    want = a.join(b, F.col("id_a") < F.col("id_b")).select("id_a", "id_b", I.cosine(F.col("va"), F.col("vb")).alias("score")).filter("score >= 0.9")
+    assert got == {(p["id_a"], p["id_b"]): p["score"] for p in want.collect()}
+
+
+def shuffled(spark):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    known = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(known.apply(i).totalShuffleWrite() for i in range(known.size()))
+
+
+@pytest.mark.parametrize("name", ["semantic_pairs"])
+def test_pairs_shuffle_their_vectors_once(spark, name):
+    """Not once for each band of a hash, nor once for each pair."""
+    from tempora import plans
+
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables that are too large for it
+    before = shuffled(spark)
+    try:
+        assert len(plans.QUERIES[name](spark, "/root/testdata/sf0.1").collect()) > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert shuffled(spark) - before < 2 * 2889 * 64 * 8
