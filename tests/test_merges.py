@@ -183,7 +183,7 @@ def shuffled(spark):
     return sum(known.apply(i).totalShuffleWrite() for i in range(known.size()))
 
 
-@pytest.mark.parametrize("name", ["semantic_pairs", "merge_auto_accept", "merge_closure", "merge_decisions"])
+@pytest.mark.parametrize("name", ["semantic_pairs", "merge_auto_accept", "merge_closure", "merge_decisions", "merge_replay"])
 def test_pairs_shuffle_their_vectors_once(spark, name):
     """Not once for each band of a hash, nor once for each pair."""
     from tempora import plans
