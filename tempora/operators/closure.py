@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Nodes whose trees ``spanning_links`` remembers in a task.
+TREE_NODES = 1_000_000
+
 
 def connected_components(edges: DataFrame, src: str, dst: str, save: Callable[[DataFrame], DataFrame], max_rounds: int = 60) -> DataFrame:
     """(node, label) for every node that has a link; label is the smallest node of its component.
@@ -42,3 +45,56 @@ def _small_star(e: DataFrame) -> DataFrame:
     least = e.groupBy("u").agg(F.min("v").alias("m"))
     tied = e.join(least, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return tied.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+
+
+class Trees:
+    """Which of the numbers 0 to n - 1 are tied together so far."""
+
+    def __init__(self, n: int):
+        import numpy as np
+
+        self.root = np.arange(n)
+
+    def tie(self, i, j):
+        """The places in ``i`` and ``j`` (arrays of links) of those that tie what was not tied."""
+        import numpy as np
+
+        apart = np.flatnonzero(self.root[i] != self.root[j])
+        root, new = self.root, []
+        for k, x, y in zip(apart.tolist(), root[i[apart]].tolist(), root[j[apart]].tolist(), strict=True):
+            while root[x] != x:
+                x = root[x]
+            while root[y] != y:
+                y = root[y]
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                new.append(k)
+        self.settle()
+        return np.array(new, dtype=np.int64)
+
+    def settle(self) -> None:
+        while ((up := self.root[self.root]) != self.root).any():
+            self.root = up
+
+
+def spanning_links(edges: DataFrame) -> DataFrame:
+    """Links (a, b) of whole numbers with the components of ``edges``: a task leaves out what ties nothing new.
+
+    A task returns fewer links than it meets nodes. What it knows is bounded: past TREE_NODES it begins anew.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        nodes, roots = np.empty(0, np.int64), np.empty(0, np.int64)
+        for batch in batches:
+            a, b = (batch.column(c).to_numpy() for c in ("a", "b"))
+            ends, at = np.unique(np.concatenate([nodes, roots, a, b]), return_inverse=True)
+            trees, n = Trees(len(ends)), len(nodes)
+            trees.root[at[:n]] = at[n : 2 * n]  # roots are the smallest nodes of their trees, as in ``tie``
+            new = trees.tie(at[2 * n : 2 * n + len(a)], at[2 * n + len(a) :])
+            yield pa.record_batch([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
+            nodes, roots = (ends, ends[trees.root]) if len(ends) <= TREE_NODES else (nodes[:0], roots[:0])
+
+    sound = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a IS NOT NULL AND b IS NOT NULL AND a != b")
+    return sound.mapInArrow(run, "a long, b long")

@@ -9,7 +9,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempora.operators.closure import connected_components
+from tempora.operators.closure import Trees, connected_components, spanning_links
 
 PARSE_VERSION, CANONICAL_VERSION, HASH_VERSION = "parse-1", "url-1", "hash-1"
 #: Query parameters that say where a reader came from.
@@ -180,6 +180,56 @@ def _blocks(df: DataFrame, key: str, vector: str, dimensions: int, rows: int) ->
     return sound.repartition(max(1, -(-rows // TILE))).mapInArrow(run, "block string, ids binary, vectors binary")
 
 
+class _Tile:
+    """Comparison of two packed blocks of vectors."""
+
+    def __init__(self, threshold: float, dimensions: int):
+        self.threshold, self.dimensions = threshold, dimensions
+
+    def side(self, ids, vectors):
+        """Ids, vectors and unit vectors in single precision of a block."""
+        import numpy as np
+
+        v = np.frombuffer(vectors.as_buffer(), np.float64).reshape(-1, self.dimensions)
+        with np.errstate(all="ignore"):
+            unit = (v / np.sqrt((v * v).sum(axis=1))[:, None]).astype(np.float32)
+        return np.frombuffer(ids.as_buffer(), np.int64), v, np.nan_to_num(unit, nan=0.0, posinf=0.0, neginf=0.0)
+
+    def pairs(self, left, right, apart=None):
+        """Places i, j and scores of the pairs of two blocks, by parts. ``apart(i, j)`` may drop some before they are scored."""
+        import numpy as np
+
+        least = self.threshold - 4e-7 * self.dimensions
+        for at in range(0, len(left[0]), STRIP):
+            for to in range(at if left is right else 0, len(right[0]), STRIP * 4):
+                close = left[2][at : at + STRIP] @ right[2][to : to + STRIP * 4].T
+                live = np.nonzero(close.max(axis=1) >= least)[0]
+                i, j = np.nonzero(close[live] >= least)
+                i, j = live[i] + at, j + to
+                if left is right:
+                    i, j = i[i < j], j[i < j]
+                for part in range(0, len(i), 65_536):
+                    x, y = i[part : part + 65_536], j[part : part + 65_536]
+                    if apart is not None:
+                        kept = apart(x, y)
+                        x, y = x[kept], y[kept]
+                    score = self.score(left[1][x], right[1][y])
+                    kept = (score >= self.threshold) & (left[0][x] != right[0][y])
+                    yield x[kept], y[kept], score[kept]
+
+    def score(self, x, y):
+        import numpy as np
+
+        def dot(a, b):
+            out = np.zeros(len(a))
+            for k in range(self.dimensions):  # term by term, as Spark adds them
+                out += a[:, k] * b[:, k]
+            return out
+
+        with np.errstate(all="ignore"):
+            return dot(x, y) / (np.sqrt(dot(x, x)) * np.sqrt(dot(y, y)))
+
+
 def tiled_pairs(df: DataFrame, key: str, vector: str, threshold: float, dimensions: int, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(id_a, id_b, score): all pairs with a cosine of ``threshold`` or more (D4 without a block, complete).
 
@@ -195,50 +245,73 @@ def tiled_pairs(df: DataFrame, key: str, vector: str, threshold: float, dimensio
     import numpy as np
     import pyarrow as pa
 
-    error = 4e-7 * dimensions
-
-    def dot(a, b):
-        out = np.zeros(len(a))
-        for k in range(dimensions):  # term by term, as Spark adds them
-            out += a[:, k] * b[:, k]
-        return out
-
-    def plain(ids, vectors):
-        v = np.frombuffer(vectors, np.float64).reshape(-1, dimensions)
-        with np.errstate(all="ignore"):
-            unit = (v / np.sqrt((v * v).sum(axis=1))[:, None]).astype(np.float32)
-        return np.frombuffer(ids, np.int64), v, np.nan_to_num(unit, nan=0.0, posinf=0.0, neginf=0.0)
+    tile = _Tile(threshold, dimensions)
 
     def run(batches):
         for batch in batches:
             for a, ids_a, va, b, ids_b, vb in zip(*(batch.column(c) for c in ("a", "ids_a", "va", "b", "ids_b", "vb")), strict=True):
-                left = plain(ids_a.as_buffer(), va.as_buffer())
-                right = left if a == b else plain(ids_b.as_buffer(), vb.as_buffer())
-                for at in range(0, len(left[0]), STRIP):
-                    for to in range(at if a == b else 0, len(right[0]), STRIP * 4):
-                        close = left[2][at : at + STRIP] @ right[2][to : to + STRIP * 4].T
-                        live = np.nonzero(close.max(axis=1) >= threshold - error)[0]
-                        i, j = np.nonzero(close[live] >= threshold - error)
-                        i, j = live[i] + at, j + to
-                        if a == b:
-                            i, j = i[i < j], j[i < j]
-                        for part in range(0, len(i), 65_536):
-                            yield scored(left, right, i[part : part + 65_536], j[part : part + 65_536])
-
-    def scored(left, right, i, j):
-        x, y = left[1][i], right[1][j]
-        with np.errstate(all="ignore"):
-            score = dot(x, y) / (np.sqrt(dot(x, x)) * np.sqrt(dot(y, y)))
-        p, q = left[0][i], right[0][j]
-        kept = (score >= threshold) & (p != q)
-        p, q = p[kept], q[kept]
-        return pa.record_batch([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(score[kept])], names=["id_a", "id_b", "score"])
+                left = tile.side(ids_a, va)
+                right = left if a == b else tile.side(ids_b, vb)
+                for i, j, score in tile.pairs(left, right):
+                    p, q = left[0][i], right[0][j]
+                    yield pa.record_batch([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(score)], names=["id_a", "id_b", "score"])
 
     blocks = save(_blocks(df, key, vector, dimensions, df.count()))
     side = lambda x: blocks.select(F.col("block").alias(x), F.col("ids").alias(f"ids_{x}"), F.col("vectors").alias(f"v{x}"))
     return side("a").join(side("b"), F.col("a") <= F.col("b")).mapInArrow(run, "id_a long, id_b long, score double")
 
 
+def tiled_components(df: DataFrame, key: str, vector: str, threshold: float, dimensions: int, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, label): the components of ``tiled_pairs`` at ``threshold``, without its pairs; label is the smallest key.
+
+    A block is written with labels of its own components, their smallest keys. Two blocks then return
+    a link for each two labels that they tie for the first time, and none that
+    follows from others: among n vectors that are all alike there are n * n / 2
+    pairs, but fewer links than labels. Every row that a block takes has a label.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    tile = _Tile(threshold, dimensions)
+
+    def own(batches):
+        for batch in batches:
+            for block, ids, v in zip(batch.column("block"), batch.column("ids"), batch.column("vectors"), strict=True):
+                side = tile.side(ids, v)
+                trees = Trees(len(side[0]))
+                for i, j, _ in tile.pairs(side, side, lambda x, y: trees.root[x] != trees.root[y]):  # noqa: B023
+                    trees.tie(i, j)
+                least = side[0].copy()
+                np.minimum.at(least, trees.root, side[0])
+                columns = [block.as_py().encode(), ids.as_py(), v.as_py(), least[trees.root].tobytes()]
+                yield pa.record_batch([pa.array([c], pa.binary()) for c in columns], names=["block", "ids", "vectors", "labels"])
+
+    def run(batches):
+        for batch in batches:
+            for columns in zip(*(batch.column(c) for c in ("ids_a", "va", "la", "ids_b", "vb", "lb")), strict=True):
+                left, right = tile.side(*columns[:2]), tile.side(*columns[3:5])
+                labels, at = np.unique(np.concatenate([np.frombuffer(columns[c].as_buffer(), np.int64) for c in (2, 5)]), return_inverse=True)
+                trees, mine, other = Trees(len(labels)), at[: len(left[0])], at[len(left[0]) :]
+                for i, j, _ in tile.pairs(left, right, lambda x, y: trees.root[mine[x]] != trees.root[other[y]]):  # noqa: B023
+                    new = trees.tie(mine[i], other[j])
+                    if len(new):
+                        yield pa.record_batch([pa.array(labels[mine[i[new]]]), pa.array(labels[other[j[new]]])], names=["a", "b"])
+
+    def unpacked(batches):
+        for batch in batches:
+            for ids, labels in zip(batch.column("ids"), batch.column("labels"), strict=True):
+                yield pa.record_batch([pa.array(np.frombuffer(x.as_buffer(), np.int64)) for x in (ids, labels)], names=["node", "own"])
+
+    blocks = save(_blocks(df, key, vector, dimensions, df.count()).mapInArrow(own, "block binary, ids binary, vectors binary, labels binary"))
+    side = lambda x: blocks.select(F.col("block").alias(x), F.col("ids").alias(f"ids_{x}"), F.col("vectors").alias(f"v{x}"), F.col("labels").alias(f"l{x}"))
+    tied = save(spanning_links(side("a").join(side("b"), F.col("a") < F.col("b")).mapInArrow(run, "a long, b long")))
+    # A key of several rows is one node, whatever their labels.
+    rows = save(blocks.select("ids", "labels").mapInArrow(unpacked, "node long, own long").groupBy("node").agg(F.sort_array(F.collect_set("own")).alias("own")))
+    same = rows.select(F.col("own")[0].alias("a"), F.explode("own").alias("b"))
+    labels = connected_components(spanning_links(tied.coalesce(8)).unionByName(same.filter("a != b")), "a", "b", save).withColumnsRenamed({"node": "named"})
+    return rows.join(labels, F.col("own")[0] == F.col("named"), "left").select("node", F.coalesce("label", F.col("own")[0]).alias("label"))
+
+
 def time_matches(df: DataFrame, key: str, on: Sequence[str], time_col: str, seconds: int) -> DataFrame:
     """Pairs that agree on ``on`` and are at most ``seconds`` apart.
 

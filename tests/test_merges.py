@@ -196,3 +196,50 @@ def test_pairs_shuffle_their_vectors_once(spark, name):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     assert shuffled(spark) - before < 2 * 2889 * 64 * 8
+
+
+def saved_rows(kept):
+    """A save that keeps the number of rows it wrote."""
+    def save(df, name="round"):
+        out = tables.save(df, name)
+        kept.append(out.count())
+        return out
+
+    return save
+
+
+@pytest.mark.parametrize("tile", [16_384, 32])
+def test_tiled_components_are_those_of_all_pairs_without_them(spark, monkeypatch, tile):
+    monkeypatch.setattr(I, "TILE", tile)
+    monkeypatch.setattr(I, "STRIP", 20)
+    r = random.Random(1)
+    one = [r.gauss(0, 1) for _ in range(32)]
+    rows = vectors(60, 30) + [(20_000 + i, [x + r.gauss(0, 0.02) for x in one]) for i in range(150)] + [(30_010, [x * 3e30 for x in one])]
+    odd = [(30_000, None), (30_001, [1.0]), (30_002, [0.0] * 32), (30_003, [float("nan")] * 32), (30_004, [float("inf")] * 32), (None, one)]
+    twice = [(7, rows[50][1]), (7, rows[51][1]), (20_005, rows[52][1])]  # keys of several rows
+    df = spark.createDataFrame([*rows, *odd, *twice], "id long, v array<double>")
+    found, kept = I.tiled_pairs(df, "id", "v", 0.9, 32, tables.save), []
+    want = {x["node"]: x["label"] for x in closure.connected_components(found, "id_a", "id_b", tables.save).collect()}
+    got = {x["node"]: x["label"] for x in I.tiled_components(df, "id", "v", 0.9, 32, saved_rows(kept)).collect()}
+    assert {7, 50, 51} <= {n for n, label in got.items() if label == 7}
+    want |= {n: n for n in got if n not in want}
+    assert len(set(want.values())) > 40 and got == want
+    assert found.count() > 150 * 149 / 2 and sum(kept) < 2500  # 11,175 pairs among 150 rows alone
+
+
+def test_spanning_links_bound_what_they_know(spark, monkeypatch):
+    monkeypatch.setattr(closure, "TREE_NODES", 50)
+    r = random.Random(3)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(2000)] + [(None, 1), (4, 4)]
+    df = spark.createDataFrame(edges, "a long, b long").coalesce(1)
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        links = [tuple(x) for x in closure.spanning_links(df).collect()]
+        monkeypatch.setattr(closure, "TREE_NODES", 1000)
+        least = [tuple(x) for x in closure.spanning_links(df).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert set(least) <= set(links) < set(edges) and len(least) < 300
+    sound = [(a, b) for a, b in edges if a is not None and a != b]
+    assert full(spark, links) == full(spark, least) == full(spark, sound)
