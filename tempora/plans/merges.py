@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempora.operators import merges
@@ -18,12 +22,14 @@ _HELD = f"""h AS (SELECT id_a, id_b, CASE WHEN id_a % 2 = 0 THEN CASE WHEN id_a
     CASE WHEN id_a % 2 = 0 AND (id_a % 5 = 0 OR (score < {FIRST} AND id_b % 3 = 0)) THEN 'owner' ELSE 'system' END AS decided_by, CASE WHEN id_a % 2 = 0 THEN 'first' ELSE 'second' END AS model_version FROM p)"""
 
 
-def _decided(t: Tables, root: str):
+#: Pairs that pass through the three runs together: about so many have their shuffles and stored rows on disk at a time.
+PART = 2_000_000
+
+
+def _decided(spark, pairs: DataFrame, root: str) -> DataFrame:
     """Three runs below ``root``: proposals of the first model, the owner's decisions, proposals of the second model."""
-    spark = t.spark
-    pairs = tables.save(_pairs(t), "pairs")
     stored = lambda: tables.read(spark, root, "event_merge_proposal")
-    tables.create_all(spark, root)
+    tables.create_all(spark, root, ["event_merge_proposal"])
     tables.append(merges.record_proposals(pairs.filter("id_a % 2 = 0"), stored(), "1", _T1, "semantic_similarity", FIRST, "first"), root, "event_merge_proposal", "1")
     first = stored().filter("run_id = '1'")
     low, high = F.least(*(F.col(c).cast("long") for c in ("source_event_id", "target_event_id"))), F.greatest(*(F.col(c).cast("long") for c in ("source_event_id", "target_event_id")))
@@ -33,11 +39,29 @@ def _decided(t: Tables, root: str):
     return stored()
 
 
+def _by_parts(t: Tables, read: Callable[[DataFrame], list[DataFrame]]) -> list[DataFrame]:
+    """What ``read`` takes from the stored decisions, of all pairs.
+
+    A pair's decisions depend on no other pair, so the pairs are dealt into
+    parts, and each part's three runs are stored, read and removed in turn.
+    """
+    spark = t.spark
+    pairs = tables.save(_pairs(t), "pairs")
+    n = max(1, -(-pairs.count() // PART))
+    out = []
+    for k in range(n):
+        root = tables.own_folder(spark, "proposals")
+        stored = _decided(spark, pairs.filter(F.pmod(F.xxhash64("id_a", "id_b"), F.lit(n)) == k), root)
+        out.append([tables.save(df, "decided") for df in read(stored)])
+        tables.remove(spark, root)
+    return [reduce(DataFrame.unionByName, parts) for parts in zip(*out, strict=True)]
+
+
 @query(f"WITH {_PAIRS}, {_HELD} SELECT * FROM h")
 def merge_decisions(spark, d):
-    stored = _decided(Tables(spark, d), tables.own_folder(spark, "proposals"))
     a, b = F.col("source_event_id").cast("long"), F.col("target_event_id").cast("long")
-    return merges.decisions_as_of(stored, _T3).select(F.least(a, b).alias("id_a"), F.greatest(a, b).alias("id_b"), "decision", "decided_by", "model_version")
+    columns = [F.least(a, b).alias("id_a"), F.greatest(a, b).alias("id_b"), "decision", "decided_by", "model_version"]
+    return _by_parts(Tables(spark, d), lambda stored: [merges.decisions_as_of(stored, _T3).select(*columns)])[0]
 
 
 @query(f"""WITH RECURSIVE {_PAIRS}, {_HELD}, e AS (SELECT id_a AS x, id_b AS y FROM h WHERE decision IN ('auto_accepted', 'accepted') UNION SELECT id_b, id_a FROM h WHERE decision IN ('auto_accepted', 'accepted')),
@@ -45,7 +69,7 @@ def merge_decisions(spark, d):
 def merge_replay(spark, d):
     """Components from decisions as they came in: those in force after the owner's run, then those of the second model."""
     t = Tables(spark, d)
-    stored = _decided(t, tables.own_folder(spark, "proposals"))
+    stored = _decided(spark, tables.save(_pairs(t), "pairs"), tables.own_folder(spark, "proposals"))
     known = merges.Components(spark, tables.own_folder(spark, "components"), buckets=16)
     before, after = merges.accepted_as_of(stored, _T2), merges.accepted_as_of(stored, _T3)
     known.add(before, 0, tables.save)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,10 +75,23 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_scratch[0]}"
 
 
+@contextmanager
+def _freeing(spark: SparkSession) -> Iterator[None]:
+    """What is written inside leaves no shuffle on disk; else they stay until the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    given = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, given)
+
+
 def save(df: DataFrame, name: str = "round") -> DataFrame:
     """Write to the shared folder and reread: cuts the lineage of a plan."""
     path = f"{shared_folder(df.sparkSession)}/tempora-{_RUN}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _freeing(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -92,10 +106,15 @@ def own_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tempora-{_RUN}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Remove a folder that ``own_folder`` gave. Results that read it must have been written or read before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clean_up(spark: SparkSession) -> None:
     """Remove what this application has saved. Results that read it must have been written or read before."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tempora-{_RUN}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, f"{shared_folder(spark)}/tempora-{_RUN}")
 
 
 def conform(df: DataFrame, entity: str) -> DataFrame:
@@ -103,11 +122,11 @@ def conform(df: DataFrame, entity: str) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name, metadata=f.metadata) for f in SCHEMAS[entity].fields])
 
 
-def create_all(spark: SparkSession, root: str) -> list[str]:
-    """Every table from nothing (S8): empty, with its schema."""
-    for name, schema in SCHEMAS.items():
-        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{root}/{name}/run_id=none")
-    return sorted(SCHEMAS)
+def create_all(spark: SparkSession, root: str, names: Sequence[str] = tuple(SCHEMAS)) -> list[str]:
+    """Every table, or those named, from nothing (S8): empty, with its schema."""
+    for name in names:
+        spark.createDataFrame([], SCHEMAS[name]).write.mode("ignore").parquet(f"{root}/{name}/run_id=none")
+    return sorted(names)
 
 
 def append(df: DataFrame, root: str, entity: str, run_id: str) -> None:
@@ -118,7 +137,8 @@ def append(df: DataFrame, root: str, entity: str, run_id: str) -> None:
     target = f"{root}/{entity}/run_id={run_id}"
     if exists(df.sparkSession, f"{target}/_SUCCESS"):
         raise FileExistsError(f"run {run_id} of {entity} already exists")
-    conform(df, entity).write.mode("overwrite").parquet(target)
+    with _freeing(df.sparkSession):
+        conform(df, entity).write.mode("overwrite").parquet(target)
 
 
 def read(spark: SparkSession, root: str, entity: str) -> DataFrame:

@@ -243,3 +243,34 @@ def test_spanning_links_bound_what_they_know(spark, monkeypatch):
     assert set(least) <= set(links) < set(edges) and len(least) < 300
     sound = [(a, b) for a, b in edges if a is not None and a != b]
     assert full(spark, links) == full(spark, least) == full(spark, sound)
+
+
+def on_disk(folder):
+    import os
+
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names)
+
+
+@pytest.mark.parametrize("name", ["merge_decisions"])
+def test_decisions_by_parts_are_those_of_all(spark, monkeypatch, name):
+    """Parts change no row, and no part's proposals stay on disk."""
+    from tempora import plans
+    from tempora.plans import merges as P
+
+    folders, own = [], tables.own_folder
+    monkeypatch.setattr(tables, "own_folder", lambda s, n: folders.append(own(s, n)) or folders[-1])
+    whole = sorted(plans.QUERIES[name](spark, "/root/testdata/sf0.01").collect())
+    monkeypatch.setattr(P, "PART", 100)
+    assert sorted(plans.QUERIES[name](spark, "/root/testdata/sf0.01").collect()) == whole and whole
+    stored = [f for f in folders if "/proposals-" in f]
+    assert len(stored) == 1 + 3 and not any(tables.exists(spark, f) for f in stored)
+
+
+def test_what_is_saved_leaves_no_shuffle(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    kept = lambda: on_disk(disk.localDirsString()[0])
+    before = kept()
+    df = spark.range(300_000).select(F.xxhash64("id").alias("h")).repartition(4, "h")
+    assert tables.save(df).count() == 300_000
+    assert kept() - before < 500_000  # the shuffle has 2.4 MB
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
