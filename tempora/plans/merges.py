@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempora.operators import merges
+from tempora.operators.closure import spanning_links
 from tempora.plans.registry import Tables, query
 from tempora.plans.time_and_identity import _PAIRS, _pairs, _reported
 from tempora.sources import tables
@@ -69,10 +70,15 @@ def merge_decisions(spark, d):
 def merge_replay(spark, d):
     """Components from decisions as they came in: those in force after the owner's run, then those of the second model."""
     t = Tables(spark, d)
-    stored = _decided(spark, tables.save(_pairs(t), "pairs"), tables.own_folder(spark, "proposals"))
     known = merges.Components(spark, tables.own_folder(spark, "components"), buckets=16)
-    before, after = merges.accepted_as_of(stored, _T2), merges.accepted_as_of(stored, _T3)
-    known.add(before, 0, tables.save)
-    known.add(after.join(before, ["id_a", "id_b"], "left_anti"), 1, tables.save)
+    links = lambda df: spanning_links(df.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+
+    def accepted(stored: DataFrame) -> list[DataFrame]:
+        """Of the merges in force after each run, links that tie the same components."""
+        before, after = merges.accepted_as_of(stored, _T2), merges.accepted_as_of(stored, _T3)
+        return [links(before), links(after.join(before, ["id_a", "id_b"], "left_anti"))]
+
+    for run, tied in enumerate(_by_parts(t, accepted)):
+        known.add(spanning_links(tied.coalesce(8)), run, tables.save, "a", "b")
     ids = _reported(t).select("vec_id")
     return ids.join(known.labels(), F.col("vec_id") == F.col("node"), "left").select("vec_id", F.coalesce("label", "vec_id").alias("canonical_id"))

@@ -251,7 +251,7 @@ def on_disk(folder):
     return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names)
 
 
-@pytest.mark.parametrize("name", ["merge_decisions"])
+@pytest.mark.parametrize("name", ["merge_decisions", "merge_replay"])
 def test_decisions_by_parts_are_those_of_all(spark, monkeypatch, name):
     """Parts change no row, and no part's proposals stay on disk."""
     from tempora import plans
