@@ -97,9 +97,10 @@ def links(fp: DataFrame, bits: int = 2, hot_bucket: int = 32) -> DataFrame:
     filed = fp.select("fp", F.posexplode(F.array(high, low)).alias("seg", "val"))
     sizes = filed.groupBy("seg", "val").agg(F.count(F.lit(1)).alias("n"))
     probes = _balls(fp)
-    # Ordinary buckets: fetch the matches and verify them.
-    cold = filed.join(sizes.filter(F.col("n") <= hot_bucket).select("seg", "val"), ["seg", "val"])
-    pairs = probes.withColumnRenamed("fp", "a").join(cold.withColumnRenamed("fp", "b"), ["seg", "val"])
+    # Ordinary buckets: fetch the matches and verify them. Spark takes the rows that a list unfolds into for as small as
+    # the table they come from, so without the hints it would send them all through the driver.
+    cold = filed.join(sizes.filter(F.col("n") <= hot_bucket).select("seg", "val").hint("merge"), ["seg", "val"])
+    pairs = probes.withColumnRenamed("fp", "a").join(cold.withColumnRenamed("fp", "b").hint("merge"), ["seg", "val"])
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits
     verified = pairs.filter((F.col("a") != F.col("b")) & near).select("a", "b")
     # Hot buckets: balls of the other segment, each tied to its smallest member.

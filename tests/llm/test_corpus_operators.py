@@ -909,3 +909,15 @@ def test_boilerplate_is_counted_by_host(spark):
     assert not any(out[i]["kept"] for i in range(20)) and all(out[i]["n_removed_words"] == 90 for i in range(20))
     assert all(out[i]["kept"] for i in [*range(100, 105), 200, *range(300, 400)])
     assert rows(quality.quality(spark.createDataFrame([], "doc_id long, text string, source string"))) == []
+
+
+def test_simhash_sends_no_unfolded_rows_through_the_driver(spark):
+    """66 probes and two segments for each fingerprint: they are merged, however small their table looks."""
+    from tempora.llm import simhash
+
+    heads = materialize(spark.range(500).select(F.xxhash64("id").alias("fp")), "heads")
+    found = simhash.links(heads)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 2
+    rows = found.collect()
+    assert {(min(r), max(r)) for r in map(tuple, rows)} == {(min(a, b), max(a, b)) for h in [[x[0] for x in heads.collect()]] for a in h for b in h if a != b and bin((a ^ b) & (2**64 - 1)).count("1") <= 2}
