@@ -262,3 +262,19 @@ def test_codes_decode_to_their_entries(spark):
 def test_integers_take_offsets_into_account():
     column = pa.array([[0.1, 0.2], [1.0, -1.0], [0.5, 0.25]], pa.list_(pa.float64())).slice(1)
     assert vector_codes.integers(column, 2).tolist() == [[4096, -4096], [2048, 1024]]
+
+
+def test_op6_encodes_no_known_word_again_when_its_memory_is_full():
+    import public_tokenizers
+
+    from tempora.llm import bpe
+
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        codec = bpe.Codec(f.read(), public_tokenizers.PATTERN)
+    asked, encode = [], codec.encode_words
+    codec.encode_words = lambda raw: asked.append(raw) or encode(raw)
+    codec.cache_words = 8
+    first = codec.encode(["alpha beta gamma delta"])
+    again = codec.encode(["alpha beta one two three four five six"])
+    assert len(asked) == 2 and not {b"alpha", b" beta"} & set(asked[1])
+    assert len(codec.words) == 8 and codec.decode([*first, *again]) == [b"alpha beta gamma delta", b"alpha beta one two three four five six"]
